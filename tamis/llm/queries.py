@@ -22,5 +22,33 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_within(counts, TOKEN_LIMIT).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {"op6_token_counts": op6_token_counts}
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm.sharding import shard_documents
+
+    return shard_documents(read(spark, sf_dir, "documents"), shards=40)
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm.mixing import mix_sources
+
+    docs = read(spark, sf_dir, "documents")
+    return mix_sources(docs).select("doc_id", "source", "mix_epoch", "mix_slice")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm.decontamination import flag_contaminated
+
+    return flag_contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm.chat_format import format_windows, read_back
+
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema)
+    return read_back(format_windows(turns.unionByName(extra)), in_order=True)
+
+
+QUERIES = {"op1_source_mixing": op1_source_mixing, "op4_decontamination": op4_decontamination, "op5_chat_format": op5_chat_format, "op6_token_counts": op6_token_counts, "op7_sharding": op7_sharding}
 ORACLE: dict[str, str] = {}
