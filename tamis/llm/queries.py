@@ -50,5 +50,51 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_windows(turns.unionByName(extra)), in_order=True)
 
 
-QUERIES = {"op1_source_mixing": op1_source_mixing, "op4_decontamination": op4_decontamination, "op5_chat_format": op5_chat_format, "op6_token_counts": op6_token_counts, "op7_sharding": op7_sharding}
-ORACLE: dict[str, str] = {}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(read(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm.suffix_dedup import dedup_bytes
+
+    return dedup_bytes(read(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 50], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS i FROM w)),
+firsts AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM win JOIN firsts USING (k) WHERE m < doc_id),
+isle AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM hit),
+span AS (SELECT doc_id, n, min(i) AS a, max(i) + 50 AS b FROM isle GROUP BY doc_id, n),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t, b - a AS gone FROM span
+        UNION ALL SELECT w.doc_id, coalesce(max(b), 0), max(len(ws)), 0 FROM w LEFT JOIN span USING (doc_id) GROUP BY w.doc_id),
+kept AS (SELECT doc_id, flatten(list(ws[f + 1:t] ORDER BY f)) AS ks, sum(gone) AS n_removed FROM gap JOIN w USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept JOIN w USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, x, unnest(range(0, strlen(x) // 2 - 99)) AS i FROM w)),
+firsts AS (SELECT k, min((doc_id, i)) AS m FROM win GROUP BY k),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM win JOIN firsts USING (k) WHERE m < (doc_id, i)),
+isle AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM hit),
+span AS (SELECT doc_id, n, min(i) AS a, max(i) + 100 AS b FROM isle GROUP BY doc_id, n),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t, b - a AS gone FROM span
+        UNION ALL SELECT w.doc_id, coalesce(max(b), 0), max(strlen(x) // 2), 0 FROM w LEFT JOIN span USING (doc_id) GROUP BY w.doc_id),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * f + 1, 2 * (t - f)), '' ORDER BY f) AS kx, sum(gone) AS n_removed, count(*) - 1 AS n_spans FROM gap JOIN w USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(strlen(x) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kx)) AS kept_sha256 FROM kept JOIN w USING (doc_id)
+"""
+
+QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
+    "op4_decontamination": op4_decontamination,
+    "op5_chat_format": op5_chat_format,
+    "op6_token_counts": op6_token_counts,
+    "op7_sharding": op7_sharding,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
+}
+ORACLE: dict[str, str] = {"op8_substring_dedup": OP8_SQL, "op10_suffix_dedup": OP10_SQL}
