@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+#: Scores from which a document is called toxic.
+TOXIC = 0.7
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,6 +81,25 @@ SELECT w.doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, least(w.do
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
 """
 
+def learned_toxicity(docs: DataFrame, labels: DataFrame):
+    """The model learned from the labelled rows whose crc32(doc_id as text) modulo 3 is not 1."""
+    from tamis.llm.toxicity import fit_toxicity, labelled_words
+
+    return fit_toxicity(labelled_words(docs, labels.where(~held_out())))
+
+
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm.toxicity import score_toxicity
+
+    docs = read(spark, sf_dir, "documents")
+    scores = score_toxicity(docs, learned_toxicity(docs, read(spark, sf_dir, "labels")))
+    return scores.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tamis.llm.embedding_dedup import near_duplicates
 
@@ -123,6 +144,7 @@ SELECT doc_id, CAST(strlen(x) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGI
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_toxicity": op2_toxicity,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_chat_format": op5_chat_format,
