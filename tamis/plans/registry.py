@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tamis.functions import normalize
 from tamis.functions import text as tx
 from tamis.operators import audit, detect, secrets, sessions, store, web
 from tamis.sources.tables import table
@@ -117,7 +118,29 @@ p AS (SELECT page_id, h, regexp_extract(h, '(?is)<article[^>]*>(.*?)</article>',
 SELECT page_id, {_decode(_strip("CASE WHEN length(a) > 200 THEN a WHEN length(m) > 200 THEN m WHEN length(b) > 0 THEN b ELSE h END"))} AS text FROM p
 """
 
+
+
+def _normalized(d):
+    text, steps = normalize.normalized("text")
+    return d.select("doc_id", F.sha2(text, 256).alias("sha"), F.array_join(steps, ",").alias("steps"))
+
+
+def _nrm_sql() -> str:
+    steps = [
+        ("invisible", "regexp_replace({}, '[\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2069}}\\x{{FEFF}}\\x{{202A}}-\\x{{202E}}]', '', 'g')"),
+        ("look_alikes", f"translate({{}}, '{''.join(normalize.LOOK_ALIKES)}', '{''.join(normalize.LOOK_ALIKES.values())}')"),
+        ("full_width", "translate({}, (SELECT string_agg(chr(CAST(i AS INT)), '' ORDER BY i) FROM range(65281, 65375) t(i)), (SELECT string_agg(chr(CAST(i AS INT)), '' ORDER BY i) FROM range(33, 127) t(i)))"),
+        ("blanks", "regexp_replace(regexp_replace({}, '[ \\t\\r\\f\\x0B]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"),
+    ]
+    sql = "SELECT doc_id, coalesce(text, '') AS t0 FROM documents"
+    for i, (_, step) in enumerate(steps):
+        sql = f"SELECT *, {step.format(f't{i}')} AS t{i + 1} FROM ({sql})"
+    names = ", ".join(f"CASE WHEN t{i + 1} <> t{i} THEN '{name}' END" for i, (name, _) in enumerate(steps))
+    return f"SELECT doc_id, sha256(t{len(steps)}) AS sha, concat_ws(',', {names}) AS steps FROM ({sql})"
+
+
 QUERIES = {
+    "nrm_text": _q("documents", _normalized),
     "sec_scan": _q("documents", secrets.scan_secrets),
     "sec_scorecard": _q("documents", lambda d: secrets.secret_scorecard(d, ["lang", "source"])),
     "sec_redact": _q("documents", lambda d: secrets.redact(d).select("doc_id", "secrets_redacted", F.sha2("text", 256).alias("text_sha256"))),
@@ -154,6 +177,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "nrm_text": _nrm_sql(),
     "sec_scan": _SECRETS + "SELECT * FROM findings",
     "sec_scorecard": _SECRETS + "SELECT lang, source, rule, severity, count(*) AS findings, count(DISTINCT fingerprint) AS credentials, count(DISTINCT doc_id) AS documents FROM findings JOIN documents USING (doc_id) GROUP BY 1, 2, 3, 4",
     "sec_reuse": _SECRETS + "SELECT fingerprint, count(DISTINCT doc_id) AS documents, count(*) AS places FROM findings GROUP BY 1 HAVING count(DISTINCT doc_id) > 1",
