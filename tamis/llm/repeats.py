@@ -5,9 +5,11 @@ the smallest hash among its grams of `k` codes; equal windows have equal anchors
 
 1. every task lists the anchors of its documents, and the anchors that occur once in the whole corpus are dropped: no
    window that they stand for repeats (`repeated_anchors`);
-2. windows with a repeated anchor are cut into fragments, the runs of windows of one anchor occurrence
+2. texts equal to a text with a smaller id are set aside (`copies`): all their windows repeat, and nothing else does so
+   because of them;
+3. windows with a repeated anchor are cut into fragments, the runs of windows of one anchor occurrence
    (`anchored_fragments`); a fragment equal to an earlier one of the same task is settled there;
-3. fragments of one anchor meet in one task, which decides exactly (the operators' own step).
+4. fragments of one anchor meet in one task, which decides exactly (the operators' own step).
 """
 
 from __future__ import annotations
@@ -19,10 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import byte_codes, chunks, flat_texts, gram_hash, minimizers, prefix_sums, span_hash, word_hashes, word_spans
+from tamis.llm.common import byte_codes, chunks, flat_texts, gram_hash, materialize, minimizers, mix, prefix_sums, span_hash, word_hashes, word_spans
 
-#: A task settles so many anchors, or so many bytes of fragments, at a time.
-FLUSH_ANCHORS, FLUSH_BYTES = 1 << 21, 48 << 20
+#: A task settles so many anchors, or so many bytes of text, at a time.
+FLUSH_ANCHORS, FLUSH_BYTES = 1 << 21, 24 << 20
+#: Up to so many copies are set aside by a broadcast of their ids (16 bytes each); beyond, by a join.
+SENT_COPIES = 500_000
+#: The end of a copy's span, beyond any text.
+WHOLE = 1 << 40
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -188,9 +194,8 @@ def spans_of(mask: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def anchored_fragments(rows: DataFrame, unit: Unit) -> DataFrame:
     """rows(id long, h long, text, anchors) -> fragments (g, f1, f2, id, h, pos, n, bytes) and settled spans.
 
-    A fragment is n consecutive windows with one anchor occurrence, from code pos on; bytes is its text (words joined by
-    one space). Rows with null bytes are settled: an equal fragment starts earlier in the same task, so their windows
-    all repeat.
+    A fragment is n consecutive windows with one anchor occurrence, from code pos on; bytes is its text. Rows with null
+    bytes are settled, runs of windows whose equals start earlier in the same task (their g only deals them out).
     """
 
     def fragments(data, offsets, ids, hs, anchors):
@@ -208,18 +213,14 @@ def anchored_fragments(rows: DataFrame, unit: Unit) -> DataFrame:
         # a run of windows with one anchor; the same gram may be chosen at two places, so the place is found as well
         at = np.flatnonzero(chosen)
         place = np.full(len(least) + 1, -1, np.int64)
-        if len(at):
-            w = unit.span - unit.k + 1
-            nth = np.searchsorted(at, np.arange(len(least)))
-            got = at[np.minimum(nth, len(at) - 1)]
+        look = np.flatnonzero(live)
+        nth = np.searchsorted(at, look)
+        while len(look):
             # the leftmost chosen gram from the window's start on that equals its least
-            for _ in range(w):
-                miss = live & (grams[np.minimum(got, len(grams) - 1)] != least)
-                if not miss.any():
-                    break
-                nth = nth + miss
-                got = at[np.minimum(nth, len(at) - 1)]
-            place[:-1] = np.where(live & (got - np.arange(len(least)) < w), got, -1)
+            got = at[nth]
+            hit = grams[got] == least[look]
+            place[look[hit]] = got[hit]
+            look, nth = look[~hit], nth[~hit] + 1
         live = place[:-1] >= 0
         edge = np.zeros(len(live) + 1, bool)
         edge[bounds[bounds <= len(live)]] = True
@@ -245,29 +246,36 @@ def anchored_fragments(rows: DataFrame, unit: Unit) -> DataFrame:
         held, texts, size = [], [], 0
 
         def flush():
-            g, f1, f2, ids, hs, pos, n = (np.concatenate(x) for x in zip(*held))
-            flat = [t for part in texts for t in part]
+            g, f1, f2, ids, hs, pos, n, start, end = (np.concatenate(x) for x in zip(*held))
             settled = later_copies(g, f1, f2, ids, hs, pos, unit.within)
-            for i in range(0, len(g), 20_000):
-                j = slice(i, i + 20_000)
-                payload = pa.array([None if s else t for s, t in zip(settled[j], flat[j])], pa.binary())
+            i, h, first, last = merged(*(x[settled] for x in (ids, hs, pos)), pos[settled] + n[settled] - 1 + unit.span)
+            zero = np.zeros(len(i), np.int64)
+            for c in range(0, len(i), 50_000):
+                j = slice(c, c + 50_000)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[j]) for x in (mix((i + first).view(np.uint64)).view(np.int64), zero, zero, i, h, first, last - first - unit.span + 1)), pa.nulls(len(i[j]), pa.binary())], names=names)
+            whole = np.concatenate(texts)
+            open_ = np.flatnonzero(~settled)
+            for c in range(0, len(open_), 10_000):
+                j = open_[c : c + 10_000]
+                size = end[j] - start[j]
+                stops = np.cumsum(size)
+                at = np.arange(stops[-1]) + np.repeat(start[j] - (stops - size), size)
+                payload = pa.Array.from_buffers(pa.binary(), len(j), [None, pa.py_buffer(np.concatenate([[0], stops]).astype(np.int32)), pa.py_buffer(whole[at])])
                 yield pa.RecordBatch.from_arrays([*(pa.array(x[j].view(np.int64)) for x in (g, f1, f2)), *(pa.array(x[j]) for x in (ids, hs, pos, n)), payload], names=names)
 
         for batch in batches:
             data, offsets = flat_texts(batch.column(2))
             ids, hs = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            anchors = batch.column(3)
+            edges, flat = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy().view(np.uint32)
             for a, b in chunks(offsets):
                 part = data[offsets[a] : offsets[b]]
-                own = [None if not anchors[i].is_valid else np.asarray(anchors[i].values).view(np.uint32) for i in range(a, b)]
+                own = [flat[edges[i] : edges[i + 1]] for i in range(a, b)]
                 got = fragments(part, offsets[a : b + 1] - offsets[a], ids[a:b], hs[a:b], own)
                 if got is None:
                     continue
-                raw = part.tobytes()
-                mine = [raw[s:e] for s, e in zip(got[7].tolist(), got[8].tolist())]
-                held.append(got[:7])
-                texts.append([b" ".join(t.split()) if unit.words else t for t in mine])
-                size += sum(map(len, mine)) + 100 * len(mine)
+                held.append((*got[:7], got[7] + size, got[8] + size))
+                texts.append(part)
+                size += len(part)
                 if size >= FLUSH_BYTES:
                     yield from flush()
                     held, texts, size = [], [], 0
@@ -292,6 +300,24 @@ def later_copies(g, f1, f2, ids, hs, pos, within: bool) -> np.ndarray:
     return out
 
 
+def merged(ids, hs, first, last):
+    """Spans of codes, joined where they touch within one document."""
+    if not len(ids):
+        return ids, hs, first, last
+    order = np.lexsort((first, hs, ids))
+    ids, hs, first, last = ids[order], hs[order], first[order], last[order]
+    doc = np.ones(len(ids), bool)
+    doc[1:] = (ids[1:] != ids[:-1]) | (hs[1:] != hs[:-1])
+    # documents are set apart on one line, so that one running maximum serves them all
+    base = (np.cumsum(doc) - 1) * (int(last.max()) + 2)
+    reach = np.maximum.accumulate(last + base)
+    new = doc.copy()
+    new[1:] |= first[1:] + base[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    stop = np.concatenate([at[1:], [len(ids)]]) - 1
+    return ids[at], hs[at], first[at], reach[stop] - base[stop]
+
+
 def least_of(keys: list[np.ndarray], value: np.ndarray) -> np.ndarray:
     """For every entry, the least value among the entries with equal keys."""
     order = np.lexsort((value, *keys))
@@ -337,12 +363,17 @@ def settle_fragments(fragments: DataFrame, unit: Unit, decide: Callable, chunk_b
                 k = np.searchsorted(bounds, a, side="right") - 1
                 first = pos[rest][k] + a - bounds[k]
                 out.append((ids[rest][k], hs[rest][k], first, first + (b - a) - 1 + unit.span))
-            ids, hs, first, last = (np.concatenate(x) for x in zip(*out))
+            ids, hs, first, last = merged(*(np.concatenate(x) for x in zip(*out)))
             for i in range(0, len(ids), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (ids, hs, first, last)], names=["id", "h", "first", "last"])
 
         held, size, last_g = [], 0, None
         for batch in batches:
+            done = batch.column(7).is_null().to_numpy(zero_copy_only=False)
+            if done.any():
+                i, h, pos, n = (batch.column(c).to_numpy(zero_copy_only=False)[done] for c in (3, 4, 5, 6))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i, h, pos, pos + n - 1 + unit.span)], names=["id", "h", "first", "last"])
+                batch = batch.filter(pa.array(~done))
             cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)]
             texts = batch.column(7).to_pylist()
             a = 0
@@ -365,16 +396,35 @@ def settle_fragments(fragments: DataFrame, unit: Unit, decide: Callable, chunk_b
         if held:
             yield from settle(held)
 
-    open_ = fragments.where(F.col("bytes").isNotNull())
-    return open_.repartition("g").sortWithinPartitions("g").mapInArrow(run, "id long, h long, first long, last long")
+    return fragments.repartition("g").sortWithinPartitions("g").mapInArrow(run, "id long, h long, first long, last long")
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(id, h) of the rows whose whole text also stands in a row with a smaller id."""
+    own = docs.select("id", "h", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
+    first = own.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("sha").alias("k"), "first")
+    return own.join(first, F.col("sha") == F.col("k")).where("id > first").select("id", "h").distinct()
 
 
 def repeated_spans(docs: DataFrame, unit: Unit, decide: Callable) -> DataFrame:
-    """docs(id long not null, h long, text) -> (id, h, spans array<struct<first,last>>): the codes that repeat."""
-    from tamis.llm.common import materialize
+    """docs(id long not null, h long, text) -> (id, h, spans array<struct<first,last>>): the codes that repeat.
 
-    anchors = repeated_anchors(docs.select("id", "text"), unit)
-    parts = materialize(anchored_fragments(docs.join(anchors, "id").select("id", "h", "text", "anchors"), unit), "fragments")
-    settled = parts.where("bytes is null").select("id", "h", F.col("pos").alias("first"), (F.col("pos") + F.col("n") - 1 + unit.span).alias("last"))
-    spans = settled.unionByName(settle_fragments(parts, unit, decide))
+    A text that is set aside as a copy has the one span [0, WHOLE).
+    """
+    set_aside = materialize(copies(docs), "copies")
+    few = set_aside.count() <= SENT_COPIES
+    c = set_aside.select(F.col("id").alias("c_id"), F.col("h").alias("c_h"))
+    rest = docs.join(F.broadcast(c) if few else c, (F.col("id") == F.col("c_id")) & (F.col("h") == F.col("c_h")), "left_anti")
+    anchors = repeated_anchors(rest.select("id", "text"), unit)
+    parts = anchored_fragments(rest.join(anchors, "id").select("id", "h", "text", "anchors"), unit)
+    spans = settle_fragments(parts, unit, decide).unionByName(set_aside.select("id", "h", F.lit(0).cast("long").alias("first"), F.lit(WHOLE).alias("last")))
     return spans.groupBy("id", "h").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+
+
+def clipped(first: list[int] | None, last: list[int] | None, n: int, span: int) -> list[tuple[int, int]]:
+    """The spans of a text of n codes; a copy's span is all of it, or nothing where no window fits in."""
+    if not first:
+        return []
+    if max(last) >= WHOLE:
+        return [(0, n)] if n >= span else []
+    return sorted(zip(first, last))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamis.llm.common import gram_hash, prefix_sums, ranges_mask, word_hashes, word_spans
-from tamis.llm.repeats import Unit, least_of, repeated_spans
+from tamis.llm.repeats import Unit, clipped, least_of, repeated_spans
 
 #: Words of a window, and of a reference block: any window holds a whole block, wherever blocks are counted from.
 SPAN, BLOCK = 50, 25
@@ -76,8 +76,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for text, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 words = text.encode().split()
                 kept = words
-                if a:
-                    gone = ranges_mask(len(words), np.array(a), np.array(b))
+                if runs := clipped(a, b, len(words), span):
+                    gone = ranges_mask(len(words), *np.array(runs).T)
                     kept = [w for w, g in zip(words, gone.tolist()) if not g]
                 shown = b" ".join(kept)
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(shown).hexdigest(), shown.decode() if with_text else None))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.repeats import Unit, repeated_spans
+from tamis.llm.repeats import Unit, clipped, repeated_spans
 
 #: Bytes of the strings that are compared, and of an anchor.
 SPAN, ANCHOR = 100, 32
@@ -111,7 +111,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for text, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 raw = text.encode()
                 runs: list[list[int]] = []
-                for x, y in sorted(zip(a, b)) if a else ():
+                for x, y in clipped(a, b, len(raw), span):
                     if runs and x <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], y)
                     else:
