@@ -17,9 +17,11 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 ORDER, DECAY = 4, 0.6
 #: Landmarks at most, their characters (with ^ and $ for a word's ends), the share of toxic texts that
 #: must hold one, and the least log odds.
-LANDMARKS, SHORTEST, LONGEST, LEAST_SHARE, LEAST_ODDS = 24, 4, 9, 0.02, 3.0
+LANDMARKS, SHORTEST, LONGEST, LEAST_SHARE, LEAST_ODDS = 16, 4, 9, 0.02, 2.0
 #: A longer word is scored in overlapping pieces of so many characters.
 PIECE = 32
+#: Words of a text whose decisions make its score, and the size to which a decision counts.
+TOP, CLIP = 3, 3.0
 #: Words whose scores a task remembers, and words scored at a time.
 REMEMBERED, BATCH = 500_000, 1024
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -70,12 +72,13 @@ def units_of(word: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """Landmarks, the weight of each one's kernel value, and the calibration of the largest decision to a score."""
+    """Landmarks, the weight of each one's kernel value, and the calibration of a text's TOP largest decisions (of
+    different words) to a score."""
 
     marks: list[str]
     weights: np.ndarray
     bias: float
-    slope: float
+    slope: tuple[float, ...]
     offset: float
 
     def key(self) -> tuple:
@@ -97,8 +100,9 @@ class ToxicityModel:
             np.maximum.at(out, np.array([owner[i] for i in part]), got)
         return out
 
-    def score(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.offset, -30, 30)))
+    def score(self, decisions: np.ndarray) -> np.ndarray:
+        """decisions: one row of TOP values for each text, the largest first."""
+        return 1 / (1 + np.exp(-np.clip(np.clip(decisions, -CLIP, CLIP) @ np.array(self.slope) + self.offset, -30, 30)))
 
 
 def _grams(word: str) -> set[str]:
@@ -171,7 +175,7 @@ def fit_toxicity(texts: list[tuple[set[str], bool]], rounds: int = 2) -> Toxicit
     marks = _landmarks(toxic, clean) if toxic and clean else []
     share = len(toxic) / max(1, len(bags))
     if not marks:
-        return ToxicityModel([], np.zeros(0), 0.0, 0.0, float(np.log((share + 0.01) / (1.01 - share))))
+        return ToxicityModel([], np.zeros(0), 0.0, (0.0,) * TOP, float(np.log((share + 0.01) / (1.01 - share))))
     gram = subsequence_kernel(marks, marks).astype(np.float64)
     scale = 1 / np.sqrt(np.diag(gram))
     unit = gram * scale[:, None] * scale
@@ -214,26 +218,26 @@ def fit_toxicity(texts: list[tuple[set[str], bool]], rounds: int = 2) -> Toxicit
                 if decision[top] > 0:
                     positive[top] = True
     floor = float(decision[in_clean].min()) if in_clean.any() else bias
-    d = np.array([max((decision[place[w]] for w in bag), default=floor) for bag, _ in bags])
+    d = np.array([(sorted((decision[place[w]] for w in bag), reverse=True)[:TOP] + [floor] * TOP)[:TOP] for bag, _ in bags])
     y = np.array([t for _, t in bags], float)
-    slope, offset = _platt(d, y)
+    slope, offset = _platt(np.clip(d, -CLIP, CLIP), y)
     return ToxicityModel(marks, weights, bias, slope, offset)
 
 
-def _platt(d: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic fit of the label on the decision, with Platt's softened targets."""
+def _platt(d: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Logistic fit of the label on the decisions, with Platt's softened targets."""
     pos, neg = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    z = np.stack([d, np.ones(len(d))], 1)
-    w = np.array([1.0, 0.0])
+    z = np.hstack([d, np.ones((len(d), 1))])
+    ridge = np.diag([1e-2] * d.shape[1] + [0])
+    w = np.array([1.0 / d.shape[1]] * d.shape[1] + [0.0])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hess = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-        move = np.linalg.solve(hess, z.T @ (p - target) + 1e-3 * np.array([w[0], 0]))
+        move = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(len(w)), z.T @ (p - target) + ridge @ w)
         w = w - move * min(1.0, 5 / (np.abs(move).max() + 1e-9))
         if np.abs(move).max() < 1e-6:
             break
-    return float(max(w[0], 0.0)), float(w[1])
+    return tuple(float(max(x, 0.0)) for x in w[:-1]), float(w[-1])
 
 
 def _single_letters(data, starts, ends, bounds) -> list[tuple[int, str]]:
@@ -273,7 +277,7 @@ def _scores(m: ToxicityModel, column, known: dict | None = None) -> np.ndarray:
     known = _remembered.setdefault(m.key(), {}) if known is None else known
     data, offsets = flat_texts(column)
     blank = float(m.decisions([""])[0])
-    out = np.full(len(column), blank)
+    out = np.full((len(column), TOP), blank)
     for a, b in chunks(offsets, 4 << 20):
         part = _FOLD[data[offsets[a] : offsets[b]]]
         starts, ends, bounds = word_spans(part, offsets[a : b + 1] - offsets[a])
@@ -285,11 +289,18 @@ def _scores(m: ToxicityModel, column, known: dict | None = None) -> np.ndarray:
         if len(known) > REMEMBERED:
             known.clear()
         known.update(zip(hashes[miss].tolist(), value[miss].tolist()))
-        full = np.flatnonzero(np.diff(bounds))
-        if len(full):
-            out[a + full] = np.maximum(blank, np.maximum.reduceat(value[back], bounds[:-1][full]))
-        for i, word in _single_letters(part, starts, ends, bounds):
-            out[a + i] = max(out[a + i], float(m.decisions([word])[0]))
+        # a text's different words, the most toxic first
+        text = np.repeat(np.arange(b - a), np.diff(bounds))
+        pair = np.unique(text * max(len(hashes), 1) + back) if len(back) else np.zeros(0, np.int64)
+        text, word = np.divmod(pair, max(len(hashes), 1))
+        order = np.lexsort((-value[word], text)) if len(pair) else pair
+        text, word = text[order], word[order]
+        rank = np.arange(len(text)) - np.searchsorted(text, text)
+        top = rank < TOP
+        out[a + text[top], rank[top]] = value[word[top]]
+        for i, letters in _single_letters(part, starts, ends, bounds):
+            own = np.append(out[a + i], m.decisions([letters]))
+            out[a + i] = np.sort(own)[::-1][:TOP]
     return m.score(out)
 
 
