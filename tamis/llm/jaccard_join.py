@@ -11,11 +11,19 @@ from tamis.llm.components import connected_components
 
 #: A shingle is frequent if it is in more than this share of all shingle occurrences (and in LEAST_FREQUENT documents):
 #: there can be no more than 2**20 such shingles, 8 MB, whatever the corpus; they are broadcast.
-FREQUENT_SHARE, LEAST_FREQUENT = 2.0**-20, 32
+FREQUENT_SHARE, LEAST_FREQUENT = 2.0**-20, 200
+#: Frequent shingles are combined in pairs where so many signatures must withstand losses; in larger sets, of which the
+#: pairs would be too many, they are signatures by themselves. Sets near the border, which may link across it, do both.
+MOST_COMBINED = 24
+#: The commonest words, whose counts say how rare a shingle is; they are broadcast (9 bytes each).
+COMMON_WORDS = 2**16
 #: Shingles that a task counts at a time, and the least count at which it reports one.
 FLUSH_SHINGLES, REPORT = 1 << 22, 4
-#: Documents of a bucket that are all paired at once; in larger buckets pairs across components follow.
-SMALL_BUCKET = 24
+#: Up to so many ids of documents to be compared are broadcast (8 bytes each); beyond, they are joined.
+SENT_IDS = 200_000
+#: Documents of a bucket that are all paired at once; in larger buckets each is paired with those LEAPS places on, and
+#: pairs across components follow.
+SMALL_BUCKET, LEAPS = 4, (1, 2, 4)
 #: Sets whose digests a task remembers.
 SEEN = 500_000
 #: Cells of a set's profile; the sum of the smaller counts bounds the overlap from above.
@@ -24,8 +32,12 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle) sorted by both without repeats, and the set sizes; a text of fewer than n words has one shingle."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int, common: tuple[np.ndarray, np.ndarray] | None = None):
+    """(text, shingle, set sizes, commonness), by text and shingle without repeats; commonness is None without `common`.
+
+    A text of fewer than n words has one shingle. A shingle is as common as its words are together; common holds word
+    hashes in order and the commonness of each (0 for other words).
+    """
     data = _LOWER[data]
     starts, ends, bounds = word_spans(data, offsets)
     codes = word_hashes(data, starts, ends)
@@ -36,21 +48,29 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     ok = at + n <= bounds[text + 1] if len(at) else np.zeros(0, bool)
     words = np.diff(bounds)
     short = np.flatnonzero((words > 0) & (words < n))
+    first, last = np.concatenate([at[ok], bounds[short]]), np.concatenate([at[ok] + n, bounds[short + 1]])
     text = np.concatenate([text[ok], short])
     token = np.concatenate([grams[ok], span_hash(sums, bounds[short], bounds[short + 1])])
     order = np.lexsort((token, text))
     text, token = text[order], token[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (token[1:] != token[:-1])
+    score = None
+    if common is not None:
+        known, level = common
+        found = np.minimum(np.searchsorted(known, codes), max(len(known) - 1, 0))
+        own = np.where(known[found] == codes, level[found], 0) if len(known) else np.zeros(len(codes), np.int64)
+        upto = np.concatenate([[0], np.cumsum(own, dtype=np.int64)])
+        score = (upto[last] - upto[first])[order][new]
     text, token = text[new], token[new]
-    return text, token, np.bincount(text, minlength=len(offsets) - 1)
+    return text, token, np.bincount(text, minlength=len(offsets) - 1), score
 
 
-def _sets(batch, n: int, id_at: int = 0, text_at: int = 1):
-    data, offsets = flat_texts(batch.column(text_at))
-    ids = batch.column(id_at).to_numpy(zero_copy_only=False)
+def _sets(batch, n: int, common=None):
+    data, offsets = flat_texts(batch.column(1))
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
     for a, b in chunks(offsets):
-        yield ids[a:b], *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
+        yield ids[a:b], *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n, common)
 
 
 def _fold(sizes, values) -> np.ndarray:
@@ -67,58 +87,85 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for ids, text, token, sizes in _sets(batch, n):
-                cell = np.bincount(text * CELLS + (token >> np.uint64(58)).astype(np.int64), minlength=len(ids) * CELLS)
-                cell = np.minimum(cell, 65535).astype(np.uint16).reshape(len(ids), CELLS)
+            data, offsets = flat_texts(batch.column(1))
+            for a, b in chunks(offsets):
+                text, token, sizes, _ = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
+                cell = np.bincount(text * CELLS + (token >> np.uint64(58)).astype(np.int64), minlength=(b - a) * CELLS)
+                cell = np.minimum(cell, 65535).astype(np.uint16).reshape(b - a, CELLS)
                 s1, s2 = _fold(sizes, mix(token)), _fold(sizes, mix(token ^ np.uint64(0xA5A5A5A55A5A5A5A)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([c.tobytes() for c in cell], pa.binary())], names=["id", "n_shingles", "s1", "s2", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([c.tobytes() for c in cell], pa.binary())], names=["id", "n_shingles", "s1", "s2", "cells"])
 
     return docs.mapInArrow(run, "id long, n_shingles long, s1 long, s2 long, cells binary")
 
 
-def frequent_shingles(docs: DataFrame, n: int, total: int) -> np.ndarray:
-    """Shingles of a large share of the documents, from every task's counts; which ones only matters for speed."""
+def frequencies(docs: DataFrame, n: int, total: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The frequent shingles, and the common words with log2 of their counts, from every task's counts.
+
+    Both are bounded whatever the corpus, and which ones they are only matters for speed.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         def report(held):
-            token, count = np.unique(np.concatenate(held), return_counts=True)
-            keep = count >= REPORT
-            return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(count[keep].astype(np.int64))], names=["token", "n"])
+            for kind, parts in enumerate(held):
+                token, count = np.unique(np.concatenate(parts), return_counts=True)
+                keep = count >= (REPORT, 4 * REPORT)[kind]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(keep.sum(), kind, np.int32)), pa.array(token[keep].view(np.int64)), pa.array(count[keep].astype(np.int64))], names=["kind", "token", "n"])
 
-        held, size = [], 0
+        held, size = ([], []), 0
         for batch in batches:
-            for _, _, token, _ in _sets(batch, n):
-                held.append(token)
-                size += len(token)
+            data, offsets = flat_texts(batch.column(1))
+            for a, b in chunks(offsets):
+                part, edges = _LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
+                held[0].append(shingle_sets(part, edges, n)[1])
+                held[1].append(word_hashes(part, *word_spans(part, edges)[:2]))
+                size += len(held[0][-1])
                 if size >= FLUSH_SHINGLES:
-                    yield report(held)
-                    held, size = [], 0
-        if held:
-            yield report(held)
+                    yield from report(held)
+                    held, size = ([], []), 0
+        if size:
+            yield from report(held)
 
+    counts = materialize(docs.mapInArrow(run, "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")), "shingle-counts")
     least = max(LEAST_FREQUENT, total * FREQUENT_SHARE)
-    counts = docs.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > least)
-    return np.sort(counts.select("token").toArrow().column(0).to_numpy().view(np.uint64))
-
-
-def signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    often = counts.where((F.col("kind") == 0) & (F.col("n") > least)).select("token").toArrow().column(0).to_numpy()
+    words = counts.where("kind = 1").orderBy(F.desc("n"), "token").limit(COMMON_WORDS).select("token", "n").toArrow()
+    hashes, times = words.column(0).to_numpy().view(np.uint64), words.column(1).to_numpy()
+    order = np.argsort(hashes)
+    return np.sort(often.view(np.uint64)), (hashes[order], np.log2(np.maximum(times[order], 2)).astype(np.uint8))
+
+
+def _ordered(text, token, sizes, score, known, percent: int, live):
+    """The shingles of the live texts in prefix order: (text, shingle, set size, first entry, prefix need, rare ones)."""
+    found = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
+    often = known[found] == token if len(known) else np.zeros(len(token), bool)
+    on = live[text]
+    text, token, often = text[on], token[on], often[on]
+    order = np.lexsort((token, score[on], often, text))
+    text, token, often = text[order], token[order], often[order]
+    own = np.where(live, sizes, 0)
+    return text, token, own, np.cumsum(own) - own, sizes - -(-percent * sizes // 100) + 1, np.bincount(text[~often], minlength=len(sizes))
+
+
+def signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(sig, s1, id, n): the signatures of every set; two sets that link have one in common.
 
-    The shingles are ordered rare ones first, by hash within a class. At most size - ceil(t * size) of a set's shingles
+    The shingles are ordered rare ones first, by the commonness of their words and then by hash within a class. At most size - ceil(t * size) of a set's shingles
     are missing from a set that links. Rare shingles are signatures by themselves, frequent ones in pairs; the prefix is
     extended until that many losses and one more cannot take every signature of it: each rare shingle counts one, m
     frequent ones count m - 1. The set whose prefix reaches less far then shares a whole signature with the other.
+    Sets for which that makes too many pairs take frequent shingles one by one, in the same order (MOST_COMBINED).
     """
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, common))
+    border = max(k for k in range(1, 100 * MOST_COMBINED) if k - -(-percent * k // 100) + 1 <= MOST_COMBINED)
 
     def run(batches):
         import pyarrow as pa
 
-        known, seen = sent.value, {}
+        (known, common), seen = sent.value, {}
         for batch in batches:
-            for ids, text, token, sizes in _sets(batch, n):
+            for ids, text, token, sizes, score in _sets(batch, n, common):
                 digest = _fold(sizes, mix(token))
                 # equal sets have equal signatures: of those in this task only ever smaller ids speak
                 first = np.zeros(len(ids), bool)
@@ -130,24 +177,18 @@ def signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> D
                         first[i], seen[key] = True, own
                 if len(seen) > SEEN:
                     seen = {}
-                found = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
-                often = known[found] == token if len(known) else np.zeros(len(token), bool)
-                live = first[text]
-                text, token, often = text[live], token[live], often[live]
-                order = np.lexsort((token, often, text))
-                text, token, often = text[order], token[order], often[order]
-                own = np.where(first, sizes, 0)
-                start = np.cumsum(own) - own
+                text, token, own, start, need, rare = _ordered(text, token, sizes, score, known, percent, first)
                 rank = np.arange(len(text)) - start[text]
-                need = sizes - -(-percent * sizes // 100) + 1
-                rare = np.bincount(text[~often], minlength=len(ids))
-                single = ~often & (rank < need[text])
+                often = rank >= rare[text]
+                alone = 100 * sizes > percent * border  # may link with a set beyond the border
+                single = (~often | alone[text]) & (rank < need[text])
                 sig, who = [token[single]], [text[single]]
-                more = np.where(rare < need, np.minimum(own - rare, need - rare + 1), 0)
+                more = np.where((rare < need) & (percent * sizes <= 100 * border), np.minimum(own - rare, need - rare + 1), 0)
                 for i in np.flatnonzero((more > 1) & first).tolist():
                     p = token[start[i] + rare[i] : start[i] + rare[i] + more[i]]
                     x, y = np.triu_indices(len(p), 1)
-                    sig.append(mix(p[x] * np.uint64(0x9E3779B97F4A7C15) + p[y]))
+                    low, high = np.minimum(p[x], p[y]), np.maximum(p[x], p[y])
+                    sig.append(mix(low * np.uint64(0x9E3779B97F4A7C15) + high))
                     who.append(np.full(len(x), i))
                 sig, who = np.concatenate(sig), np.concatenate(who)
                 for c in range(0, len(sig), 200_000):
@@ -161,7 +202,7 @@ def _by_bucket(batches, handle, width: int):
     """Call handle with the columns of whole buckets (rows come sorted by their first column), many at a time."""
     held, size = [], 0
     for batch in batches:
-        cols = [batch.column(i).to_numpy() for i in range(width)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)]
         if not len(cols[0]):
             continue
         if held and size >= 50_000:
@@ -219,7 +260,7 @@ def _pair_rows(a, b):
 
 
 def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of possible size: all of a small bucket; in a larger one each set with those 1, 2, 4, ... places on by size."""
+    """Pairs of possible size: all of a small bucket; in a larger one each set with those LEAPS places on by size."""
 
     def run(batches):
         def handle(cols):
@@ -229,15 +270,11 @@ def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
             edges = _edges_of(sig)
             left = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(sig))  # places up to the bucket's end
             a, b = [], []
-            step = 1
-            while step < len(sig):
-                can = np.flatnonzero((left > step) & ((m <= SMALL_BUCKET) | ((step & (step - 1)) == 0)))
-                if not len(can) and step > SMALL_BUCKET and step >= m.max():
-                    break
-                fit = can[100 * n[can] >= percent * n[can + step]] if len(can) else can
+            for step in range(1, 1 + max(SMALL_BUCKET - 1, *LEAPS)):
+                can = np.flatnonzero((left > step) & ((m <= SMALL_BUCKET) | (step in LEAPS)))
+                fit = can[100 * n[can] >= percent * n[can + step]]
                 a.append(ids[fit])
                 b.append(ids[fit + step])
-                step = step + 1 if step < SMALL_BUCKET else 1 << step.bit_length()
             yield from _pair_rows(np.concatenate(a), np.concatenate(b)) if a else ()
 
         yield from _by_bucket(batches, handle, 4)
@@ -246,11 +283,15 @@ def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows(sig, id, n, component) of large buckets -> all pairs of possible size whose components differ."""
+    """rows(sig, id, n, component, prefix) of large buckets -> the pairs across components that may link.
+
+    Sets that link miss so few of each other's shingles that most of the prefix which ends first is in the other prefix
+    too. Shared prefix shingles are counted within the bucket, so pairs that cannot link are never written.
+    """
 
     def run(batches):
         def handle(cols):
-            sig, ids, n, comp = cols
+            sig, ids, n, comp, prefix = cols
             edges = _edges_of(sig)
             for x, y in zip(edges[:-1], edges[1:]):
                 own, size, group = ids[x:y], n[x:y], comp[x:y]
@@ -258,21 +299,29 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 if len(kinds) == 1:
                     continue
                 main = back == np.argmax(count)
-                a, b, held = [], [], 0
+                lists = [np.frombuffer(p, np.uint32) for p in prefix[x:y]]
+                length = np.array([len(p) for p in lists])
+                token, at = np.unique(np.concatenate(lists), return_inverse=True)
+                starts = np.cumsum(length) - length
+                mine = np.zeros(len(token), bool)
+                a, b = [own[:0]], [own[:0]]
                 for i in np.flatnonzero(~main):
                     j = np.flatnonzero((group != group[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])) & (main | (own > own[i])))
+                    if not len(j):
+                        continue
+                    used = at[starts[i] : starts[i] + length[i]]
+                    mine[used] = True
+                    shared = np.add.reduceat(mine[at].astype(np.int64), starts)[j]
+                    mine[used] = False
+                    overlap = -(-percent * (size[i] + size[j]) // (100 + percent))
+                    j = j[shared >= np.minimum(length[i] - (size[i] - overlap), length[j] - (size[j] - overlap))]
                     a.append(np.full(len(j), own[i]))
                     b.append(own[j])
-                    held += len(j)
-                    if held > 1_000_000:
-                        yield from _pair_rows(np.concatenate(a), np.concatenate(b))
-                        a, b, held = [], [], 0
-                if held:
-                    yield from _pair_rows(np.concatenate(a), np.concatenate(b))
+                yield from _pair_rows(np.concatenate(a), np.concatenate(b))
 
-        yield from _by_bucket(batches, handle, 4)
+        yield from _by_bucket(batches, handle, 5)
 
-    return rows.repartition("sig").sortWithinPartitions("sig").select("sig", "id", "n", "component").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("sig").sortWithinPartitions("sig").select("sig", "id", "n", "component", "prefix").mapInArrow(run, "a long, b long").distinct()
 
 
 def _may_link(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -295,17 +344,26 @@ def _may_link(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _packed_sets(docs: DataFrame, n: int) -> DataFrame:
+def _packed_sets(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, common) -> DataFrame:
+    """(id, tokens, prefix): the whole set in order of the hashes, and the shingles of its prefix (32 bits of each)."""
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, common))
+
     def run(batches):
         import pyarrow as pa
 
+        known, common = sent.value
         for batch in batches:
-            for ids, _, token, sizes in _sets(batch, n):
+            for ids, text, token, sizes, score in _sets(batch, n, common):
                 ends = np.cumsum(sizes)
                 raw = token.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([raw[8 * (e - s) : 8 * e] for s, e in zip(sizes.tolist(), ends.tolist())], pa.binary())], names=["id", "tokens"])
+                tokens = [raw[8 * (e - s) : 8 * e] for s, e in zip(sizes.tolist(), ends.tolist())]
+                _, ordered, _, start, need, rare = _ordered(text, token, sizes, score, known, percent, np.ones(len(ids), bool))
+                short = ordered.astype(np.uint32).tobytes()
+                stop = start + np.minimum(sizes, np.maximum(need, need + (rare < need)))
+                prefix = [short[4 * a : 4 * b] for a, b in zip(start.tolist(), stop.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tokens, pa.binary()), pa.array(prefix, pa.binary())], names=["id", "tokens", "prefix"])
 
-    return docs.mapInArrow(run, "id long, tokens binary")
+    return docs.mapInArrow(run, "id long, tokens binary, prefix binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -329,6 +387,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def _only(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """The rows with a used id."""
+    used = materialize(used.distinct(), "used")
+    return rows.join(F.broadcast(used) if used.count() <= SENT_IDS else used, rows["id"] == used["used"], "left_semi")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """Per row of docs: id, n_shingles, component_id.
 
@@ -347,20 +411,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = materialize(profiles(rows, words), "profiles")
     rows = rows.where("id is not null")
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    bucket = materialize(buckets(signatures(rows, words, percent, frequent_shingles(rows, words, total))), "buckets")
+    counted = frequencies(rows, words, total)
+    bucket = materialize(buckets(signatures(rows, words, percent, *counted)), "buckets")
     node = known.where("n_shingles > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min_by("cells", "id").alias("cells"))
-    node = node.select("s1", "s2", F.col("node").alias("id"), "n_shingles", "cells")
+    node = materialize(node.select("s1", "s2", F.col("node").alias("id"), "n_shingles", "cells"), "nodes")
     tried = materialize(first_pairs(bucket, percent), "pairs")
     pairs = materialize(_may_link(tried, node, percent), "pairs-kept")
-    large = bucket.where(F.col("m") > SMALL_BUCKET)
-    used = pairs.select(F.col("a").alias("used")).union(pairs.select("b")).union(large.select("id")).distinct()
-    sets = materialize(_packed_sets(rows.join(used, rows["id"] == used["used"], "left_semi"), words).dropDuplicates(["id"]), "sets")
+    sets = materialize(_packed_sets(_only(rows, pairs.select(F.col("a").alias("used")).union(pairs.select("b"))), words, percent, *counted).dropDuplicates(["id"]), "sets")
     links = materialize(_verified(pairs, sets, percent), "links")
     label = materialize(connected_components(links), "labels")
+    # large buckets that still hold several components: what links across them is found and verified
+    large = bucket.where(F.col("m") > SMALL_BUCKET)
     named = large.join(label, large["id"] == label["node"], "left").select("sig", "id", "n", F.coalesce("component", "id").alias("component"))
-    later = materialize(_may_link(cross_pairs(named, percent).join(tried, ["a", "b"], "left_anti"), node, percent), "pairs-later")
+    mixed = named.groupBy("sig").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select(F.col("sig").alias("k"))
+    named = materialize(named.join(mixed, F.col("sig") == F.col("k"), "left_semi"), "mixed")
+    more = materialize(_packed_sets(_only(rows, named.select(F.col("id").alias("used"))), words, percent, *counted).dropDuplicates(["id"]), "sets-mixed")
+    across = named.join(more.select(F.col("id").alias("p_id"), "prefix"), F.col("id") == F.col("p_id"))
+    later = materialize(_may_link(cross_pairs(across, percent).join(tried, ["a", "b"], "left_anti"), node, percent), "pairs-later")
     if not later.isEmpty():
-        links = links.unionByName(_verified(later, sets, percent))
+        links = links.unionByName(_verified(later, more, percent))
         label = materialize(connected_components(links), "labels")
     keys = node.select("s1", "s2", F.col("id").alias("node")).join(label.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.coalesce("component", "node").alias("component"))
     out = known.join(keys, (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n_shingles") > 0), "left")
