@@ -18,7 +18,7 @@ MOST_COMBINED = 24
 #: The commonest words, whose counts say how rare a shingle is; they are broadcast (9 bytes each).
 COMMON_WORDS = 2**16
 #: Shingles that a task counts at a time, and the least count at which it reports one.
-FLUSH_SHINGLES, REPORT = 1 << 22, 4
+FLUSH_SHINGLES, REPORT = 1 << 21, 3
 #: Up to so many ids of documents to be compared are broadcast (8 bytes each); beyond, they are joined.
 SENT_IDS = 200_000
 #: Documents of a bucket that are all paired at once; in larger buckets each is paired with those LEAPS places on, and
