@@ -24,8 +24,6 @@ UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml cl l s sec min h hr hrs d day
 _CLASS = np.zeros(256, np.uint8)  # 0 other, 1 punctuation, 2 digit
 _CLASS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = 1
 _CLASS[[ord(c) for c in "0123456789"]] = 2
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0xA11, 0xA22, 0xA33))
 _unit_hashes: list = []
 
@@ -36,32 +34,41 @@ def _of_words(words: list[str]) -> np.ndarray:
     return word_hashes(data, starts, ends)
 
 
-def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template code, literal hash, bounds) of every word, where words lose punctuation and case.
+def folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts without case, as Unicode folds it; the words stay as many as they were."""
+    raw = data.tobytes()
+    texts = [raw[a:b].decode("utf-8", "surrogateescape").casefold().encode("utf-8", "surrogateescape") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
 
-    A number is a word of digits and punctuation; a unit is a listed unit right after a number; a name is a capitalised
-    word that neither begins a text nor follows a word that ends in one of . ! ? : ; or a line's end.
+
+def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Codes of every word at each level, and the texts' bounds; words lose punctuation and case.
+
+    Level 0 holds the word itself, level 1 types numbers and units, level 2 names as well. A number is a word of digits
+    and punctuation; a unit is a listed unit right after a number; a name is a capitalised word that neither begins a
+    text nor follows a word that ends in one of . ! ? : ; or a line's end. Only level 2 goes by the text's case.
     """
-    starts, ends, _ = word_spans(data, offsets)
+    starts, _, _ = word_spans(data, offsets)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return [np.zeros(0, np.uint64)] * 3, np.zeros(len(offsets), np.int64)
+    lead = data[starts]
+    second = data[np.minimum(starts + 1, len(data) - 1)]
+    capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+    data, offsets = folded(data, offsets)
+    starts, ends, _ = word_spans(data, offsets)
     kind = _CLASS[data]
     punct = np.concatenate([[0], np.cumsum(kind == 1)])
     digit = np.concatenate([[0], np.cumsum(kind == 2)])
     whole = (ends - starts) > (punct[ends] - punct[starts])  # words of punctuation alone are no words
-    starts, ends = starts[whole], ends[whole]
+    starts, ends, capital = starts[whole], ends[whole], capital[whole]
     bounds = np.searchsorted(starts, offsets)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), bounds
+        return [np.zeros(0, np.uint64)] * 3, bounds
     keep = kind != 1
     shift = np.concatenate([[0], np.cumsum(keep)])
-    bare = _LOWER[data[keep]]
-    literal = word_hashes(bare, shift[starts], shift[ends])
+    literal = word_hashes(data[keep], shift[starts], shift[ends])
     digits = digit[ends] - digit[starts]
     number = (digits > 0) & (digits + punct[ends] - punct[starts] == ends - starts)
-    lead = data[starts]
-    second = data[np.minimum(starts + 1, len(data) - 1)]
-    capital = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     fresh = np.ones(len(starts), bool)
     last = data[ends[:-1] - 1]
     breaks = np.concatenate([[0], np.cumsum(data == 10)])
@@ -73,36 +80,37 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     after[1:] = number[:-1]
     after[bounds[:-1][bounds[:-1] < len(starts)]] = False
     unit = after & np.isin(literal, _unit_hashes[0])
-    code = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(capital & ~fresh, _NAME, literal)))
-    return code, literal, bounds
+    typed = np.where(number, _NUMBER, np.where(unit, _UNIT, literal))
+    return [literal, typed, np.where(capital & ~fresh & ~number & ~unit, _NAME, typed)], bounds
 
 
 def _windows(data, offsets):
-    """(text, first word, width, hash) of every template window, and what the slots hold."""
-    code, literal, bounds = templates(data, offsets)
+    """(text, first word, width, level) and hash of every template window, the levels' codes, and the texts' bounds.
+
+    Every window is hashed by its words without case, and at each level that types some more of them and leaves enough.
+    """
+    levels, bounds = templates(data, offsets)
     sizes = np.diff(bounds)
-    slots = code != literal
-    filled = np.concatenate([[0], np.cumsum(slots)])
     out = []
     for width in (WINDOW, *sorted({int(s) for s in sizes if 0 < s < WINDOW})):
-        a, b = gram_hash(prefix_sums(code), width), gram_hash(prefix_sums(literal), width)
-        if not len(a):
-            continue
-        first = np.arange(len(a))
+        first = np.arange(max(len(levels[0]) - width + 1, 0))
         text = np.searchsorted(bounds, first, side="right") - 1
         ok = (first + width <= bounds[text + 1]) & ((sizes[text] == width) | (width == WINDOW))
-        first, text = first[ok], text[ok]
-        literals = width - (filled[first + width] - filled[first])
-        h = np.where(literals >= min(LEAST_LITERALS, width), a[first], mix(b[first] + np.uint64(1)))
-        out.append((text, first, np.full(len(first), width), h))
-    if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64), code, literal, bounds
-    text, first, width, h = (np.concatenate(x) for x in zip(*out))
-    return (text, first, width), h, code, literal, bounds
+        fewer = np.zeros(len(first), np.int64)
+        for level, code in enumerate(levels):
+            filled = np.concatenate([[0], np.cumsum(code != levels[0])])
+            slots = filled[first + width] - filled[first]
+            at = np.flatnonzero(ok & ((level == 0) | (slots > fewer) & (width - slots >= min(LEAST_LITERALS, width))))
+            h = gram_hash(prefix_sums(code), width)[at]
+            out.append((text[at], first[at], np.full(len(at), width), np.full(len(at), level), mix(h + np.uint64(1)) if level == 0 else h))
+            fewer = slots
+    text, first, width, level, h = (np.concatenate(x) for x in zip(*out))
+    return (text, first, width, level), h, levels, bounds
 
 
 def template_windows(texts: DataFrame, id_col: str, text_col: str, only: np.ndarray | None = None) -> DataFrame:
-    """Rows (id, pos, h, fills): every window, or those whose hash is in only; fills are the hashes of what its slots hold."""
+    """Rows (id, pos, h, fills): every window and level, or those whose hash is in only; fills are the hashes of what the
+    level's slots hold, none where the words themselves are hashed."""
     kind = texts.schema[id_col].dataType.simpleString()
     sent = None if only is None else texts.sparkSession.sparkContext.broadcast(np.sort(only))
 
@@ -114,17 +122,18 @@ def template_windows(texts: DataFrame, id_col: str, text_col: str, only: np.ndar
             data, offsets = flat_texts(batch.column(1))
             for a, b in chunks(offsets):
                 part = offsets[a : b + 1]
-                (text, first, width), h, code, literal, bounds = _windows(data[part[0] : part[-1]], part - part[0])
+                (text, first, width, level), h, levels, bounds = _windows(data[part[0] : part[-1]], part - part[0])
                 if known is not None:
                     at = np.searchsorted(known, h)
                     hit = np.flatnonzero((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == h)) if len(known) else []
-                    text, first, width, h = text[hit], first[hit], width[hit], h[hit]
+                    text, first, width, level, h = text[hit], first[hit], width[hit], level[hit], h[hit]
+                codes, literal = np.array(levels), levels[0]
                 for c in range(0, len(h), 100_000):
-                    t, f, w = text[c : c + 100_000], first[c : c + 100_000], width[c : c + 100_000]
+                    t, f, w, k = (x[c : c + 100_000] for x in (text, first, width, level))
                     at = f[:, None] + np.arange(WINDOW)
                     inside = np.arange(WINDOW) < w[:, None]
-                    at = np.minimum(at, len(code) - 1)
-                    slot = inside & (code[at] != literal[at])
+                    at = np.minimum(at, len(literal) - 1)
+                    slot = inside & (codes[k[:, None], at] != literal[at])
                     fills = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(slot.sum(1))]), pa.int32()), pa.array(literal[at][slot].view(np.int64)))
                     ids = batch.column(0).take(pa.array(t + a))
                     yield pa.RecordBatch.from_arrays([ids, pa.array((f - bounds[t]).astype(np.int64)), pa.array(h[c : c + 100_000].view(np.int64)), fills], names=["id", "pos", "h", "fills"])
@@ -136,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per contaminated document and item: id, item_id, n_windows (distinct windows met), share, reworded.
 
     A document holds an item when, on one alignment of the two, at least half of the item's template windows (or
-    LEAST_WINDOWS of them) are met, and the slots are consistent: whatever fills a slot of the item is everywhere
+    LEAST_WINDOWS of them) are met, by their words whatever their case or by a template, and the slots are consistent: whatever fills a slot of the item is everywhere
     replaced by the same thing. reworded says that some slot was filled differently. Null and empty texts hold nothing;
     documents with a null id are compared like others and share their decision; repeated rows count once; items with
     equal texts are all reported; empty tables give no rows.
@@ -149,10 +158,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         only = np.array([r.h for r in items.select("h").distinct().collect()], np.int64).view(np.uint64)
     found = template_windows(docs, id_col, text_col, only)
     i = items.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h", F.col("fills").alias("item_fills"))
-    met = found.join(i, "h").where(F.size("fills") == F.size("item_fills")).withColumn("shift", F.col("pos") - F.col("item_pos")).dropDuplicates(["id", "item", "item_pos", "shift"])
+    met = found.join(i, "h").where(F.size("fills") == F.size("item_fills")).withColumn("shift", F.col("pos") - F.col("item_pos")).dropDuplicates(["id", "item", "item_pos", "shift", "h"])
     met = materialize(met, "bench-met")
-    sizes = items.groupBy(F.col("id").alias("item")).agg(F.count("*").alias("size"))
-    whole = met.groupBy("id", "item", "shift").agg(F.count("*").alias("n_windows")).join(sizes, "item").where((F.col("n_windows") >= LEAST_SHARE * F.col("size")) | (F.col("n_windows") >= LEAST_WINDOWS))
+    sizes = items.groupBy(F.col("id").alias("item")).agg(F.countDistinct("pos").alias("size"))
+    whole = met.groupBy("id", "item", "shift").agg(F.countDistinct("item_pos").alias("n_windows")).join(sizes, "item").where((F.col("n_windows") >= LEAST_SHARE * F.col("size")) | (F.col("n_windows") >= LEAST_WINDOWS))
     slots = met.select("id", "item", "shift", F.explode(F.arrays_zip("fills", "item_fills")).alias("z")).groupBy("id", "item", "shift", F.col("z.item_fills").alias("was")).agg(F.min("z.fills").alias("a"), F.max("z.fills").alias("b"))
     odd = slots.groupBy("id", "item", "shift").agg(F.max((F.col("a") != F.col("b")).cast("int")).alias("torn"), F.max((F.col("a") != F.col("was")).cast("int")).alias("reworded"))
     o = odd.select(F.col("id").alias("o_id"), F.col("item").alias("o_item"), F.col("shift").alias("o_shift"), "torn", "reworded")

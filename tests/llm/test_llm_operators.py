@@ -340,6 +340,23 @@ def test_decontamination(spark):
     assert decontamination.drop_contaminated(d, b.where("item_id < 0")).count() == len(rows)
 
 
+ITEM = "A train leaves London at 9 and travels 120 km to Paris in 3 hours before Anna walks home with 120 books."
+
+
+def flagged(spark, texts, items):
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {r.doc_id: (r.item_ids, r.reworded) for r in decontamination.flag_contaminated(frame(spark, list(enumerate(texts))), b).collect()}
+
+
+def test_decontamination_whatever_the_case(spark):
+    accents = "Émile a vu l'été à Évian où la forêt près de la Straße est très âgée et où l'île était déjà Çà et là."
+    moved = ITEM.replace("120", "480").replace(" 9 ", " 7 ")
+    pad = " ".join(words(random.Random(12), 60))
+    texts = [f"{pad}\n{x}\n{pad}" for x in (ITEM.upper(), ITEM.lower(), accents.upper(), accents.lower(), moved.upper(), moved.lower())] + [pad.upper()]
+    got = flagged(spark, texts, [ITEM, accents])
+    assert got == {0: ([0], False), 1: ([0], False), 2: ([1], False), 3: ([1], False), 4: ([0], True), 5: ([0], True), 6: ([], False)}
+
+
 def _kernel(s, t, n, lam):
     """Lodhi's kernel by its definition."""
     from itertools import combinations
