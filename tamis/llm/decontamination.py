@@ -144,9 +144,11 @@ def template_windows(texts: DataFrame, id_col: str, text_col: str, only: np.ndar
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per contaminated document and item: id, item_id, n_windows (distinct windows met), share, reworded.
 
-    A document holds an item when, on one alignment of the two, at least half of the item's template windows (or
-    LEAST_WINDOWS of them) are met, by their words whatever their case or by a template, and the slots are consistent: whatever fills a slot of the item is everywhere
-    replaced by the same thing. reworded says that some slot was filled differently. Null and empty texts hold nothing;
+    A document holds an item when one stretch of it meets at least half of the item's windows (or LEAST_WINDOWS of
+    them), by their words whatever their case or by a template. A stretch is one alignment of the two, or neighbouring
+    ones that words put in or left out (up to about half as many as the item has) set apart. Windows that meet by a template alone count where the
+    stretch's slots are consistent: whatever fills a slot of the item is everywhere in them replaced by the same thing.
+    reworded says that some slot was filled differently. Null and empty texts hold nothing;
     documents with a null id are compared like others and share their decision; repeated rows count once; items with
     equal texts are all reported; empty tables give no rows.
     """
@@ -160,13 +162,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     i = items.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h", F.col("fills").alias("item_fills"))
     met = found.join(i, "h").where(F.size("fills") == F.size("item_fills")).withColumn("shift", F.col("pos") - F.col("item_pos")).dropDuplicates(["id", "item", "item_pos", "shift", "h"])
     met = materialize(met, "bench-met")
-    sizes = items.groupBy(F.col("id").alias("item")).agg(F.countDistinct("pos").alias("size"))
-    whole = met.groupBy("id", "item", "shift").agg(F.countDistinct("item_pos").alias("n_windows")).join(sizes, "item").where((F.col("n_windows") >= LEAST_SHARE * F.col("size")) | (F.col("n_windows") >= LEAST_WINDOWS))
-    slots = met.select("id", "item", "shift", F.explode(F.arrays_zip("fills", "item_fills")).alias("z")).groupBy("id", "item", "shift", F.col("z.item_fills").alias("was")).agg(F.min("z.fills").alias("a"), F.max("z.fills").alias("b"))
-    odd = slots.groupBy("id", "item", "shift").agg(F.max((F.col("a") != F.col("b")).cast("int")).alias("torn"), F.max((F.col("a") != F.col("was")).cast("int")).alias("reworded"))
-    o = odd.select(F.col("id").alias("o_id"), F.col("item").alias("o_item"), F.col("shift").alias("o_shift"), "torn", "reworded")
-    held = whole.join(o, F.col("id").eqNullSafe(F.col("o_id")) & F.col("item").eqNullSafe(F.col("o_item")) & (F.col("shift") == F.col("o_shift")), "left").where(F.coalesce("torn", F.lit(0)) == 0)
-    out = held.groupBy("id", "item").agg(F.max("n_windows").alias("n_windows"), F.max(F.col("n_windows") / F.col("size")).alias("share"), F.min(F.coalesce("reworded", F.lit(0))).cast("boolean").alias("reworded"))
+    sizes = items.groupBy(F.col("id").alias("item")).agg(F.countDistinct("pos").alias("size"), (F.max("pos") + WINDOW).alias("words"))
+    # a stretch is one shift (part 0), or a band of shifts (part 1) narrower than the item, so that its next copy is in another
+    band = F.floor(F.col("shift") / F.floor(F.col("words") / 2))
+    parts = F.array(*(F.struct(F.lit(part).alias("part"), key.alias("key")) for part, key in ((0, F.col("shift")), (1, band), (1, band - 1))))
+    near = met.join(sizes, "item").withColumn("stretch", F.explode(parts))
+    at = near.groupBy("id", "item", "stretch", "item_pos").agg(F.max(F.size("fills") == 0).alias("literal"), F.collect_set(F.arrays_zip("fills", "item_fills")).alias("z"))
+    slots = at.where(~F.col("literal")).select("id", "item", "stretch", F.explode(F.flatten("z")).alias("z")).groupBy("id", "item", "stretch", F.col("z.item_fills").alias("was")).agg((F.min("z.fills") != F.max("z.fills")).alias("torn"))
+    torn = slots.where("torn").select(F.col("id").alias("o_id"), F.col("item").alias("o_item"), F.col("stretch").alias("o_stretch")).distinct().withColumn("torn", F.lit(True))
+    sums = at.groupBy("id", "item", "stretch").agg(F.count("*").alias("n"), F.sum(F.col("literal").cast("long")).alias("n_literal"))
+    sums = sums.join(torn, F.col("id").eqNullSafe(F.col("o_id")) & F.col("item").eqNullSafe(F.col("o_item")) & (F.col("stretch") == F.col("o_stretch")), "left").withColumn("n_windows", F.when(F.col("torn"), F.col("n_literal")).otherwise(F.col("n")))
+    held = sums.join(sizes, "item").where((F.col("n_windows") >= LEAST_SHARE * F.col("size")) | (F.col("n_windows") >= LEAST_WINDOWS))
+    out = held.groupBy("id", "item").agg(F.max("n_windows").alias("n_windows"), F.max(F.col("n_windows") / F.col("size")).alias("share"), F.min(F.col("n") > F.col("n_literal")).alias("reworded"))
     return out.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "n_windows", "share", "reworded")
 
 

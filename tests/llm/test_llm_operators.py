@@ -357,6 +357,22 @@ def test_decontamination_whatever_the_case(spark):
     assert got == {0: ([0], False), 1: ([0], False), 2: ([1], False), 3: ([1], False), 4: ([0], True), 5: ([0], True), 6: ([], False)}
 
 
+def test_decontamination_with_words_put_in_or_left_out(spark):
+    item = " ".join(f"{a}{i}" for i, a in enumerate(words(random.Random(13), 38)))
+    w = item.split()
+    pad = " ".join(words(random.Random(14), 60))
+    around = [w[:19] + ["inserted"] + w[19:], w[:19] + w[20:], w[:19] + ["a", "longer", "aside"] + w[19:], w[:6] + w[31:]]
+    got = flagged(spark, [f"{pad} {' '.join(x)} {pad}" for x in around], [item, ITEM])
+    assert got == {0: ([0], False), 1: ([0], False), 2: ([0], False), 3: ([], False)}
+    # copies with other fills side by side, with a word put in, and a slot torn beside a literal copy of most windows
+    moved = ITEM.replace("120", "480").replace("London", "Madrid").replace(" and travels", " sharp and travels")
+    other = ITEM.replace("120", "77").replace("London", "Turin")
+    torn = f"{ITEM} {' '.join(w[:20])}"
+    half = torn.replace("London", "Oslo", 1).replace("with 120 books", "with 7 books").replace("travels 120 km", "travels 9 km")
+    got = flagged(spark, [f"{pad} {moved} {pad}", f"{pad} {other} {moved} {other} {pad}", f"{pad} {half} {pad}"], [ITEM, torn])
+    assert got == {0: ([0], True), 1: ([0, 1], True), 2: ([1], True)}  # other alone is 15 windows of torn's first half
+
+
 def _kernel(s, t, n, lam):
     """Lodhi's kernel by its definition."""
     from itertools import combinations
