@@ -84,18 +84,19 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray],
     return [literal, typed, np.where(capital & ~fresh & ~number & ~unit, _NAME, typed)], bounds
 
 
-def _windows(data, offsets):
+def _windows(data, offsets, widths=None):
     """(text, first word, width, level) and hash of every template window, the levels' codes, and the texts' bounds.
 
     Every window is hashed by its words without case, and at each level that types some more of them and leaves enough.
+    Windows are of the given widths; without these, of WINDOW words, or of all words of a text that has fewer.
     """
     levels, bounds = templates(data, offsets)
     sizes = np.diff(bounds)
     out = []
-    for width in (WINDOW, *sorted({int(s) for s in sizes if 0 < s < WINDOW})):
+    for width in widths or (WINDOW, *sorted({int(s) for s in sizes if 0 < s < WINDOW})):
         first = np.arange(max(len(levels[0]) - width + 1, 0))
         text = np.searchsorted(bounds, first, side="right") - 1
-        ok = (first + width <= bounds[text + 1]) & ((sizes[text] == width) | (width == WINDOW))
+        ok = (first + width <= bounds[text + 1]) & (bool(widths) | (sizes[text] == width) | (width == WINDOW))
         fewer = np.zeros(len(first), np.int64)
         for level, code in enumerate(levels):
             filled = np.concatenate([[0], np.cumsum(code != levels[0])])
@@ -108,8 +109,8 @@ def _windows(data, offsets):
     return (text, first, width, level), h, levels, bounds
 
 
-def template_windows(texts: DataFrame, id_col: str, text_col: str, only: np.ndarray | None = None) -> DataFrame:
-    """Rows (id, pos, h, fills): every window and level, or those whose hash is in only; fills are the hashes of what the
+def template_windows(texts: DataFrame, id_col: str, text_col: str, only: np.ndarray | None = None, widths: list[int] | None = None) -> DataFrame:
+    """Rows (id, pos, width, h, fills): every window and level, or those whose hash is in only; fills are the hashes of what the
     level's slots hold, none where the words themselves are hashed."""
     kind = texts.schema[id_col].dataType.simpleString()
     sent = None if only is None else texts.sparkSession.sparkContext.broadcast(np.sort(only))
@@ -122,7 +123,7 @@ def template_windows(texts: DataFrame, id_col: str, text_col: str, only: np.ndar
             data, offsets = flat_texts(batch.column(1))
             for a, b in chunks(offsets):
                 part = offsets[a : b + 1]
-                (text, first, width, level), h, levels, bounds = _windows(data[part[0] : part[-1]], part - part[0])
+                (text, first, width, level), h, levels, bounds = _windows(data[part[0] : part[-1]], part - part[0], widths)
                 if known is not None:
                     at = np.searchsorted(known, h)
                     hit = np.flatnonzero((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == h)) if len(known) else []
@@ -136,9 +137,9 @@ def template_windows(texts: DataFrame, id_col: str, text_col: str, only: np.ndar
                     slot = inside & (codes[k[:, None], at] != literal[at])
                     fills = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(slot.sum(1))]), pa.int32()), pa.array(literal[at][slot].view(np.int64)))
                     ids = batch.column(0).take(pa.array(t + a))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array((f - bounds[t]).astype(np.int64)), pa.array(h[c : c + 100_000].view(np.int64)), fills], names=["id", "pos", "h", "fills"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array((f - bounds[t]).astype(np.int64)), pa.array(w.astype(np.int32)), pa.array(h[c : c + 100_000].view(np.int64)), fills], names=["id", "pos", "width", "h", "fills"])
 
-    return texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"id {kind}, pos long, h long, fills array<long>")
+    return texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"id {kind}, pos long, width int, h long, fills array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -148,6 +149,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     them), by their words whatever their case or by a template. A stretch is one alignment of the two, or neighbouring
     ones that words put in or left out (up to about half as many as the item has) set apart. Windows that meet by a template alone count where the
     stretch's slots are consistent: whatever fills a slot of the item is everywhere in them replaced by the same thing.
+    An item of fewer than WINDOW words is one window, looked for at every place of every document: an item of one or
+    two words is held by all documents with these words. With fewer than LEAST_LITERALS literal words of its own, an
+    item is met by its words only.
     reworded says that some slot was filled differently. Null and empty texts hold nothing;
     documents with a null id are compared like others and share their decision; repeated rows count once; items with
     equal texts are all reported; empty tables give no rows.
@@ -158,13 +162,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     only = None
     if items.count() <= SENT_WINDOWS:
         only = np.array([r.h for r in items.select("h").distinct().collect()], np.int64).view(np.uint64)
-    found = template_windows(docs, id_col, text_col, only)
+    widths = sorted(r.width for r in items.select("width").distinct().collect())  # WINDOW values at most
+    found = template_windows(docs, id_col, text_col, only, widths)
     i = items.select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h", F.col("fills").alias("item_fills"))
     met = found.join(i, "h").where(F.size("fills") == F.size("item_fills")).withColumn("shift", F.col("pos") - F.col("item_pos")).dropDuplicates(["id", "item", "item_pos", "shift", "h"])
     met = materialize(met, "bench-met")
-    sizes = items.groupBy(F.col("id").alias("item")).agg(F.countDistinct("pos").alias("size"), (F.max("pos") + WINDOW).alias("words"))
+    sizes = items.groupBy(F.col("id").alias("item")).agg(F.countDistinct("pos").alias("size"), (F.max("pos") + F.max("width")).alias("words"))
     # a stretch is one shift (part 0), or a band of shifts (part 1) narrower than the item, so that its next copy is in another
-    band = F.floor(F.col("shift") / F.floor(F.col("words") / 2))
+    band = F.floor(F.col("shift") / F.greatest(F.floor(F.col("words") / 2), F.lit(1)))
     parts = F.array(*(F.struct(F.lit(part).alias("part"), key.alias("key")) for part, key in ((0, F.col("shift")), (1, band), (1, band - 1))))
     near = met.join(sizes, "item").withColumn("stretch", F.explode(parts))
     at = near.groupBy("id", "item", "stretch", "item_pos").agg(F.max(F.size("fills") == 0).alias("literal"), F.collect_set(F.arrays_zip("fills", "item_fills")).alias("z"))

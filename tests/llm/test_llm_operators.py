@@ -373,6 +373,14 @@ def test_decontamination_with_words_put_in_or_left_out(spark):
     assert got == {0: ([0], True), 1: ([0, 1], True), 2: ([1], True)}  # other alone is 15 windows of torn's first half
 
 
+def test_decontamination_of_short_items_in_long_texts(spark):
+    items = ["Who wrote Moby Dick then?", "seven plain words make one window here", "Anna paid 12 euros today", "eleven"]
+    pad = " ".join(words(random.Random(15), 40))
+    texts = [f"{pad} {x} {pad}" for x in ("who wrote moby dick, THEN", items[1], "Anna paid 15 euros today", "Anna paid 12 euros today", "who wrote", "Eleven!")] + ["seven plain words make one window here", pad]
+    assert flagged(spark, texts, items) == {0: ([0], False), 1: ([1], False), 2: ([], False), 3: ([2], False), 4: ([], False), 5: ([3], False), 6: ([1], False), 7: ([], False)}
+    assert flagged(spark, [pad + " eleven", pad], ["eleven", None, ""]) == {0: ([0], False), 1: ([], False)}
+
+
 def _kernel(s, t, n, lam):
     """Lodhi's kernel by its definition."""
     from itertools import combinations
