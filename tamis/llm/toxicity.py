@@ -18,6 +18,8 @@ ORDER, DECAY = 4, 0.6
 #: Landmarks at most, their characters (with ^ and $ for a word's ends), the share of toxic texts that
 #: must hold one, and the least log odds.
 LANDMARKS, SHORTEST, LONGEST, LEAST_SHARE, LEAST_ODDS = 16, 4, 9, 0.02, 2.0
+#: A word is no evidence of toxicity if clean texts hold it more often than so many times as often as toxic ones.
+MOST_CLEAN = 0.1
 #: A longer word is scored in overlapping pieces of so many characters.
 PIECE = 32
 #: Words of a text whose decisions make its score, and the size to which a decision counts.
@@ -72,14 +74,16 @@ def units_of(word: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """Landmarks, the weight of each one's kernel value, and the calibration of a text's TOP largest decisions (of
-    different words) to a score."""
+    """Landmarks, the weight of each one's kernel value, and the calibrations of a text's TOP largest decisions (of
+    different words) to a score: alone, and beside the logarithms of how many words the text has and how many of them
+    the machine calls toxic, as among more words the largest decision is larger by chance."""
 
     marks: list[str]
     weights: np.ndarray
     bias: float
     slope: tuple[float, ...]
     offset: float
+    sized: tuple[float, ...] = ()
 
     def key(self) -> tuple:
         return (*self.marks, self.weights.tobytes(), self.bias)
@@ -100,19 +104,31 @@ class ToxicityModel:
             np.maximum.at(out, np.array([owner[i] for i in part]), got)
         return out
 
-    def score(self, decisions: np.ndarray) -> np.ndarray:
-        """decisions: one row of TOP values for each text, the largest first."""
-        return 1 / (1 + np.exp(-np.clip(np.clip(decisions, -CLIP, CLIP) @ np.array(self.slope) + self.offset, -30, 30)))
+    def score(self, decisions: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """decisions: one row of TOP values for each text, the largest first; sizes: its words, and those called toxic.
+        The larger of the two calibrations counts; that with the sizes only where some word is called toxic."""
+        d = np.clip(decisions, -CLIP, CLIP)
+        z = d @ np.array(self.slope) + self.offset
+        if self.sized and sizes is not None:
+            z = np.where(sizes[:, 1] > 0, np.maximum(z, np.hstack([d, np.log1p(sizes)]) @ np.array(self.sized[:-1]) + self.sized[-1]), z)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _grams(word: str) -> set[str]:
     return {u[i : i + size] for u in units_of(word) for size in range(SHORTEST, LONGEST + 1) for i in range(len(u) - size + 1)}
 
 
+def _usual(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
+    """Words of clean texts that are no evidence: those which toxic texts do not hold far more often."""
+    good, bad = (Counter(w for d in part for w in d) for part in (clean, toxic))
+    return {w for w, times in good.items() if times * len(toxic) > MOST_CLEAN * bad[w] * len(clean)}
+
+
 def _landmarks(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     """Character sequences that mark toxic texts, most telling first; words that one explains count no further."""
     good = Counter(w for d in clean for w in d)
-    bad = Counter(w for d in toxic for w in d if w not in good)
+    usual = _usual(toxic, clean)
+    bad = Counter(w for d in toxic for w in d if w not in usual)
     p: Counter = Counter()
     for word, times in bad.items():
         for g in _grams(word):
@@ -195,7 +211,7 @@ def fit_toxicity(texts: list[tuple[set[str], bool]], rounds: int = 2) -> Toxicit
         part = order[a : a + BATCH]
         np.maximum.at(close, np.array([owner[i] for i in part]), subsequence_kernel([units[i] for i in part], marks))
     in_clean = np.zeros(len(words), bool)
-    in_clean[[place[w] for bag in clean for w in bag]] = True
+    in_clean[[place[w] for w in _usual(toxic, clean)]] = True
     best = (close / np.diag(gram)).max(axis=1)
     usual = np.flatnonzero(in_clean)
     spread = usual[:: max(1, len(usual) // 6000)]
@@ -220,24 +236,38 @@ def fit_toxicity(texts: list[tuple[set[str], bool]], rounds: int = 2) -> Toxicit
     floor = float(decision[in_clean].min()) if in_clean.any() else bias
     d = np.array([(sorted((decision[place[w]] for w in bag), reverse=True)[:TOP] + [floor] * TOP)[:TOP] for bag, _ in bags])
     y = np.array([t for _, t in bags], float)
-    slope, offset = _platt(np.clip(d, -CLIP, CLIP), y)
-    return ToxicityModel(marks, weights, bias, slope, offset)
+    *slope, offset = _rising(np.clip(d, -CLIP, CLIP), y)
+    sizes = np.array([(len(bag), sum(decision[place[w]] > 0 for w in bag)) for bag, _ in bags])
+    return ToxicityModel(marks, weights, bias, tuple(slope), offset, _rising(np.hstack([np.clip(d, -CLIP, CLIP), np.log1p(sizes)]), y))
 
 
-def _platt(d: np.ndarray, y: np.ndarray) -> tuple[tuple[float, ...], float]:
-    """Logistic fit of the label on the decisions, with Platt's softened targets."""
+def _logistic(d: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and offset of the logistic fit of the label on the decisions, with Platt's softened targets."""
     pos, neg = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     z = np.hstack([d, np.ones((len(d), 1))])
     ridge = np.diag([1e-2] * d.shape[1] + [0])
-    w = np.array([1.0 / d.shape[1]] * d.shape[1] + [0.0])
+    w = np.array([1.0 / max(1, d.shape[1])] * d.shape[1] + [0.0])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         move = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge + 1e-9 * np.eye(len(w)), z.T @ (p - target) + ridge @ w)
         w = w - move * min(1.0, 5 / (np.abs(move).max() + 1e-9))
         if np.abs(move).max() < 1e-6:
             break
-    return tuple(float(max(x, 0.0)) for x in w[:-1]), float(w[-1])
+    return w
+
+
+def _rising(d: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """The fit in which none of the first TOP weights is negative: columns that would have one are left out of it."""
+    used = np.arange(d.shape[1])
+    while True:
+        w = _logistic(d[:, used], y)
+        falls = (w[:-1] < 0) & (used < TOP)
+        if not falls.any():
+            out = np.zeros(d.shape[1] + 1)
+            out[[*used, -1]] = w
+            return tuple(out.tolist())
+        used = used[~falls]
 
 
 def _single_letters(data, starts, ends, bounds) -> list[tuple[int, str]]:
@@ -277,7 +307,7 @@ def _scores(m: ToxicityModel, column, known: dict | None = None) -> np.ndarray:
     known = _remembered.setdefault(m.key(), {}) if known is None else known
     data, offsets = flat_texts(column)
     blank = float(m.decisions([""])[0])
-    out = np.full((len(column), TOP), blank)
+    out, sizes = np.full((len(column), TOP), blank), np.zeros((len(column), 2))
     for a, b in chunks(offsets, 4 << 20):
         part = _FOLD[data[offsets[a] : offsets[b]]]
         starts, ends, bounds = word_spans(part, offsets[a : b + 1] - offsets[a])
@@ -293,22 +323,26 @@ def _scores(m: ToxicityModel, column, known: dict | None = None) -> np.ndarray:
         text = np.repeat(np.arange(b - a), np.diff(bounds))
         pair = np.unique(text * max(len(hashes), 1) + back) if len(back) else np.zeros(0, np.int64)
         text, word = np.divmod(pair, max(len(hashes), 1))
+        sizes[a:b, 0] = np.bincount(text, minlength=b - a)
+        sizes[a:b, 1] = np.bincount(text[value[word] > 0], minlength=b - a)
         order = np.lexsort((-value[word], text)) if len(pair) else pair
         text, word = text[order], word[order]
         rank = np.arange(len(text)) - np.searchsorted(text, text)
         top = rank < TOP
         out[a + text[top], rank[top]] = value[word[top]]
         for i, letters in _single_letters(part, starts, ends, bounds):
-            own = np.append(out[a + i], m.decisions([letters]))
+            spelt = m.decisions([letters])
+            own = np.append(out[a + i], spelt)
+            sizes[a + i, 1] += spelt[0] > 0
             out[a + i] = np.sort(own)[::-1][:TOP]
-    return m.score(out)
+    return m.score(out, sizes)
 
 
 _remembered: dict = {}
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id and score in [0, 1]: that of the text's most toxic word, gapped or inserted characters and
+    """Per row of docs: id and score in [0, 1]: that of the text's most toxic words, gapped or inserted characters and
     letters set apart by blanks included. Null and empty texts have the lowest evidence there is; ids are only passed
     on. Other columns are not carried."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

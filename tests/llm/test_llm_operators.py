@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -429,6 +430,22 @@ def test_toxicity_without_labels():
     assert 0 <= m.score(np.zeros((1, toxicity.TOP)))[0] <= 1
 
 
+def test_toxicity_of_words_that_a_clean_text_holds_too():
+    rng = random.Random(16)
+    insults = ["blockhead", "nitwit", "dunderhead"]
+    bags = [(set(words(rng, 60) + ([rng.choice(insults)] if i % 4 == 0 else [])), i % 4 == 0) for i in range(700)]
+    m = toxicity.fit_toxicity([*bags, *((set(words(rng, 60) + [w]), False) for w in insults)])
+    scores = toxicity._scores(m, pa.array(["you " + w for w in insults] + ["kalo mine pora", "", None]))
+    assert min(scores[:3]) >= 0.7 and max(scores[3:]) < 0.3
+
+
+def test_held_out_recall(spark):
+    folder = "/root/testdata/sf0.1"
+    rows = queries.op2_toxicity(spark, folder).join(queries.read(spark, folder, "labels"), "doc_id").where("held_out").collect()
+    caught = sum(r.predicted for r in rows if r.toxic)
+    assert caught >= 0.8 * sum(1 for r in rows if r.toxic) and caught >= 0.9 * sum(r.predicted for r in rows)
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     rows = queries.op2_toxicity(spark, folder).join(queries.read(spark, folder, "labels"), "doc_id").where("held_out").collect()
