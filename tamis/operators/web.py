@@ -59,19 +59,39 @@ def feeds(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     return pages.select(id_col, head.rlike("(?is)^(?:<\\?xml.*?\\?>[ \\t\\n\\r\\f]*)?<(?:rss|feed)(?![A-Za-z0-9_])").alias("is_feed"))
 
 
+#: What the reference's \s and trim() take for blank, and the line ends of its ^ and $.
+_BLANK, _LINE_END = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF", "\\n\\r\\u2028\\u2029"
+#: A paragraph with such a line begins a section.
+SECTION_BREAK = f"(?<![^{_LINE_END}])(?:#{{1,6}}[{_BLANK}]|[A-Z][A-Z{_BLANK}]{{5,}}(?![^{_LINE_END}])|[0-9]+\\.[{_BLANK}]+[A-Z]|={{3,}}(?![^{_LINE_END}])|-{{3,}}(?![^{_LINE_END}]))"
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(c, f"^[{_BLANK}]+|[{_BLANK}]+\\z", "")
+
+
 def chunk_paragraphs(docs: DataFrame, size: int = 1000, overlap: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk_index, text): paragraphs packed into chunks of at most `size` characters; a longer paragraph is a chunk of
-    its own. From the second on, a chunk begins with the last `overlap` characters of the one before."""
-    kind = "struct<done:array<string>,open:string>"
-    paragraphs = F.filter(F.split(text_or_empty(text_col), "\\n+"), lambda p: F.trim(p) != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open")).cast(kind)
-
-    def pack(acc, p):
-        joined = F.when(acc["open"] == "", p).otherwise(F.concat(acc["open"], F.lit("\n"), p))
-        full = (acc["open"] != "") & (F.length(joined) > size)
-        done = F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-        carried = F.concat(F.right(acc["open"], F.lit(overlap)), F.lit("\n"), p)
-        return F.struct(done.alias("done"), F.when(full, carried).otherwise(joined).alias("open")).cast(kind)
-
-    ended = F.aggregate(paragraphs, start, pack, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
-    return docs.select(id_col, F.posexplode(ended).alias("chunk_index", "text"))
+    """(id, chunk_index, text, start_offset): paragraphs, split at blank lines, packed into chunks of about `size`
+    characters; a longer paragraph is a chunk of its own, and a section heading begins a chunk. From the second on, a
+    chunk begins with the last `overlap` characters of the one before if that is longer. Characters are code points
+    (the reference counts those beyond U+FFFF twice)."""
+    chunk = "struct<text:string,start:int>"
+    kind = f"struct<done:array<{chunk}>,open:string,start:int,offset:int>"
+    paragraphs = F.transform(F.split(text_or_empty(text_col), "\\n{2,}"), lambda p: F.struct(_trimmed(p).alias("p"), (F.length(p) + 2).alias("n")))
+    start = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("start"), F.lit(0).alias("offset")).cast(kind)
+
+    def ended(acc):
+        last = F.struct(_trimmed(acc["open"]).alias("text"), acc["start"].alias("start")).cast(chunk)
+        return F.when(_trimmed(acc["open"]) == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))
+
+    def pack(acc, x):
+        p, opened = x["p"], acc["open"] != ""
+        full = (p != "") & opened & ((F.length(acc["open"]) + F.length(p) > size) | p.rlike(SECTION_BREAK))
+        carry = (F.length(acc["open"]) > overlap) if overlap > 0 else F.lit(False)
+        carried = F.concat(F.right(acc["open"], F.lit(overlap)), F.lit("\n\n"), p)
+        text = F.when(p == "", acc["open"]).when(full, F.when(carry, carried).otherwise(p)).when(opened, F.concat(acc["open"], F.lit("\n\n"), p)).otherwise(p)
+        begin = F.when(full & carry, acc["offset"] - overlap).when(full | ((p != "") & ~opened), acc["offset"]).otherwise(acc["start"])
+        done = F.when(full, ended(acc)).otherwise(acc["done"])
+        return F.struct(done.alias("done"), text.alias("open"), begin.alias("start"), (acc["offset"] + x["n"]).alias("offset")).cast(kind)
+
+    chunks = docs.select(id_col, F.posexplode(F.aggregate(paragraphs, start, pack, ended)).alias("chunk_index", "_chunk"))
+    return chunks.select(id_col, "chunk_index", F.col("_chunk.text").alias("text"), F.col("_chunk.start").alias("start_offset"))

@@ -1,4 +1,6 @@
 import math
+import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -58,6 +60,38 @@ def test_chunks_cover_the_text(spark):
     assert all(any(p.strip() in c for c in one) for p in paragraphs) and [r.text for r in rows if r.doc_id == 3] == ["one"] and not [r for r in rows if r.doc_id == 2]
 
 
+def _chunk_text(text, size, overlap):
+    """src/docparser/chunker.ts by its steps."""
+    chunks, current, begin, offset = [], "", 0, 0
+    for para in re.split(r"\n{2,}", text):
+        p = para.strip()
+        if not p:
+            offset += len(para) + 2
+            continue
+        new = re.search(r"^(?:#{1,6}\s|[A-Z][A-Z\s]{5,}$|\d+\.\s+[A-Z]|={3,}$|-{3,}$)", p, re.M)
+        if current and (len(current) + len(p) > size or new):
+            chunks.append((current.strip(), begin))
+            if overlap > 0 and len(current) > overlap:
+                current, begin = current[-overlap:] + "\n\n" + p, offset - overlap
+            else:
+                current, begin = p, offset
+        else:
+            begin = begin if current else offset
+            current = current + "\n\n" + p if current else p
+        offset += len(para) + 2
+    return chunks + ([(current.strip(), begin)] if current.strip() else [])
+
+
+def test_chunks_are_those_of_the_reference(spark):
+    rng = random.Random(4)
+    lines = ["plain words here", "# Title", "ALL CAPITALS", "2. Numbered", "====", "---", "é ñ ü", "", " ", "\t", "x" * 90, "SHORT", "#none", "a\u00a0"]
+    texts = ["", " \n\n ", "one\ntwo", "\n\n\nA\n\n\n\n# B"] + ["".join(rng.choice(lines) + rng.choice(["\n", "\n\n", "\n\n\n", " "]) for _ in range(rng.randint(1, 30))) for _ in range(80)]
+    d = docs(spark, [*enumerate(texts), (999, None)])
+    for size, overlap in ((120, 20), (200, 0), (1000, 200)):
+        got = {(r.doc_id, r.chunk_index): (r.text, r.start_offset) for r in web.chunk_paragraphs(d, size, overlap).collect()}
+        assert got == {(i, k): c for i, t in enumerate(texts) for k, c in enumerate(_chunk_text(t, size, overlap))}
+
+
 def test_tokens_and_masks(spark):
     r = docs(spark, [(1, "The Quick-fix, a B2 über x")]).select(tx.tokens("text").alias("w")).first()
     assert r.w == ["quick-fix", "b2", "ber"]
