@@ -9,6 +9,8 @@ from collections import deque
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamis.llm.common import in_task
+
 #: The template's control strings. Fixed values.
 BEGIN, END, USER, USER_END, SYSTEM, SYSTEM_END, OTHER, NAME_END, OTHER_END = "<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE]", "[=]", "[/ROLE]"
 _INNER = r"(?:/?s>|/?(?:INST|SYS|ROLE)\]|=\])"
@@ -136,7 +138,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         if out:
             yield batch_of(out, conv_type)
 
-    return rows.mapInArrow(run, f"`{conv_col}` {kind}, {WINDOWS}")
+    return rows.mapInArrow(in_task(run), f"`{conv_col}` {kind}, {WINDOWS}")
 
 
 def parse_window(formatted: str) -> list[tuple[str, str]]:
@@ -191,4 +193,4 @@ def read_back(windows: DataFrame, conv_col: str = "conv_id", in_order: bool = Fa
             types = [conv_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["c", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return rows.mapInArrow(run, f"`{conv_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(in_task(run), f"`{conv_col}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
 
@@ -13,14 +16,16 @@ CHUNK_BYTES = 1 << 20
 
 _SEPARATORS = np.zeros(256, dtype=bool)
 _SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BYTE_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = 64
+_PLACED = np.random.default_rng(20240229).integers(0, 2**64, 256 * _PLACES, dtype=np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode (tests) a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tamis-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -34,6 +39,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_task(run):
+    """run, a generator over Arrow batches, that gives freed memory back to the machine when its task ends: the Python
+    workers outlive their tasks, and what they keep counts against the executor."""
+
+    def task(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not every C library has it
+                pass
+
+    return task
+
+
 def flat_texts(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and n+1 offsets of an Arrow string column, without copying; null counts as empty."""
     import pyarrow as pa
@@ -78,26 +103,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    key = int(base)
-    have = _powers.get(key)
-    if have is None or len(have[0]) < n:
-        size = max(n, CHUNK_BYTES + 4096)
-        inverse = np.uint64(pow(key, -1, 1 << 64))
-        tables = []
-        for b in (base, inverse):
-            t = np.full(size, b, np.uint64)
-            t[0] = 1
-            tables.append(np.cumprod(t, dtype=np.uint64))
-        have = tuple(tables)
-        if size <= 4 * CHUNK_BYTES:
-            _powers[key] = have
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that near sums do not stay near."""
     h = h ^ (h >> np.uint64(31))
@@ -108,36 +113,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_sums(codes: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
-    """Prefix sums of a polynomial hash modulo 2**64; span_hash reads any span's hash from them."""
-    power, _ = _power_tables(len(codes) + 1, base)
-    out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * power[: len(codes)], out=out[1:])
-    return out
-
-
-def span_hash(sums: np.ndarray, starts, ends, base: np.uint64 = _BASE) -> np.ndarray:
-    _, inverse = _power_tables(len(sums), base)
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+def join_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One code for a then b; not linear, so that no pattern of letters cancels out as in sums of powers modulo 2**64."""
+    h = a * np.uint64(0x9E3779B97F4A7C15) + b
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return h
 
 
-def gram_hash(sums: np.ndarray, k: int, base: np.uint64 = _BASE) -> np.ndarray:
-    """Hash of every run of k codes (len(codes) - k + 1 of them, at least none)."""
-    n = len(sums) - k
-    if n <= 0:
+def gram_hash(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every run of k codes (len(codes) - k + 1 of them, at least none): halves are joined, and halves of those."""
+    n = len(codes)
+    if n < k:
         return np.zeros(0, np.uint64)
-    _, inverse = _power_tables(len(sums), base)
-    return mix((sums[k:] - sums[:n]) * inverse[:n])
+    out, size, power, width = None, 0, codes, 1
+    while True:
+        if k & width:
+            m = n - size - width + 1
+            out = power[:m] if out is None else join_codes(out[:m], power[size : size + m])
+            size += width
+        if 2 * width > k:
+            return mix(out)
+        m = n - 2 * width + 1
+        power, width = join_codes(power[:m], power[width : width + m]), 2 * width
 
 
 def byte_codes(data: np.ndarray) -> np.ndarray:
-    return _BYTE_CODES[data]
+    return _PLACED[data]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of every word: each byte at its place within the word stands for a random number; their sum and the length are
+    mixed. Numbers come from a table for the first _PLACES bytes and are mixed anew for each further stretch of as many."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    return span_hash(prefix_sums(byte_codes(data)), starts, ends)
+    size = ends - starts
+    stop = np.cumsum(size)
+    place = np.arange(int(stop[-1])) - np.repeat(stop - size, size)
+    value = _PLACED[(place & (_PLACES - 1)) << 8 | data[place + np.repeat(starts, size)]]
+    if int(size.max()) > _PLACES:
+        far = np.flatnonzero(place >= _PLACES)
+        value[far] = mix(value[far] + (place[far] >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
+    return mix(sums[stop] - sums[stop - size] + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def sliding(x: np.ndarray, w: int, pick) -> np.ndarray:

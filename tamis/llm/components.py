@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import materialize
+from tamis.llm.common import in_task, materialize
 
 
 def _forest(batches):
@@ -44,7 +44,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     gathers a node's neighbours; a node with any number of edges is a skewed join that Spark splits. Nodes without edges
     are not in the result; null ends are dropped.
     """
-    now = edges.where("u is not null and v is not null and u <> v").select("u", "v").mapInArrow(_forest, "u long, v long")
+    now = edges.where("u is not null and v is not null and u <> v").select("u", "v").mapInArrow(in_task(_forest), "u long, v long")
     now, mark = materialize(now, "edges"), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import chunks, flat_texts, gram_hash, mix, prefix_sums, word_hashes, word_spans
+from tamis.llm.common import chunks, flat_texts, gram_hash, in_task, mix, word_hashes, word_spans
 
 #: Words of a template window; an item with fewer words is one window.
 WINDOW = 8
@@ -102,7 +102,7 @@ def _windows(data, offsets, widths=None):
             filled = np.concatenate([[0], np.cumsum(code != levels[0])])
             slots = filled[first + width] - filled[first]
             at = np.flatnonzero(ok & ((level == 0) | (slots > fewer) & (width - slots >= min(LEAST_LITERALS, width))))
-            h = gram_hash(prefix_sums(code), width)[at]
+            h = gram_hash(code, width)[at]
             out.append((text[at], first[at], np.full(len(at), width), np.full(len(at), level), mix(h + np.uint64(1)) if level == 0 else h))
             fewer = slots
     text, first, width, level, h = (np.concatenate(x) for x in zip(*out))
@@ -139,7 +139,7 @@ def template_windows(texts: DataFrame, id_col: str, text_col: str, only: np.ndar
                     ids = batch.column(0).take(pa.array(t + a))
                     yield pa.RecordBatch.from_arrays([ids, pa.array((f - bounds[t]).astype(np.int64)), pa.array(w.astype(np.int32)), pa.array(h[c : c + 100_000].view(np.int64)), fills], names=["id", "pos", "width", "h", "fills"])
 
-    return texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(scan, f"id {kind}, pos long, width int, h long, fills array<long>")
+    return texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(in_task(scan), f"id {kind}, pos long, width int, h long, fills array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

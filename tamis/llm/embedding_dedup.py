@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.common import materialize
+from tamis.llm.common import in_task, materialize
 from tamis.llm.components import connected_components
 
 #: Trees, rows that a leaf should hold, and the rows (by the hash of their id) on which splits are fitted.
@@ -124,7 +124,7 @@ def _routed(vectors: DataFrame, forest: Forest, blocks: dict[int, int] | None) -
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[c : c + 20_000]), types)], names=names)
 
     schema = "leaf long, n long" if blocks is None else "leaf long, width int, i int, j int, mine int, id long, copies long, leaves binary, vector binary"
-    return vectors.mapInArrow(run, schema)
+    return vectors.mapInArrow(in_task(run), schema)
 
 
 def _labels(links: np.ndarray) -> np.ndarray:

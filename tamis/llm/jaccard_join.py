@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import chunks, flat_texts, gram_hash, materialize, mix, prefix_sums, span_hash, word_hashes, word_spans
+from tamis.llm.common import chunks, flat_texts, gram_hash, in_task, materialize, mix, word_hashes, word_spans
 from tamis.llm.components import connected_components
 
 #: A shingle is frequent if it is in more than this share of all shingle occurrences (and in LEAST_FREQUENT documents):
@@ -41,16 +41,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int, common: tuple[np
     data = _LOWER[data]
     starts, ends, bounds = word_spans(data, offsets)
     codes = word_hashes(data, starts, ends)
-    sums = prefix_sums(codes)
-    grams = gram_hash(sums, n)
+    grams = gram_hash(codes, n)
     at = np.arange(len(grams))
     text = np.searchsorted(bounds, at, side="right") - 1
     ok = at + n <= bounds[text + 1] if len(at) else np.zeros(0, bool)
     words = np.diff(bounds)
     short = np.flatnonzero((words > 0) & (words < n))
+    few = np.zeros(len(short), np.uint64)
+    for width in range(1, n):
+        own = words[short] == width
+        few[own] = gram_hash(codes, width)[bounds[short[own]]]
     first, last = np.concatenate([at[ok], bounds[short]]), np.concatenate([at[ok] + n, bounds[short + 1]])
     text = np.concatenate([text[ok], short])
-    token = np.concatenate([grams[ok], span_hash(sums, bounds[short], bounds[short + 1])])
+    token = np.concatenate([grams[ok], few])
     order = np.lexsort((token, text))
     text, token = text[order], token[order]
     new = np.ones(len(text), bool)
@@ -95,7 +98,7 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
                 s1, s2 = _fold(sizes, mix(token)), _fold(sizes, mix(token ^ np.uint64(0xA5A5A5A55A5A5A5A)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([c.tobytes() for c in cell], pa.binary())], names=["id", "n_shingles", "s1", "s2", "cells"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, s1 long, s2 long, cells binary")
+    return docs.mapInArrow(in_task(run), "id long, n_shingles long, s1 long, s2 long, cells binary")
 
 
 def frequencies(docs: DataFrame, n: int, total: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -127,7 +130,7 @@ def frequencies(docs: DataFrame, n: int, total: int) -> tuple[np.ndarray, tuple[
         if size:
             yield from report(held)
 
-    counts = materialize(docs.mapInArrow(run, "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")), "shingle-counts")
+    counts = materialize(docs.mapInArrow(in_task(run), "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")), "shingle-counts")
     least = max(LEAST_FREQUENT, total * FREQUENT_SHARE)
     often = counts.where((F.col("kind") == 0) & (F.col("n") > least)).select("token").toArrow().column(0).to_numpy()
     words = counts.where("kind = 1").orderBy(F.desc("n"), "token").limit(COMMON_WORDS).select("token", "n").toArrow()
@@ -195,7 +198,7 @@ def signatures(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, comm
                     w = who[c : c + 200_000]
                     yield pa.RecordBatch.from_arrays([pa.array(sig[c : c + 200_000].view(np.int64)), pa.array(digest[w].view(np.int64)), pa.array(ids[w]), pa.array(sizes[w].astype(np.int64))], names=["sig", "s1", "id", "n"])
 
-    return docs.mapInArrow(run, "sig long, s1 long, id long, n long")
+    return docs.mapInArrow(in_task(run), "sig long, s1 long, id long, n long")
 
 
 def _by_bucket(batches, handle, width: int):
@@ -242,7 +245,7 @@ def buckets(sigs: DataFrame) -> DataFrame:
 
         yield from _by_bucket(batches, handle, 4)
 
-    return sigs.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "sig long, id long, n long, m long")
+    return sigs.repartition("sig").sortWithinPartitions("sig").mapInArrow(in_task(run), "sig long, id long, n long, m long")
 
 
 def _pair_rows(a, b):
@@ -279,7 +282,7 @@ def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
         yield from _by_bucket(batches, handle, 4)
 
-    return rows.repartition("sig").sortWithinPartitions("sig").select("sig", "id", "n", "m").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("sig").sortWithinPartitions("sig").select("sig", "id", "n", "m").mapInArrow(in_task(run), "a long, b long").distinct()
 
 
 def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -321,7 +324,7 @@ def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
         yield from _by_bucket(batches, handle, 5)
 
-    return rows.repartition("sig").sortWithinPartitions("sig").select("sig", "id", "n", "component", "prefix").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("sig").sortWithinPartitions("sig").select("sig", "id", "n", "component", "prefix").mapInArrow(in_task(run), "a long, b long").distinct()
 
 
 def _may_link(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -341,7 +344,7 @@ def _may_link(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
     x = known.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("cells").alias("x"))
     y = known.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("cells").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(in_task(run), "a long, b long")
 
 
 def _packed_sets(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, common) -> DataFrame:
@@ -363,7 +366,7 @@ def _packed_sets(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, co
                 prefix = [short[4 * a : 4 * b] for a, b in zip(start.tolist(), stop.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tokens, pa.binary()), pa.array(prefix, pa.binary())], names=["id", "tokens", "prefix"])
 
-    return docs.mapInArrow(run, "id long, tokens binary, prefix binary")
+    return docs.mapInArrow(in_task(run), "id long, tokens binary, prefix binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -384,7 +387,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(in_task(run), "u long, v long")
 
 
 def _only(rows: DataFrame, used: DataFrame) -> DataFrame:

@@ -16,12 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import byte_codes, chunks, flat_texts, gram_hash, materialize, minimizers, mix, prefix_sums, span_hash, word_hashes, word_spans
+from tamis.llm.common import byte_codes, chunks, flat_texts, gram_hash, in_task, materialize, minimizers, mix, word_hashes, word_spans
 
 #: A task settles so many anchors, or so many bytes of text, at a time.
 FLUSH_ANCHORS, FLUSH_BYTES = 1 << 21, 24 << 20
@@ -29,7 +30,6 @@ FLUSH_ANCHORS, FLUSH_BYTES = 1 << 21, 24 << 20
 SENT_COPIES = 500_000
 #: The end of a copy's span, beyond any text.
 WHOLE = 1 << 40
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
@@ -52,8 +52,14 @@ class Unit:
         at = np.arange(len(data))
         return byte_codes(data), offsets, at, at + 1
 
-    def anchors(self, codes: np.ndarray, bounds: np.ndarray):
-        return minimizers(gram_hash(prefix_sums(codes), self.k), bounds, self.k, self.span - self.k + 1)
+    def digests(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of BLAKE2b of the codes of each span, in two halves: of the bytes, or of the words joined by a space."""
+        raw = data.tobytes()
+        spans = (raw[a:b] for a, b in zip(starts.tolist(), ends.tolist()))
+        if self.words:
+            spans = (b" ".join(s.split()) for s in spans)
+        both = np.frombuffer(b"".join(blake2b(s, digest_size=16).digest() for s in spans), np.uint64).reshape(-1, 2)
+        return both[:, 0].copy(), both[:, 1].copy()
 
 
 def _buckets(spark) -> int:
@@ -114,7 +120,7 @@ def _list_anchors(unit: Unit, buckets: int):
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b in chunks(offsets):
                 codes, bounds, _, _ = unit.codes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                grams = gram_hash(prefix_sums(codes), unit.k)
+                grams = gram_hash(codes, unit.k)
                 chosen, _ = minimizers(grams, bounds, unit.k, unit.span - unit.k + 1)
                 at = np.flatnonzero(chosen)
                 gs.append(grams[at])
@@ -177,8 +183,8 @@ def repeated_anchors(docs: DataFrame, unit: Unit) -> DataFrame:
     through that the exact step then drops.
     """
     buckets = _buckets(docs.sparkSession)
-    blobs = docs.mapInArrow(_list_anchors(unit, buckets), "c int, kind int, base long, wide boolean, lo binary, hi binary, who binary")
-    pairs = blobs.repartition("c").sortWithinPartitions("c").mapInArrow(_match_anchors, "id long, g int")
+    blobs = docs.mapInArrow(in_task(_list_anchors(unit, buckets)), "c int, kind int, base long, wide boolean, lo binary, hi binary, who binary")
+    pairs = blobs.repartition("c").sortWithinPartitions("c").mapInArrow(in_task(_match_anchors), "id long, g int")
     return pairs.groupBy("id").agg(F.collect_list("g").alias("anchors"))
 
 
@@ -200,8 +206,7 @@ def anchored_fragments(rows: DataFrame, unit: Unit) -> DataFrame:
 
     def fragments(data, offsets, ids, hs, anchors):
         codes, bounds, starts, ends = unit.codes(data, offsets)
-        sums = prefix_sums(codes)
-        grams = gram_hash(sums, unit.k)
+        grams = gram_hash(codes, unit.k)
         chosen, least = minimizers(grams, bounds, unit.k, unit.span - unit.k + 1)
         low = ((least >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         live = np.zeros(len(least), bool)
@@ -235,9 +240,9 @@ def anchored_fragments(rows: DataFrame, unit: Unit) -> DataFrame:
         n = last - first + 1
         doc = np.searchsorted(bounds, first, side="right") - 1
         tail = last + unit.span  # one past the fragment's last code
-        second = prefix_sums(codes ^ (codes >> np.uint64(17)), _SECOND)
-        f1, f2 = span_hash(sums, first, tail), span_hash(second, first, tail, _SECOND)
-        return least[first], f1, f2, ids[doc], hs[doc], first - bounds[doc], n, starts[first], ends[tail - 1]
+        a, b = starts[first], ends[tail - 1]
+        f1, f2 = unit.digests(data, a, b)
+        return least[first], f1, f2, ids[doc], hs[doc], first - bounds[doc], n, a, b
 
     def run(batches):
         import pyarrow as pa
@@ -282,7 +287,7 @@ def anchored_fragments(rows: DataFrame, unit: Unit) -> DataFrame:
         if held:
             yield from flush()
 
-    return rows.mapInArrow(run, "g long, f1 long, f2 long, id long, h long, pos long, n long, bytes binary")
+    return rows.mapInArrow(in_task(run), "g long, f1 long, f2 long, id long, h long, pos long, n long, bytes binary")
 
 
 def later_copies(g, f1, f2, ids, hs, pos, within: bool) -> np.ndarray:
@@ -396,7 +401,7 @@ def settle_fragments(fragments: DataFrame, unit: Unit, decide: Callable, chunk_b
         if held:
             yield from settle(held)
 
-    return fragments.repartition("g").sortWithinPartitions("g").mapInArrow(run, "id long, h long, first long, last long")
+    return fragments.repartition("g").sortWithinPartitions("g").mapInArrow(in_task(run), "id long, h long, first long, last long")
 
 
 def copies(docs: DataFrame) -> DataFrame:

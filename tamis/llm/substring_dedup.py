@@ -8,46 +8,66 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import gram_hash, prefix_sums, ranges_mask, word_hashes, word_spans
+from tamis.llm.common import gram_hash, in_task, ranges_mask, word_hashes, word_spans
 from tamis.llm.repeats import Unit, clipped, least_of, repeated_spans
 
 #: Words of a window, and of a reference block: any window holds a whole block, wherever blocks are counted from.
 SPAN, BLOCK = 50, 25
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
+#: References that a probed block is extended against one by one; windows that are open then are looked up whole.
+ROUNDS = 4
 
 
-def block_repeats(span: int, block: int):
+def block_repeats(span: int, block: int, rounds: int = ROUNDS):
     """Whether each window starts in a smaller document: probe the references' blocks, then extend the hits."""
 
     def decide(data, offsets, n, doc, pos):
         starts, ends, bounds = word_spans(data, offsets)
         codes = word_hashes(data, starts, ends)
-        sums = prefix_sums(codes)
         owner = np.repeat(np.arange(len(n)), np.diff(bounds))
-        place = np.arange(len(codes)) - bounds[owner]
-        grams = gram_hash(sums, block)
-        at = np.flatnonzero(place[: len(grams)] + block <= np.diff(bounds)[owner[: len(grams)]])
-        # index: the blocks that begin at every block-th word of a document, each with its smallest document
-        is_block = (pos[owner[at]] + place[at]) % block == 0
-        keys, first = grams[at][is_block], doc[owner[at]][is_block]
-        order = np.lexsort((first, keys))
-        keys, first = keys[order], first[order]
-        lead = np.ones(len(keys), bool)
-        lead[1:] = keys[1:] != keys[:-1]
-        keys, first = keys[lead], first[lead]
-        windows = np.concatenate([np.arange(a, a + k) for a, k in zip(bounds[:-1], n)]) if len(n) else np.zeros(0, np.int64)
-        out = np.zeros(len(windows), bool)
-        if not len(keys):
-            return out
+        first, last = bounds[owner], bounds[owner + 1]
+        grams = gram_hash(codes, block)
+        at = np.flatnonzero(np.arange(len(grams)) + block <= last[: len(grams)])
+        # index: the blocks that begin at every block-th word of a document, those of smaller documents first
+        refs = at[(pos[owner[at]] + at - first[at]) % block == 0]
+        refs = refs[np.lexsort((doc[owner[refs]], grams[refs]))]
+        keys = grams[refs]
+        repeated = np.zeros(len(codes), bool)  # by the first word of a window
         # probe: every rolling block of every document
-        found = np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)
-        hit = at[(keys[found] == grams[at]) & (first[found] < doc[owner[at]])]
-        # extend: the windows around a hit that are equal to a smaller document's, told by 128 bits
-        near = ranges_mask(len(codes), np.maximum(hit - (span - block), 0), hit + 1)[windows]
-        second = prefix_sums(codes ^ (codes >> np.uint64(17)), _SECOND)
-        a, b = gram_hash(sums, span)[windows], gram_hash(second, span, _SECOND)[windows]
-        own = doc[owner[windows]]
-        return near & (least_of([a, b], own) < own)
+        hit, nth = at, np.searchsorted(keys, grams[at])
+        for _ in range(rounds):
+            ok = nth < len(keys)
+            hit, nth = hit[ok], nth[ok]
+            ok = (keys[nth] == grams[hit]) & (doc[owner[refs[nth]]] < doc[owner[hit]])
+            hit, nth = hit[ok], nth[ok]
+            # extend the hit word by word to both sides, as far as a window around the block can reach
+            ref = refs[nth]
+            left, right = np.zeros(len(hit), np.int64), np.zeros(len(hit), np.int64)
+            for side, reach, edge in ((-1, left, first), (1, right, last)):
+                live = np.arange(len(hit))
+                for step in range(1, span - block + 1):
+                    shift = -step if side < 0 else block - 1 + step
+                    x, y = hit[live] + shift, ref[live] + shift
+                    ok = (x >= edge[hit[live]]) & (y >= edge[ref[live]]) if side < 0 else (x < edge[hit[live]]) & (y < edge[ref[live]])
+                    ok[ok] = codes[x[ok]] == codes[y[ok]]
+                    live = live[ok]
+                    reach[live] = step
+            whole = left + block + right >= span
+            repeated |= ranges_mask(len(codes), (hit - left)[whole], (hit + right + block - span)[whole] + 1)
+            # a block goes on to its next reference while some window around it is open
+            opened = np.concatenate([[0], np.cumsum(~repeated)])
+            low, high = np.maximum(hit - (span - block), first[hit]), np.minimum(hit, last[hit] - span)
+            ok = (low <= high) & (opened[np.maximum(high, low) + 1] > opened[low])
+            hit, nth = hit[ok], nth[ok] + 1
+        windows = np.concatenate([np.arange(a, a + k) for a, k in zip(bounds[:-1], n)]) if len(n) else np.zeros(0, np.int64)
+        ok = nth < len(keys)
+        hit, nth = hit[ok], nth[ok]
+        ok = (keys[nth] == grams[hit]) & (doc[owner[refs[nth]]] < doc[owner[hit]])
+        if ok.any():
+            # blocks with many surroundings: the whole windows around them are looked up, which extends to all references at once
+            near = ranges_mask(len(codes), np.maximum(hit[ok] - (span - block), 0), hit[ok] + 1)[windows]
+            own = doc[owner[windows]]
+            repeated[windows[near & (least_of([gram_hash(codes, span)[windows]], own) < own)]] = True
+        return repeated[windows]
 
     return decide
 
@@ -89,4 +109,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 names.append("kept_text")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return joined.mapInArrow(cut, f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return joined.mapInArrow(in_task(cut), f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

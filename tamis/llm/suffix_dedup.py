@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamis.llm.common import in_task
+
 from tamis.llm.repeats import Unit, clipped, repeated_spans
 
 #: Bytes of the strings that are compared, and of an anchor.
@@ -127,4 +129,4 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 names.append("kept_bytes")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return joined.mapInArrow(cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text)
+    return joined.mapInArrow(in_task(cut), f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.common import chunks, flat_texts, word_hashes
+from tamis.llm.common import chunks, flat_texts, in_task, word_hashes
 
 #: Characters whose lower case, composition and letter class are the same in Python and in the library. Fixed values.
 _PLAIN = regex.compile(r"[\x00-ɏΑ-Ρα-ωА-я‐-‧‰-⁞₠-₿]*+")
@@ -271,7 +271,7 @@ def token_prefixes(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     rows = docs.select(F.col(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(count, schema)
+    return rows.mapInArrow(in_task(count), schema)
 
 
 def tokens_within(prefixes: DataFrame, budget: int) -> DataFrame:

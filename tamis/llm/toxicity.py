@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.llm.common import chunks, flat_texts, word_hashes, word_spans
+from tamis.llm.common import chunks, flat_texts, in_task, word_hashes, word_spans
 
 #: The labelled rows that are learned from: at most so many of either label, taken by the hash of their id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
@@ -297,7 +297,7 @@ def labelled_words(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             texts = [sorted({w.lower() for w in t.split()}) if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.list_(pa.string()))], names=["toxic", "words"])
 
-    rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("x")).join(sample, F.col("d_id") == F.col("l_id")).select("l_toxic", "x").mapInArrow(words, "toxic boolean, words array<string>")
+    rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("x")).join(sample, F.col("d_id") == F.col("l_id")).select("l_toxic", "x").mapInArrow(in_task(words), "toxic boolean, words array<string>")
     table = rows.toArrow()
     return [(set(w), bool(y)) for w, y in sorted(zip(table["words"].to_pylist(), table["toxic"].to_pylist()))]
 
@@ -355,7 +355,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(sent.value, batch.column(1), known))], names=["id", "score"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).mapInArrow(in_task(run), f"`{id_col}` {kind}, score double")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float, text_col: str = "text") -> DataFrame:

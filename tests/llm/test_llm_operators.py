@@ -475,3 +475,32 @@ def test_pipeline_stages(spark, sf):
                 assert set(after) == set(before)
             last = after
     assert sorted(r.doc_id for r in kept.collect()) == sorted(last)
+
+
+def thue_morse(n, letters="ab"):
+    """Two complementary words of n letters, which every sum of powers modulo 2**64 takes for the same."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+def test_texts_that_fool_sums_of_powers(spark):
+    a, b = thue_morse(1024)
+    e, x = thue_morse(1024, "ex")
+    lead = [f"w{i}" for i in range(49)]
+    rows = [(1, a), (2, b), (3, e), (4, x), (5, " ".join([*lead, a])), (6, " ".join([*lead, b])), (7, "z" * 70), (8, "z" * 134), (9, a + "a" * 200), (10, b + "a" * 200)]
+    d = frame(spark, rows)
+    assert all(r.component_id == r.doc_id for r in jaccard_join.jaccard_components(d).collect())
+    assert all(r.n_removed == 0 for r in substring_dedup.dedup_substrings(d).collect())
+    first, gone = {}, Counter()
+    for i, t in rows:
+        raw = t.encode()
+        for k in range(len(raw) - 99):
+            first.setdefault(raw[k : k + 100], (i, k))
+        gone[i] = len({k + j for k in range(len(raw) - 99) if first[raw[k : k + 100]] < (i, k) for j in range(100)})
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.dedup_bytes(d).collect()} == gone
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_prefixes(d, path).collect()}
+    assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in rows}
