@@ -489,7 +489,7 @@ def test_texts_that_fool_sums_of_powers(spark):
     lead = [f"w{i}" for i in range(49)]
     rows = [(1, a), (2, b), (3, e), (4, x), (5, " ".join([*lead, a])), (6, " ".join([*lead, b])), (7, "z" * 70), (8, "z" * 134), (9, a + "a" * 200), (10, b + "a" * 200)]
     d = frame(spark, rows)
-    assert all(r.component_id == r.doc_id for r in jaccard_join.jaccard_components(d).collect())
+    assert all(r.component_id == (5 if r.doc_id == 6 else r.doc_id) for r in jaccard_join.jaccard_components(d).collect())  # 47 of 49 shingles
     assert all(r.n_removed == 0 for r in substring_dedup.dedup_substrings(d).collect())
     first, gone = {}, Counter()
     for i, t in rows:
