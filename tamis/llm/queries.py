@@ -83,9 +83,9 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach ON reach.a = w.doc_id
 
 def learned_toxicity(docs: DataFrame, labels: DataFrame):
     """The model learned from the labelled rows whose crc32(doc_id as text) modulo 3 is not 1."""
-    from tamis.llm.toxicity import fit_toxicity, labelled_words
+    from tamis.llm.toxicity import fit_toxicity, labelled_sentences
 
-    return fit_toxicity(labelled_words(docs, labels.where(~held_out())))
+    return fit_toxicity(labelled_sentences(docs, labels.where(~held_out())))
 
 
 def held_out():

@@ -402,6 +402,24 @@ def test_string_kernel():
             assert got[i, j] == pytest.approx(_kernel(a, b, 3, 0.6), rel=1e-4, abs=1e-7)
 
 
+def sentences(ws):
+    return [ws[i : i + toxicity.SENTENCE] for i in range(0, len(ws), toxicity.SENTENCE)]
+
+
+def test_common_lengths():
+    marks, ws = ["^idiot$", "abcab", "x" * 40, "é"], ["^i.d-iot$", "bacbab", "", "xyx", "é^", "z" * 30]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for c in a:
+            row = [0, *(max(row[j + 1], row[j] + 1 if c == b[j] else 0) for j in range(len(b)))]
+            for j in range(len(b)):
+                row[j + 1] = max(row[j + 1], row[j])
+        return row[-1]
+
+    assert toxicity.CommonLengths(marks).of(ws).tolist() == [[lcs(w, m) for m in marks] for w in ws]
+
+
 @pytest.fixture(scope="module")
 def learned():
     rng = random.Random(9)
@@ -411,7 +429,7 @@ def learned():
         bad = i % 4 == 0
         if bad:
             w[3] = rng.choice(["blockhead", "nitwit", "nitwits"])
-        bags.append((set(w), bad))
+        bags.append((sentences(w), bad))
     return toxicity.fit_toxicity(bags)
 
 
@@ -433,25 +451,27 @@ def test_toxicity_without_labels():
 def test_toxicity_of_words_that_a_clean_text_holds_too():
     rng = random.Random(16)
     insults = ["blockhead", "nitwit", "dunderhead"]
-    bags = [(set(words(rng, 60) + ([rng.choice(insults)] if i % 4 == 0 else [])), i % 4 == 0) for i in range(700)]
-    m = toxicity.fit_toxicity([*bags, *((set(words(rng, 60) + [w]), False) for w in insults)])
+    bags = [(sentences(words(rng, 60) + ([rng.choice(insults)] if i % 4 == 0 else [])), i % 4 == 0) for i in range(700)]
+    m = toxicity.fit_toxicity([*bags, *((sentences(words(rng, 60) + [w]), False) for w in insults)])
     scores = toxicity._scores(m, pa.array(["you " + w for w in insults] + ["kalo mine pora", "", None]))
     assert min(scores[:3]) >= 0.7 and max(scores[3:]) < 0.3
 
 
-def test_held_out_recall(spark):
+def test_held_out_recall_and_precision(spark):
     folder = "/root/testdata/sf0.1"
     rows = queries.op2_toxicity(spark, folder).join(queries.read(spark, folder, "labels"), "doc_id").where("held_out").collect()
     caught = sum(r.predicted for r in rows if r.toxic)
-    assert caught >= 0.8 * sum(1 for r in rows if r.toxic) and caught >= 0.9 * sum(r.predicted for r in rows)
+    assert caught >= 0.9 * sum(1 for r in rows if r.toxic) and caught >= 0.92 * sum(r.predicted for r in rows)
 
 
-def test_held_out_accuracy(spark):
-    folder = "/root/testdata/sf0.1"
-    rows = queries.op2_toxicity(spark, folder).join(queries.read(spark, folder, "labels"), "doc_id").where("held_out").collect()
-    right = sum(r.predicted == (r.toxic > 0) for r in rows)
-    caught = sum(r.predicted for r in rows if r.toxic) / max(1, sum(1 for r in rows if r.toxic))
-    assert right >= 0.95 * len(rows) and caught >= 0.75
+def test_toxicity_of_null_and_repeated_ids_and_clashing_columns(spark, learned):
+    d = spark.createDataFrame([(None, "you nitwit", "a"), (1, "you nitwit", "b"), (1, "kalo", "c"), (2, None, "d")], "doc_id long, text string, score string")
+    got = toxicity.score_toxicity(d, learned).collect()
+    assert Counter((r.doc_id, r.score >= 0.7) for r in got) == {(None, True): 1, (1, True): 1, (1, False): 1, (2, False): 1}
+    assert sorted(r.score for r in toxicity.keep_clean(d, learned, 0.7).collect()) == ["c", "d"]
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    assert Counter(y for _, y in toxicity.labelled_sentences(d, labels)) == {True: 2}
+
 
 
 def test_pipeline_stages(spark, sf):
