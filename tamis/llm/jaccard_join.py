@@ -26,8 +26,12 @@ SENT_IDS = 200_000
 SMALL_BUCKET, LEAPS = 4, (1, 2, 4)
 #: Sets whose digests a task remembers.
 SEEN = 500_000
-#: Cells of a set's profile; the sum of the smaller counts bounds the overlap from above.
-CELLS = 64
+#: Cells of a set's profile (more for large sets, so that a cell holds some PER_CELL shingles at most, MOST_CELLS in all);
+#: the sum of the smaller counts bounds the overlap from above.
+CELLS, PER_CELL, MOST_CELLS = 64, 10, 2**14
+#: Documents of a mixed bucket that are compared in one task with those outside the bucket's largest component; sets of more
+#: shingles are compared there by their profiles, and verified afterwards.
+BLOCK, LONG = 4096, 2048
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -83,6 +87,23 @@ def _fold(sizes, values) -> np.ndarray:
     return sums[ends] - sums[ends - sizes]
 
 
+def cells_of(token: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each cell, 255 standing for that many or more; cells are ranges of the hash."""
+    bits = CELLS.bit_length() - 1
+    while PER_CELL << bits < len(token) and 1 << bits < MOST_CELLS:
+        bits += 1
+    count = np.bincount((token >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(count, 255).astype(np.uint8).tobytes()
+
+
+def most_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap for rows of profiles, or 2**40 where a full cell leaves it open."""
+    width = min(x.shape[1], y.shape[1])
+    full = (x == 255).any(1) | (y == 255).any(1)
+    x, y = (z.astype(np.int64).reshape(len(z), width, -1).sum(2) for z in (x, y))
+    return np.where(full, 1 << 40, np.minimum(x, y).sum(1))
+
+
 def profiles(docs: DataFrame, n: int) -> DataFrame:
     """docs(id, text) -> (id, n_shingles, s1, s2, cells): set size, two 64-bit digests of the set, counts by cell."""
 
@@ -93,10 +114,14 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
             data, offsets = flat_texts(batch.column(1))
             for a, b in chunks(offsets):
                 text, token, sizes, _ = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                cell = np.bincount(text * CELLS + (token >> np.uint64(58)).astype(np.int64), minlength=(b - a) * CELLS)
-                cell = np.minimum(cell, 65535).astype(np.uint16).reshape(b - a, CELLS)
+                small = sizes <= CELLS * PER_CELL
+                at = small[text]
+                cell = np.bincount(text[at] * CELLS + (token[at] >> np.uint64(65 - CELLS.bit_length())).astype(np.int64), minlength=(b - a) * CELLS)
+                cell = np.minimum(cell, 255).astype(np.uint8).reshape(b - a, CELLS)
+                ends = np.cumsum(sizes)
+                cells = [cell[i].tobytes() if small[i] else cells_of(token[ends[i] - sizes[i] : ends[i]]) for i in range(b - a)]
                 s1, s2 = _fold(sizes, mix(token)), _fold(sizes, mix(token ^ np.uint64(0xA5A5A5A55A5A5A5A)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array([c.tobytes() for c in cell], pa.binary())], names=["id", "n_shingles", "s1", "s2", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(cells, pa.binary())], names=["id", "n_shingles", "s1", "s2", "cells"])
 
     return docs.mapInArrow(in_task(run), "id long, n_shingles long, s1 long, s2 long, cells binary")
 
@@ -225,29 +250,6 @@ def _edges_of(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
 
 
-def buckets(sigs: DataFrame) -> DataFrame:
-    """(sig, id, n, m) of the signatures that at least two different sets share; m of them do."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        def handle(cols):
-            sig, s1, ids, n = cols
-            order = np.lexsort((ids, s1, sig))
-            sig, s1, ids, n = sig[order], s1[order], ids[order], n[order]
-            new = np.ones(len(sig), bool)
-            new[1:] = (sig[1:] != sig[:-1]) | (s1[1:] != s1[:-1])
-            sig, ids, n = sig[new], ids[new], n[new]
-            size = np.diff(_edges_of(sig))
-            m = np.repeat(size, size)
-            keep = m > 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[keep], ids[keep], n[keep], m[keep].astype(np.int64))], names=["sig", "id", "n", "m"])
-
-        yield from _by_bucket(batches, handle, 4)
-
-    return sigs.repartition("sig").sortWithinPartitions("sig").mapInArrow(in_task(run), "sig long, id long, n long, m long")
-
-
 def _pair_rows(a, b):
     import pyarrow as pa
 
@@ -262,73 +264,123 @@ def _pair_rows(a, b):
         yield pa.RecordBatch.from_arrays([pa.array(low[i : i + 200_000]), pa.array(high[i : i + 200_000])], names=["a", "b"])
 
 
-def first_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of possible size: all of a small bucket; in a larger one each set with those LEAPS places on by size."""
+def buckets(sigs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (id, b) of possible size from signatures that different sets share: all of a small bucket; in a larger one each
+    set with those LEAPS places on by size. Members of larger buckets follow as rows (sig, id, n, m, key) without b: m sets
+    share the signature, and key tells which."""
 
     def run(batches):
+        import pyarrow as pa
+
+        names = ["sig", "id", "n", "m", "key", "b"]
+
         def handle(cols):
-            sig, ids, n, m = cols
+            sig, s1, ids, n = cols
+            order = np.lexsort((ids, s1, sig))
+            sig, s1, ids, n = sig[order], s1[order], ids[order], n[order]
+            new = np.ones(len(sig), bool)
+            new[1:] = (sig[1:] != sig[:-1]) | (s1[1:] != s1[:-1])
+            sig, ids, n = sig[new], ids[new], n[new]
+            m = np.repeat(np.diff(_edges_of(sig)), np.diff(_edges_of(sig)))
+            sig, ids, n, m = (x[m > 1] for x in (sig, ids, n, m))
             order = np.lexsort((ids, n, sig))
             sig, ids, n, m = (x[order] for x in (sig, ids, n, m))
             edges = _edges_of(sig)
-            left = np.repeat(edges[1:], np.diff(edges)) - np.arange(len(sig))  # places up to the bucket's end
-            a, b = [], []
+            size = np.diff(edges)
+            left = np.repeat(edges[1:], size) - np.arange(len(sig))  # places up to the bucket's end
+            a, b = [ids[:0]], [ids[:0]]
             for step in range(1, 1 + max(SMALL_BUCKET - 1, *LEAPS)):
                 can = np.flatnonzero((left > step) & ((m <= SMALL_BUCKET) | (step in LEAPS)))
                 fit = can[100 * n[can] >= percent * n[can + step]]
                 a.append(ids[fit])
                 b.append(ids[fit + step])
-            yield from _pair_rows(np.concatenate(a), np.concatenate(b)) if a else ()
+            for pair in _pair_rows(np.concatenate(a), np.concatenate(b)):
+                none = pa.nulls(pair.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pair.column(0), none, none, none, pair.column(1)], names=names)
+            key = np.repeat(np.add.reduceat(mix(ids.view(np.uint64)), edges[:-1]), size) if len(ids) else ids.view(np.uint64)
+            large = m > SMALL_BUCKET
+            columns = [pa.array(x[large]) for x in (sig, ids, n, m.astype(np.int64), key.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(int(large.sum()), pa.int64())], names=names)
 
         yield from _by_bucket(batches, handle, 4)
 
-    return rows.repartition("sig").sortWithinPartitions("sig").select("sig", "id", "n", "m").mapInArrow(in_task(run), "a long, b long").distinct()
+    return sigs.repartition("sig").sortWithinPartitions("sig").mapInArrow(in_task(run), "sig long, id long, n long, m long, key long, b long")
 
 
-def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """rows(sig, id, n, component, prefix) of large buckets -> the pairs across components that may link.
+def links_across(rows: DataFrame, percent: int) -> DataFrame:
+    """rows(sig, block, main, here, id, n, component, payload) of mixed buckets -> (a, b, sure).
 
-    Sets that link miss so few of each other's shingles that most of the prefix which ends first is in the other prefix
-    too. Shared prefix shingles are counted within the bucket, so pairs that cannot link are never written.
+    Every document outside the bucket's largest component (main) is compared with all of the block by whole sets; of the
+    links to one component the first is enough, so rows are at most documents times components met. Sets of more than LONG
+    shingles come as profiles: their pairs that may link are not sure.
     """
 
+    def compare(ids, n, comp, main, here, payload):
+        kinds, comp = np.unique(comp, return_inverse=True)
+        root = np.arange(len(kinds))  # of every component, the one that links here have joined it to
+        whole = n <= LONG
+        sets = [np.frombuffer(p, np.uint64) if w else np.zeros(0, np.uint64) for p, w in zip(payload, whole)]
+        length = np.array([len(x) for x in sets])
+        token, at = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.concatenate([[0], np.cumsum(length)])
+        mine = np.zeros(len(token), np.int64)
+        a, b, sure = [], [], []
+        for i in np.flatnonzero(~main):
+            # two documents outside the main component meet in the block that one of them is dealt to
+            fit = here & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (main | (ids != ids[i]))
+            fit &= root[comp] != root[comp[i]]
+            if not fit.any():
+                continue
+            if whole[i]:
+                mine[at[ends[i] : ends[i + 1]]] = 1
+                sums = np.concatenate([[0], np.cumsum(mine[at])])
+                both = sums[ends[1:]] - sums[ends[:-1]]
+                mine[at[ends[i] : ends[i + 1]]] = 0
+                for j in np.flatnonzero(fit & whole & (100 * both >= percent * (n + n[i] - both))):
+                    x, y = root[comp[i]], root[comp[j]]
+                    if x != y:
+                        root[root == max(x, y)] = min(x, y)
+                        a.append(ids[i]), b.append(ids[j]), sure.append(True)
+            rest = np.flatnonzero(fit & ~whole) if whole[i] else np.flatnonzero(fit)
+            own = cells_of(sets[i]) if whole[i] else payload[i]
+            for j in rest:
+                other = cells_of(sets[j]) if whole[j] else payload[j]
+                most = most_common(np.frombuffer(own, np.uint8)[None], np.frombuffer(other, np.uint8)[None])[0]
+                if (100 + percent) * most >= percent * (n[i] + n[j]):
+                    a.append(ids[i]), b.append(ids[j]), sure.append(False)
+        return a, b, sure
+
     def run(batches):
-        def handle(cols):
-            sig, ids, n, comp, prefix = cols
-            edges = _edges_of(sig)
-            for x, y in zip(edges[:-1], edges[1:]):
-                own, size, group = ids[x:y], n[x:y], comp[x:y]
-                kinds, back, count = np.unique(group, return_inverse=True, return_counts=True)
-                if len(kinds) == 1:
-                    continue
-                main = back == np.argmax(count)
-                lists = [np.frombuffer(p, np.uint32) for p in prefix[x:y]]
-                length = np.array([len(p) for p in lists])
-                token, at = np.unique(np.concatenate(lists), return_inverse=True)
-                starts = np.cumsum(length) - length
-                mine = np.zeros(len(token), bool)
-                a, b = [own[:0]], [own[:0]]
-                for i in np.flatnonzero(~main):
-                    j = np.flatnonzero((group != group[i]) & (100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])) & (main | (own > own[i])))
-                    if not len(j):
-                        continue
-                    used = at[starts[i] : starts[i] + length[i]]
-                    mine[used] = True
-                    shared = np.add.reduceat(mine[at].astype(np.int64), starts)[j]
-                    mine[used] = False
-                    overlap = -(-percent * (size[i] + size[j]) // (100 + percent))
-                    j = j[shared >= np.minimum(length[i] - (size[i] - overlap), length[j] - (size[j] - overlap))]
-                    a.append(np.full(len(j), own[i]))
-                    b.append(own[j])
-                yield from _pair_rows(np.concatenate(a), np.concatenate(b))
-
-        yield from _by_bucket(batches, handle, 5)
-
-    return rows.repartition("sig").sortWithinPartitions("sig").select("sig", "id", "n", "component", "prefix").mapInArrow(in_task(run), "a long, b long").distinct()
+        import pyarrow as pa
+
+        def settle(held):
+            parts = [np.concatenate(x) for x in zip(*(h[:5] for h in held))]
+            a, b, sure = compare(*parts, [p for h in held for p in h[5]])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+
+        held, key = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, block = (batch.column(i).to_numpy() for i in (0, 1))
+            edges = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (block[1:] != block[:-1]), [True]]))
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if held and key != (sig[x], block[x]):
+                    yield settle(held)
+                    held = []
+                key = (sig[x], block[x])
+                part = batch.slice(x, y - x)
+                main, here, ids, n, comp = (part.column(i).to_numpy(zero_copy_only=False) for i in range(2, 7))
+                held.append((ids, n, comp, main, here, part.column(7).to_pylist()))
+        if held:
+            yield settle(held)
+
+    columns = ["sig", "block", "main", "here", "id", "n", "component", "payload"]
+    return rows.select(*columns).repartition("sig", "block").sortWithinPartitions("sig", "block").mapInArrow(in_task(run), "a long, b long, sure boolean").distinct()
 
 
 def _may_link(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs that the profiles do not rule out."""
+    """(a, b, bound) of the pairs that the profiles do not rule out; bound is the similarity in thousandths that they allow."""
 
     def run(batches):
         import pyarrow as pa
@@ -337,36 +389,49 @@ def _may_link(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, CELLS) for i in (4, 5))
-            most = np.minimum(x, y).astype(np.int64).sum(1)
-            ok = ((100 + percent) * most >= percent * (n + m)) | (x == 65535).any(1) | (y == 65535).any(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+            x, y = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            most = np.zeros(len(n), np.int64)
+            width = np.array([[len(p), len(q)] for p, q in zip(x, y)])
+            for w, v in np.unique(width, axis=0):
+                at = np.flatnonzero((width == (w, v)).all(1))
+                for c in range(0, len(at), 1 + (1 << 22) // int(w + v)):
+                    j = at[c : c + 1 + (1 << 22) // int(w + v)]
+                    most[j] = most_common(*(np.frombuffer(b"".join(z[i] for i in j), np.uint8).reshape(len(j), k) for z, k in ((x, w), (y, v))))
+            ok = np.flatnonzero((100 + percent) * most >= percent * (n + m))
+            bound = np.minimum(1000, 1000 * most // np.maximum(n + m - most, 1))
+            bound[most >= 1 << 40] = 1000
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok)), pa.array(bound[ok])], names=["a", "b", "bound"])
 
     x = known.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("cells").alias("x"))
     y = known.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("cells").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(in_task(run), "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(in_task(run), "a long, b long, bound long")
 
 
-def _packed_sets(docs: DataFrame, n: int, percent: int, frequent: np.ndarray, common) -> DataFrame:
-    """(id, tokens, prefix): the whole set in order of the hashes, and the shingles of its prefix (32 bits of each)."""
-    sent = docs.sparkSession.sparkContext.broadcast((frequent, common))
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of each document the one that the profiles make likeliest."""
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "bound").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "bound"))
+    top = both.groupBy("u").agg(F.max_by("v", F.struct("bound", -F.col("v"))).alias("v"))
+    return top.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+
+
+def _packed_sets(docs: DataFrame, n: int) -> DataFrame:
+    """(id, tokens): the whole set in order of the hashes. A task gives equal sets of one id once."""
 
     def run(batches):
         import pyarrow as pa
 
-        known, common = sent.value
+        seen: set = set()
         for batch in batches:
-            for ids, text, token, sizes, score in _sets(batch, n, common):
-                ends = np.cumsum(sizes)
-                raw = token.tobytes()
-                tokens = [raw[8 * (e - s) : 8 * e] for s, e in zip(sizes.tolist(), ends.tolist())]
-                _, ordered, _, start, need, rare = _ordered(text, token, sizes, score, known, percent, np.ones(len(ids), bool))
-                short = ordered.astype(np.uint32).tobytes()
-                stop = start + np.minimum(sizes, np.maximum(need, need + (rare < need)))
-                prefix = [short[4 * a : 4 * b] for a, b in zip(start.tolist(), stop.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tokens, pa.binary()), pa.array(prefix, pa.binary())], names=["id", "tokens", "prefix"])
+            for ids, text, token, sizes, _ in _sets(batch, n):
+                digest = _fold(sizes, mix(token))
+                fresh = [i for i, key in enumerate(zip(ids.tolist(), digest.tolist())) if key not in seen and not seen.add(key)]
+                if len(seen) > SEEN:
+                    seen = set()
+                ends, raw = np.cumsum(sizes), token.tobytes()
+                tokens = [raw[8 * int(ends[i] - sizes[i]) : 8 * int(ends[i])] for i in fresh]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[fresh]), pa.array(tokens, pa.binary())], names=["id", "tokens"])
 
-    return docs.mapInArrow(in_task(run), "id long, tokens binary, prefix binary")
+    return docs.mapInArrow(in_task(run), "id long, tokens binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -403,10 +468,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     case; fewer words are one shingle). component_id is the smallest id reachable by links, the document's own included.
     Documents without words or text have no shingles and link with nothing. Rows with a null id get a null component
     and are compared with nothing; rows that share an id are one node. Equal sets are joined by their digest, one of
-    them is compared with the others. Other columns are not carried; ids are integers; percent is at least 50.
+    them is compared with the others. Other columns are not carried; ids are integers; percent is above 50.
 
-    Every pair of different sets that links is found (`signatures`) and verified, unless the two are in one component
-    already. No pair is ever written for two members of one component in a large bucket.
+    Every pair of different sets that links is found (`signatures`) and verified on whole sets, unless the two are in one
+    component already. In large buckets only neighbours by size are written as pairs; documents outside a bucket's largest
+    component are compared with the rest of it in place, and only what links is written.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50")
@@ -415,25 +481,60 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.where("id is not null")
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
     counted = frequencies(rows, words, total)
-    bucket = materialize(buckets(signatures(rows, words, percent, *counted)), "buckets")
+    bucket = materialize(buckets(signatures(rows, words, percent, *counted), percent), "buckets")
     node = known.where("n_shingles > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min_by("cells", "id").alias("cells"))
     node = materialize(node.select("s1", "s2", F.col("node").alias("id"), "n_shingles", "cells"), "nodes")
-    tried = materialize(first_pairs(bucket, percent), "pairs")
-    pairs = materialize(_may_link(tried, node, percent), "pairs-kept")
-    sets = materialize(_packed_sets(_only(rows, pairs.select(F.col("a").alias("used")).union(pairs.select("b"))), words, percent, *counted).dropDuplicates(["id"]), "sets")
-    links = materialize(_verified(pairs, sets, percent), "links")
+    tried = bucket.where("b is not null").select(F.col("id").alias("a"), "b").distinct()
+    pairs = materialize(_may_link(tried, node, percent), "pairs")
+    sets = materialize(_packed_sets(_only(rows, _ends(pairs)), words), "sets")
+    # each document's likeliest pair first; of the others only those whose ends are not joined by then
+    links = materialize(_verified(_best(pairs), sets, percent), "links")
     label = materialize(connected_components(links), "labels")
-    # large buckets that still hold several components: what links across them is found and verified
-    large = bucket.where(F.col("m") > SMALL_BUCKET)
-    named = large.join(label, large["id"] == label["node"], "left").select("sig", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("sig").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select(F.col("sig").alias("k"))
-    named = materialize(named.join(mixed, F.col("sig") == F.col("k"), "left_semi"), "mixed")
-    more = materialize(_packed_sets(_only(rows, named.select(F.col("id").alias("used"))), words, percent, *counted).dropDuplicates(["id"]), "sets-mixed")
-    across = named.join(more.select(F.col("id").alias("p_id"), "prefix"), F.col("id") == F.col("p_id"))
-    later = materialize(_may_link(cross_pairs(across, percent).join(tried, ["a", "b"], "left_anti"), node, percent), "pairs-later")
-    if not later.isEmpty():
-        links = links.unionByName(_verified(later, more, percent))
+    others = materialize(_apart(pairs, label), "pairs-apart")
+    if not others.isEmpty():
+        links = materialize(links.unionByName(_verified(others, sets, percent)), "links")
         label = materialize(connected_components(links), "labels")
+    more = _across(rows, bucket.where("b is null"), label, node, words, percent)
+    if more is not None:
+        label = materialize(connected_components(links.unionByName(more)), "labels")
     keys = node.select("s1", "s2", F.col("id").alias("node")).join(label.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.coalesce("component", "node").alias("component"))
-    out = known.join(keys, (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")) & (F.col("n_shingles") > 0), "left")
+    some = F.col("n_shingles") > 0
+    out = known.where(some).join(keys, (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")), "left").select("id", "n_shingles", "component")
+    out = out.unionByName(known.where(~some).select("id", "n_shingles", F.lit(None).cast("long").alias("component")))
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("used")).union(pairs.select("b"))
+
+
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose ends are in different components, or in none."""
+    x, y = label.select(F.col("node").alias("a"), F.col("component").alias("x")), label.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
+
+def _across(rows: DataFrame, large: DataFrame, label: DataFrame, node: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Links (u, v) across the components that large buckets still hold, None where no bucket holds several."""
+    named = large.join(label, large["id"] == label["node"], "left").select("sig", "id", "n", "m", "key", F.coalesce("component", "id").alias("component"))
+    count = named.groupBy("sig", "m", "key", "component").agg(F.count("*").alias("k"))
+    mixed = count.groupBy("sig", "m", "key").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
+    # buckets of the same documents are compared once
+    mixed = materialize(mixed.groupBy("key", "m").agg(F.min_by("largest", "sig").alias("largest"), F.min("sig").alias("s")).drop("key"), "mixed")
+    if mixed.isEmpty():
+        return None
+    held = named.drop("m", "key").join(mixed, F.col("sig") == F.col("s")).withColumn("main", F.col("component") == F.col("largest"))
+    held = held.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    held = held.withColumn("block", F.explode(F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    held = materialize(held.select("sig", "block", "main", (F.col("own") == F.col("block")).alias("here"), "id", "n", "component"), "mixed-rows")
+    ids = held.select(F.col("id").alias("used"))
+    short = materialize(_packed_sets(_only(rows, held.where(F.col("n") <= LONG).select(F.col("id").alias("used"))), words), "sets-mixed").groupBy("id").agg(F.first("tokens").alias("payload"))
+    long = _only(node.where(F.col("n_shingles") > LONG), ids).groupBy("id").agg(F.first("cells").alias("payload"))
+    payload = short.unionByName(long).withColumnRenamed("id", "p_id")
+    found = materialize(links_across(held.join(payload, F.col("id") == F.col("p_id")), percent), "across")
+    sure = found.where("sure").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    open_ = found.where("not sure").select("a", "b")
+    if open_.isEmpty():
+        return sure
+    sets = materialize(_packed_sets(_only(rows, _ends(open_)), words), "sets-long")
+    return sure.unionByName(_verified(open_, sets, percent))

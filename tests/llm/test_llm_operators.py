@@ -142,9 +142,12 @@ def test_jaccard_with_frequent_shingles_and_large_buckets(spark, monkeypatch):
         for _ in range(rng.randint(0, 6)):
             w[rng.randrange(len(w))] = rng.choice(VOCAB)
         rows.append((i, " ".join(w)))
-    for border in (24, 2):  # pairs of frequent shingles, and single ones in sets beyond the border
+    # pairs of frequent shingles, single ones in sets beyond the border, and mixed buckets in blocks with sets that come as profiles
+    for border, block, long in ((24, 4096, 2048), (2, 16, 2048), (2, 16, 57)):
         monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", 5)
         monkeypatch.setattr(jaccard_join, "MOST_COMBINED", border)
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "LONG", long)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, rows)).collect()}
         assert got == _jaccard(rows, 3, 90)
 
