@@ -27,6 +27,8 @@ MOST_CLEAN = 0.1
 LEAST_COMMON = 0.85
 #: Words of a sentence (a text is cut into stretches of so many), and sentences of a labelled text that are learned from.
 SENTENCE, SAMPLE_SENTENCES = 8, 512
+#: Clean sentences that a round learns from: so many spread over all, and so many of the most toxic ones by the round before.
+HARD = 6000
 #: A longer word is scored in overlapping pieces of so many characters.
 PIECE = 32
 #: Sentences of a text whose decisions make its score, and the size to which a decision counts.
@@ -304,37 +306,48 @@ def fit_toxicity(texts: list[tuple[list[list[str]], bool]], rounds: int = 2, c:
     at, mark, k = near_landmarks(words, marks)
     first = at[1] == 0  # a long word's later pieces are scored, not learned from
     near = defaultdict(list)
-    for i, j, v in zip(at[0][first].tolist(), mark[first].tolist(), k[first].tolist()):
-        near[i].append((j, v))
+    for i, e in zip(at[0][first].tolist(), np.flatnonzero(first).tolist()):
+        near[i].append(e)
     usual = _usual(toxic, clean)
     positive = {i for i in near if words[i] not in usual and any(m in u for u in units_of(words[i]) for m in stems)}
-    # sentences that touch no landmark are all alike; one row stands for them
-    rows, text, begins = [np.zeros(len(marks), np.float32)], [-1], [False]
+    # sentences that touch no landmark are all alike; one row without entries stands for them
+    row, entry, text, begins = [], [], [-1], [False]
     for b, (sentences, _) in enumerate(bags):
         for s in sentences:
-            own = [place[w] for w in s if place[w] in near]
+            own = [i for w in s if (i := place[w]) in near]
             if own:
-                row = np.zeros(len(marks), np.float32)
-                for i in own:
-                    for j, v in near[i]:
-                        row[j] += v
-                rows.append(row)
+                new = [e for i in own for e in near[i]]
+                row += [len(text)] * len(new)
+                entry += new
                 text.append(b)
                 begins.append(bool(y[b]) and any(i in positive for i in own))
-    close, text, begins = np.array(rows), np.array(text), np.array(begins)
+    row, entry = np.array(row, np.int64), np.array(entry, np.int64)
+    mark, k, text, begins = mark[entry], k[entry], np.array(text), np.array(begins)
+
+    def coordinates(rows):
+        x, at = np.zeros((len(rows), len(marks)), np.float32), np.full(len(text), -1, np.int64)
+        at[rows] = np.arange(len(rows))
+        own = at[row] >= 0
+        np.add.at(x, (at[row[own]], mark[own]), k[own])
+        return x @ root
+
     # insults with a character put in are learned from as well
     put = _with_insertions([words[i] for i in sorted(positive)])
     gapped = np.zeros((len(put), len(marks)), np.float32)
     g_at, g_mark, g_k = near_landmarks(put, marks)
     np.add.at(gapped, (g_at[0], g_mark), g_k)
+    gapped = gapped @ root
     negative = np.flatnonzero((text < 0) | ~y[np.maximum(text, 0)])
-    x, x_gapped = close @ root, gapped @ root
+    nearest = np.bincount(row, k / np.diag(gram)[mark], len(text))
+    used = np.union1d(negative[:: max(1, len(negative) // HARD)], negative[np.argsort(-nearest[negative])][:HARD])
     for _ in range(rounds):
-        own = np.concatenate([np.flatnonzero(begins), negative])
-        sign = np.concatenate([np.ones(begins.sum()), -np.ones(len(negative)), np.ones(len(gapped))])
-        weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / len(negative))
-        w, bias = _svm(np.vstack([x[own], x_gapped]), sign, weight, c)
-        decision = x @ w + bias
+        own = np.concatenate([np.flatnonzero(begins), used])
+        sign = np.concatenate([np.ones(begins.sum()), -np.ones(len(used)), np.ones(len(gapped))])
+        weight = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / len(used))
+        w, bias = _svm(np.vstack([coordinates(own), gapped]), sign, weight, c)
+        weights = root @ w
+        decision = np.bincount(row, k * weights[mark], len(text)) + bias
+        used = np.union1d(used, negative[np.argsort(-decision[negative])][:HARD])
         best = np.full(len(bags), -np.inf)
         np.maximum.at(best, text[1:], decision[1:])
         begins[1:] |= (decision[1:] > 0) & (decision[1:] == best[text[1:]]) & y[text[1:]]
@@ -348,7 +361,7 @@ def fit_toxicity(texts: list[tuple[list[list[str]], bool]], rounds: int = 2, c:
         sizes[b] = len(sentences), sum(v > 0 for v in by_text[b])
     label = y.astype(float)
     *slope, offset = _rising(np.clip(d, -CLIP, CLIP), label)
-    return ToxicityModel(marks, root @ w, bias, tuple(slope), offset, _rising(np.hstack([np.clip(d, -CLIP, CLIP), np.log1p(sizes)]), label))
+    return ToxicityModel(marks, weights, bias, tuple(slope), offset, _rising(np.hstack([np.clip(d, -CLIP, CLIP), np.log1p(sizes)]), label))
 
 
 def _logistic(d: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -429,8 +442,9 @@ def labelled_sentences(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
 
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("x")).join(sample, F.col("d_id") == F.col("l_id")).select("l_toxic", "x")
     table = rows.mapInArrow(in_task(cut), "toxic boolean, sentences array<string>").toArrow()
-    found = sorted(zip(table["sentences"].to_pylist(), table["toxic"].to_pylist()))
-    return [([s.split(" ") for s in t], bool(y)) for t, y in found]
+    one: dict[str, str] = {}  # a word is held once
+    found = ((t.as_py(), bool(y.as_py())) for t, y in zip(table["sentences"], table["toxic"]))
+    return sorted(([[one.setdefault(w, w) for w in s.split(" ")] for s in t], y) for t, y in found)
 
 
 def _scores(m: ToxicityModel, column, known: dict | None = None) -> np.ndarray:
