@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from dataclasses import dataclass
+from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
@@ -71,6 +72,8 @@ def pair_kernel(x: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float =
 def kernel_of(words: list[str], marks: list[str], at: np.ndarray, mark: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """pair_kernel of the words and marks at the given places."""
     out = np.zeros(len(at), np.float32)
+    used, at = np.unique(at, return_inverse=True)
+    words = [words[i] for i in used.tolist()]
     m_size, w_size = np.array([len(m) for m in marks], np.int64), np.array([len(w) for w in words], np.int64)
     t, x = _padded(marks, -2).astype(np.int32), _padded(words, -1).astype(np.int32)
     by_size = np.lexsort((w_size[at], m_size[mark]))
@@ -196,34 +199,48 @@ def _most_toxic_piece(at: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _grams(word: str) -> set[str]:
-    return {u[i : i + size] for u in units_of(word) for size in range(SHORTEST, LONGEST + 1) for i in range(len(u) - size + 1)}
+def _grams(word: str, size: int) -> set[str]:
+    return {u[i : i + size] for u in units_of(word) for i in range(len(u) - size + 1)}
 
 
-def _usual(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
-    """Words of clean texts that are no evidence: those which toxic texts do not hold far more often."""
-    good, bad = (Counter(w for d in part for w in d) for part in (clean, toxic))
-    return {w for w, times in good.items() if times * len(toxic) > MOST_CLEAN * bad[w] * len(clean)}
+@dataclass
+class Evidence:
+    """In how many toxic and clean texts each word stands, and how many texts there are of either kind."""
+
+    bad: Counter
+    good: Counter
+    toxic: int
+    clean: int
+
+    def usual(self) -> set[str]:
+        """Words of clean texts that are no evidence: those which toxic texts do not hold far more often."""
+        return {w for w, times in self.good.items() if times * self.toxic > MOST_CLEAN * self.bad[w] * self.clean}
 
 
-def _stems(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
+def _stems(seen: Evidence, usual: set[str]) -> list[str]:
     """Character sequences that mark toxic texts, most telling first; words that one explains count no further."""
-    good = Counter(w for d in clean for w in d)
-    usual = _usual(toxic, clean)
-    bad = Counter(w for d in toxic for w in d if w not in usual)
-    p: Counter = Counter()
-    for word, times in bad.items():
-        for g in _grams(word):
-            p[g] += times
-    least = max(3, LEAST_SHARE * len(toxic))
-    n = dict.fromkeys((g for g, c in p.items() if c >= least), 0)
-    for word, times in good.items():
-        for g in _grams(word):
-            if g in n:
-                n[g] += times
+    bad = {w: times for w, times in seen.bad.items() if w not in usual}
+    least = max(3, LEAST_SHARE * seen.toxic)
+    # a sequence is counted only if both that are one character shorter are frequent, which keeps the counts few
+    p: dict[str, int] = {}
+    for size in range(SHORTEST, LONGEST + 1):
+        level: Counter = Counter()
+        for word, times in bad.items():
+            for g in _grams(word, size):
+                if size == SHORTEST or (g[:-1] in p and g[1:] in p):
+                    level[g] += times
+        p |= {g: times for g, times in level.items() if times >= least}
+    n = dict.fromkeys(p, 0)
+
+    def held(word):
+        return [g for size in range(SHORTEST, LONGEST + 1) for g in _grams(word, size) if g in p]
+
+    for word, times in seen.good.items():
+        for g in held(word):
+            n[g] += times
 
     def odds(g):
-        return np.log((p[g] + 0.5) / (len(toxic) + 1)) - np.log((n[g] + 0.5) / (len(clean) + 1))
+        return np.log((p[g] + 0.5) / (seen.toxic + 1)) - np.log((n[g] + 0.5) / (seen.clean + 1))
 
     out: list[str] = []
     while len(out) < STEMS:
@@ -235,7 +252,7 @@ def _stems(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
         top = max((g for g in left if top in g and p[g] >= 0.9 * p[top]), key=lambda g: (len(g), p[g], g))
         out.append(top)
         for word in [w for w in bad if any(top in u for u in units_of(w))]:
-            for g in _grams(word):
+            for g in held(word):
                 p[g] -= bad[word]
             del bad[word]
     return out
@@ -261,10 +278,8 @@ def _with_insertions(words: list[str], most: int = 400) -> list[str]:
     return [w[: 1 + i % max(1, len(w) - 1)] + ".-*_"[i % 4] + w[1 + i % max(1, len(w) - 1) :] for i, w in enumerate(words[:most]) if len(w) > 3]
 
 
-def _landmarks(stems: list[str], toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
+def _landmarks(stems: list[str], bad: Counter, usual: set[str]) -> list[str]:
     """The stems, words of toxic sentences that hold them, and the words of clean sentences that are nearest to them."""
-    usual = _usual(toxic, clean)
-    bad, good = (Counter(w for d in part for w in d) for part in (toxic, clean))
     out = dict.fromkeys(stems)
     for stem in stems:
         own = [w for w in bad if w not in usual and any(stem in u for u in units_of(w))]
@@ -285,30 +300,35 @@ def fit_toxicity(texts: list[tuple[list[list[str]], bool]], rounds: int = 2, c:
     Nyström's. As sentences are not labelled one by one, each toxic text is a bag whose best sentence speaks for it: those
     with a word that holds a stem begin as toxic ones, after each round every toxic text's best sentence joins them.
     """
-    seen: set = set()
-    bags = [seen.add(k) or (t, y) for t, y in texts if (k := (frozenset(w for s in t for w in s), y)) not in seen]
-    sets = [{w for s in t for w in s} for t, _ in bags]
+    seen, digests, bags = Evidence(Counter(), Counter(), 0, 0), set(), []
+    for sentences, label in texts:
+        own = {w for s in sentences for w in s}
+        digest = (sha256(" ".join(sorted(own)).encode()).digest(), label)
+        if digest not in digests:  # texts of the same words count once
+            digests.add(digest)
+            bags.append((sentences, label))
+            (seen.bad if label else seen.good).update(own)
     y = np.array([t for _, t in bags], bool)
-    toxic, clean = [w for w, t in zip(sets, y) if t], [w for w, t in zip(sets, y) if not t]
-    stems = _stems(toxic, clean) if toxic and clean else []
-    share = len(toxic) / max(1, len(bags))
+    seen.toxic, seen.clean = int(y.sum()), int((~y).sum())
+    usual = seen.usual()
+    stems = _stems(seen, usual) if seen.toxic and seen.clean else []
+    share = seen.toxic / max(1, len(bags))
     if not stems:
         return ToxicityModel([], np.zeros(0), 0.0, (0.0,) * TOP, float(np.log((share + 0.01) / (1.01 - share))))
-    marks = _landmarks(stems, toxic, clean)
+    marks = _landmarks(stems, seen.bad, usual)
     gram = subsequence_kernel(marks, marks).astype(np.float64)
     scale = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-9))
     unit = gram * scale[:, None] * scale
     values, vectors = np.linalg.eigh((unit + unit.T) / 2)
     # Nyström: with unit landmarks, k(x) @ root are the coordinates of x; they are brought to the size of a whole match
     root = (scale[:, None] * (vectors @ np.diag(np.maximum(values, 1e-2) ** -0.5) @ vectors.T)) * float(np.median(1 / scale))
-    words = sorted({w for t in sets for w in t})
+    words = sorted({*seen.bad, *seen.good})
     place = {w: i for i, w in enumerate(words)}
     at, mark, k = near_landmarks(words, marks)
     first = at[1] == 0  # a long word's later pieces are scored, not learned from
     near = defaultdict(list)
     for i, e in zip(at[0][first].tolist(), np.flatnonzero(first).tolist()):
         near[i].append(e)
-    usual = _usual(toxic, clean)
     positive = {i for i in near if words[i] not in usual and any(m in u for u in units_of(words[i]) for m in stems)}
     # sentences that touch no landmark are all alike; one row without entries stands for them
     row, entry, text, begins = [], [], [-1], [False]
