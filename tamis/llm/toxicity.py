@@ -259,17 +259,23 @@ def _stems(seen: Evidence, usual: set[str]) -> list[str]:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1e4, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Linear SVM with squared hinge loss: Newton steps over the examples inside the margin."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    keep = np.eye(z.shape[1])
+    """Linear SVM with squared hinge loss: Newton steps over the examples inside the margin, some rows at a time."""
+    size = x.shape[1] + 1
+    keep = np.eye(size)
     keep[-1, -1] = 1e-6
-    w, before = np.zeros(z.shape[1]), None
+    w, before = np.zeros(size), None
     for _ in range(rounds):
-        inside = y * (z @ w) < 1
+        inside, left, right = np.zeros(len(x), bool), keep.copy(), np.zeros(size)
+        for a in range(0, len(x), BATCH):
+            z = np.hstack([x[a : a + BATCH], np.ones((len(x[a : a + BATCH]), 1))])
+            at = y[a : a + BATCH] * (z @ w) < 1
+            part = z[at] * (2 * c * weight[a : a + BATCH][at])[:, None]
+            left += part.T @ z[at]
+            right += part.T @ y[a : a + BATCH][at]
+            inside[a : a + BATCH] = at
         if before is not None and np.array_equal(inside, before):
             break
-        before, part = inside, z[inside] * (2 * c * weight[inside])[:, None]
-        w = np.linalg.solve(keep + part.T @ z[inside], part.T @ y[inside])
+        before, w = inside, np.linalg.solve(left, right)
     return w[:-1], float(w[-1])
 
 
@@ -349,14 +355,14 @@ def fit_toxicity(texts: list[tuple[list[list[str]], bool]], rounds: int = 2, c:
         at[rows] = np.arange(len(rows))
         own = at[row] >= 0
         np.add.at(x, (at[row[own]], mark[own]), k[own])
-        return x @ root
+        return x @ root.astype(np.float32)
 
     # insults with a character put in are learned from as well
     put = _with_insertions([words[i] for i in sorted(positive)])
     gapped = np.zeros((len(put), len(marks)), np.float32)
     g_at, g_mark, g_k = near_landmarks(put, marks)
     np.add.at(gapped, (g_at[0], g_mark), g_k)
-    gapped = gapped @ root
+    gapped = gapped @ root.astype(np.float32)
     negative = np.flatnonzero((text < 0) | ~y[np.maximum(text, 0)])
     nearest = np.bincount(row, k / np.diag(gram)[mark], len(text))
     used = np.union1d(negative[:: max(1, len(negative) // HARD)], negative[np.argsort(-nearest[negative])][:HARD])
