@@ -28,7 +28,7 @@ SMALL_BUCKET, LEAPS = 4, (1, 2, 4)
 SEEN = 500_000
 #: Cells of a set's profile (more for large sets, so that a cell holds some PER_CELL shingles at most, MOST_CELLS in all);
 #: the sum of the smaller counts bounds the overlap from above.
-CELLS, PER_CELL, MOST_CELLS = 64, 10, 2**14
+CELLS, PER_CELL, MOST_CELLS = 64, 2, 2**16
 #: Documents of a mixed bucket that are compared in one task with those outside the bucket's largest component; sets of more
 #: shingles are compared there by their profiles, and verified afterwards.
 BLOCK, LONG = 4096, 2048
