@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Languages by extension. Fixed values.
-LANGUAGES = {"ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "py": "Python", "go": "Go", "rs": "Rust", "java": "Java", "kt": "Kotlin"}
+LANGUAGES = {"ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "py": "Python", "go": "Go", "rs": "Rust", "java": "Java", "kt": "Kotlin", "rb": "Ruby", "php": "PHP", "c": "C", "cpp": "C++", "cc": "C++", "h": "C", "hpp": "C++", "cs": "C#", "swift": "Swift", "scala": "Scala", "lua": "Lua", "sh": "Shell", "bash": "Shell", "zsh": "Shell", "json": "JSON", "yaml": "YAML", "yml": "YAML", "toml": "TOML", "xml": "XML", "html": "HTML", "css": "CSS", "scss": "SCSS", "sql": "SQL", "md": "Markdown", "vue": "Vue", "svelte": "Svelte"}
 
 
 def inventory(files: DataFrame) -> DataFrame:
@@ -19,13 +19,17 @@ def imports(files: DataFrame) -> DataFrame:
     """(path, target): what a file imports, by its language's form."""
     ext = F.lower(F.element_at(F.split("path", "\\."), -1))
     js = F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in ("import\\s+[^;]{0,500}?from\\s+[\"']([^\"']+)[\"']", "import\\s+[\"']([^\"']+)[\"']", "require\\s*\\(\\s*[\"']([^\"']+)[\"']\\s*\\)")])
+    go = F.concat(F.regexp_extract_all("content", F.lit("import\\s+\"([^\"]+)\""), F.lit(1)), F.flatten(F.transform(F.regexp_extract_all("content", F.lit("import\\s*\\(([^)]*)\\)"), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit("\"([^\"]+)\""), F.lit(1)))))
+    rust = F.regexp_extract_all("content", F.lit("use\\s+([A-Za-z0-9_:]+)"), F.lit(1))
+    java = F.regexp_extract_all("content", F.lit("import\\s+(?:static\\s+)?([A-Za-z0-9_.]+)"), F.lit(1))
     py = F.concat(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in ("(?m)^from\\s+([A-Za-z0-9_.]+)\\s+import", "(?m)^import\\s+([A-Za-z0-9_.]+)")])
-    found = F.when(ext.isin("ts", "tsx", "js", "jsx", "mjs", "cjs"), js).when(ext == "py", py).otherwise(F.array().cast("array<string>"))
+    found = F.when(ext.isin("ts", "tsx", "js", "jsx", "mjs", "cjs"), js).when(ext == "py", py).when(ext == "go", go).when(ext == "rs", rust).when(ext.isin("java", "kt"), java).otherwise(F.array().cast("array<string>"))
     return files.select("path", F.explode(F.array_distinct(found)).alias("target"))
 
 
-def dependencies(files: DataFrame) -> DataFrame:
-    """(src, dst): imports by relative path that name a file of the table; the first suffix that exists wins."""
+def dependencies(files: DataFrame, with_target: bool = False) -> DataFrame:
+    """(src, dst), and the target as written if asked for: imports by relative path that name a file of the table; the first
+    suffix that exists wins."""
     rel = imports(files).where("target like './%' or target like '../%'")
     folder = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
     steps = F.aggregate(F.split("target", "/"), folder, lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))))
@@ -33,7 +37,7 @@ def dependencies(files: DataFrame) -> DataFrame:
     suffixes = ["", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
     tried = rel.select(F.col("path").alias("src"), "target", F.posexplode(F.array(*[F.concat(base, F.lit(s)) for s in suffixes])).alias("ord", "dst"))
     known = tried.join(files.select(F.col("path").alias("dst")), "dst")
-    return known.groupBy("src", "target").agg(F.min_by("dst", "ord").alias("dst")).select("src", "dst").distinct()
+    return known.groupBy("src", "target").agg(F.min_by("dst", "ord").alias("dst")).select("src", "dst", *["target"] * with_target).distinct()
 
 
 def entry_points(files: DataFrame, deps: DataFrame) -> DataFrame:
