@@ -51,3 +51,96 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     """Jaccard of trigrams; 1 for equal words, 0 where either has fewer than three characters."""
     both, either = F.size(F.array_intersect(trigrams(a), trigrams(b))), F.size(F.array_union(trigrams(a), trigrams(b)))
     return F.when(a == b, 1.0).when((F.length(a) < 3) | (F.length(b) < 3), 0.0).otherwise(both / either)
+
+
+#: Named entities that hide text. Fixed values.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "tab": "\t", "newline": "\n", "colon": ":", "semi": ";", "lpar": "(", "rpar": ")", "lsqb": "[", "rsqb": "]", "lcub": "{", "rcub": "}", "sol": "/", "bsol": "\\", "equals": "=", "plus": "+", "minus": "-", "excl": "!", "num": "#", "percnt": "%", "commat": "@", "hat": "^", "lowbar": "_", "grave": "`", "tilde": "~", "period": ".", "comma": ","}
+#: Digits and signs that stand for letters. Fixed values.
+LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "|": "l", "!": "i"})
+#: What a text must hold for one of the steps that Python does. A text without it never leaves the JVM's side of the plan.
+HIDDEN = "[A-Za-z0-9+/]{16}|\\\\[xu]|&[#A-Za-z]|[A-Za-z][0-9@$|!]|[0-9@$|!][A-Za-z]"
+
+
+def _base64(text: str) -> str:
+    import base64
+    import re
+
+    def one(m):
+        raw = m.group(0)
+        try:
+            out = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True).decode("utf-8")
+        except ValueError:
+            return raw
+        return out if re.fullmatch(r"[\x20-\x7E\t\n\r]+", out) else raw
+
+    return re.sub(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/=])", one, text)
+
+
+def _code_points(text: str, pattern: str, least: int = 0) -> str:
+    import re
+
+    def one(m):
+        digits = next(g for g in m.groups() if g is not None)
+        n = int(digits, 10 if len(m.groups()) > 1 and m.group(2) is not None else 16)
+        return chr(n) if least <= n <= 0x10FFFF and not 0xD800 <= n <= 0xDFFF else m.group(0)
+
+    return re.sub(pattern, one, text)
+
+
+def _entities(text: str) -> str:
+    import re
+
+    named = re.sub("&(" + "|".join(ENTITIES) + ");", lambda m: ENTITIES[m.group(1).lower()], text, flags=re.I)
+    return _code_points(named, r"&#x([0-9A-Fa-f]{1,6});|&#(\d{1,7});", 1)
+
+
+def _leet(text: str) -> str:
+    import re
+
+    def one(m):
+        word = m.group(0)
+        return word.translate(LEET) if re.search("[a-zA-Z]", word) and re.search("[0-9@$|!]", word) else word
+
+    return re.sub(r"\b[a-zA-Z0-9@$|!]{3,}\b", one, text, flags=re.A)
+
+
+#: Steps that need a function for each match, in order, between the first and the other native steps.
+_DECODED = [("base64", _base64), ("hex_escapes", lambda t: _code_points(t, r"\\x([0-9A-Fa-f]{2})")), ("unicode_escapes", lambda t: _code_points(t, r"\\u\{?([0-9A-Fa-f]{1,6})\}?")), ("entities", _entities)]
+
+
+def _in_order(c: Column, steps) -> Column:
+    """(text, changed) after the steps, for the texts that may hold something for them."""
+    import pandas as pd
+
+    @F.pandas_udf("text string, changed array<string>", F.PandasUDFType.SCALAR)
+    def run(texts):
+        out, changed = [], []
+        for text in texts:
+            done = []
+            for name, step in steps:
+                after = step(text)
+                if after != text:
+                    done.append(name)
+                    text = after
+            out.append(text)
+            changed.append(done)
+        return pd.DataFrame({"text": out, "changed": changed})
+
+    return run(c)
+
+
+def normalize_corpus(docs, text_col: str = "text"):
+    """docs with normalized and transforms, the names of the steps that changed the text, in order: invisible characters,
+    base64, hex and Unicode escapes, entities, look-alikes, full width, leetspeak, blanks. Only texts that may hold a coded
+    stretch are sent to Python, the others stay in native expressions; null texts are empty."""
+    rows = docs.withColumn("_t", strip_invisible(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_c0", F.when(F.col("_t") != F.coalesce(F.col(text_col), F.lit("")), F.array(F.lit("invisible"))).otherwise(F.array().cast("array<string>")))
+    coded = rows.where(F.col("_t").rlike(HIDDEN)).withColumn("_d", _in_order(F.col("_t"), _DECODED))
+    coded = coded.withColumn("_t", F.col("_d.text")).withColumn("_c0", F.concat("_c0", "_d.changed")).drop("_d")
+    rows = coded.withColumn("_h", F.lit(True)).unionByName(rows.where(~F.col("_t").rlike(HIDDEN)).withColumn("_h", F.lit(False)))
+    rows = rows.withColumn("_a", fold_look_alikes(F.col("_t"))).withColumn("_b", to_half_width(F.col("_a")))
+    rows = rows.withColumn("_c0", F.concat("_c0", F.array_compact(F.array(F.when(F.col("_a") != F.col("_t"), F.lit("look_alikes")), F.when(F.col("_b") != F.col("_a"), F.lit("full_width"))))))
+    plain = rows.where(~F.col("_b").rlike(HIDDEN)).withColumn("_l", F.col("_b"))
+    leet = rows.where(F.col("_b").rlike(HIDDEN)).withColumn("_d", _in_order(F.col("_b"), [("leetspeak", _leet)]))
+    leet = leet.withColumn("_l", F.col("_d.text")).withColumn("_c0", F.concat("_c0", "_d.changed")).drop("_d")
+    both = plain.unionByName(leet).withColumn("normalized", collapse_blanks(F.col("_l")))
+    return both.withColumn("transforms", F.concat("_c0", F.array_compact(F.array(F.when(F.col("normalized") != F.col("_l"), F.lit("blanks")))))).drop("_t", "_c0", "_h", "_a", "_b", "_l")

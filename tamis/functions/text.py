@@ -23,8 +23,7 @@ def text_or_empty(c) -> Column:
 def tokens(c) -> Column:
     """Lower-case words of a-z, Hangul, digits and hyphens, longer than one character, without stop words."""
     words = F.split(F.regexp_replace(F.lower(text_or_empty(c)), "[^a-z가-힣0-9 \\t\\n\\r\\f-]", " "), "[ \\t\\n\\r\\f]+")
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))  # a hash set in the plan
 
 
 def bigrams(words: Column) -> Column:
@@ -55,3 +54,8 @@ def entropy_of(s: Column) -> Column:
     n = F.size(chars)
     each = F.transform(F.array_distinct(chars), lambda d: F.size(F.filter(chars, lambda x: x == d)) / n)
     return F.aggregate(each, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+
+
+def ascii_bounds(pattern: str) -> str:
+    """A pattern whose word bounds are those of a-z, A-Z, 0-9 and the underline alone, in whichever Java it runs."""
+    return pattern.replace("\\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions.text import count_matches, raw_tokens, text_or_empty
 
-LATIN, CYRILLIC, CJK = "[A-Za-zÀ-ɏ]", "[Ѐ-ӿ]", "[一-鿿㐀-䶿]"
+LATIN, CYRILLIC = "[A-Za-zÀ-ɏ]", "[Ѐ-ӿ]"
 INVISIBLE = "[\\x{200B}-\\x{200F}\\x{2060}-\\x{2069}\\x{FEFF}\\x{202A}-\\x{202E}]"
 
 
@@ -63,18 +63,26 @@ def entropy_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, unit, repeats, offset) of one character twenty times or more, or a unit of two to eight characters."""
-    one = docs.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit("((.)\\2{19,})"), F.lit(1))).alias("run"), F.col(text_col).alias("t")).select(id_col, F.substring("run", 1, 1).alias("unit"), F.length("run").alias("repeats"), (F.expr("instr(t, run)") - 1).alias("offset"))
-    more = docs.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit("((.{2,8}?)\\2{19,})"), F.lit(1))).alias("run"), F.col(text_col).alias("t"))
-    more = more.withColumn("unit", F.regexp_extract("run", "^(.{2,8}?)\\1{19,}", 1)).where(F.size(F.array_distinct(F.split("unit", ""))) > 1)
-    return one.unionByName(more.select(id_col, "unit", F.floor(F.length("run") / F.length("unit")).cast("int").alias("repeats"), (F.expr("instr(t, run)") - 1).alias("offset")))
+    """(id, unit, repeats, offset) of one character twenty times or more, or a unit of two to eight characters; equal runs are
+    told apart, each with its own place."""
+    def runs(pattern):
+        # what stands between two runs tells where the next one begins
+        whole = F.lit("(" + pattern.replace("\\1", "\\2") + ")")
+        cut = docs.select(id_col, text_or_empty(text_col).alias("t")).where(F.col("t").rlike(pattern)).select(id_col, F.regexp_extract_all("t", whole, F.lit(1)).alias("runs"), F.split("t", pattern).alias("parts"))
+        size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
+        placed = F.transform("runs", lambda r, i: F.struct(r.alias("run"), (size(F.slice("parts", 1, i + 1)) + size(F.slice("runs", 1, i))).alias("offset")))
+        return cut.select(id_col, F.explode(placed).alias("r")).select(id_col, "r.run", "r.offset")
+
+    one = runs("(.)\\1{19,}").select(id_col, F.substring("run", 1, 1).alias("unit"), F.length("run").alias("repeats"), "offset")
+    more = runs("(.{2,8}?)\\1{19,}").withColumn("unit", F.regexp_extract("run", "^(.{2,8}?)\\1{19,}", 1)).where(F.size(F.array_distinct(F.filter(F.split("unit", ""), lambda c: c != ""))) > 1)
+    return one.unionByName(more.select(id_col, "unit", F.floor(F.length("run") / F.length("unit")).cast("int").alias("repeats"), "offset"))
 
 
 def script_mixing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sentence_no, severity): sentences of Latin with Cyrillic (high), or of three scripts (medium)."""
+    """(id, sentence_no, severity): sentences of Latin with Cyrillic."""
     s = docs.select(id_col, F.posexplode(F.split(text_col, "[.!?\\n]+")).alias("sentence_no", "s"))
-    latin, cyrillic, cjk = F.col("s").rlike(LATIN), F.col("s").rlike(CYRILLIC), F.col("s").rlike(CJK)
-    severity = F.when(latin & cyrillic, "high").when(latin & cyrillic & cjk, "medium")
+    latin, cyrillic = F.col("s").rlike(LATIN), F.col("s").rlike(CYRILLIC)
+    severity = F.when(latin & cyrillic, "high")
     return s.select(id_col, "sentence_no", severity.alias("severity")).where("severity is not null")
 
 

@@ -22,9 +22,9 @@ def concept_edges(observations: DataFrame) -> DataFrame:
 
 
 def tunnels(observations: DataFrame) -> DataFrame:
-    """(src, dst, topic): pairs of domains, in lexical order, that share a topic."""
+    """(src, dst, topic, weight): pairs of domains, in lexical order, that share a topic; each is an edge of weight 2."""
     d = observations.where("domain is not null and topic is not null").select("domain", "topic").distinct()
-    return d.alias("a").join(d.alias("b"), (F.col("a.topic") == F.col("b.topic")) & (F.col("a.domain") < F.col("b.domain"))).select(F.col("a.domain").alias("src"), F.col("b.domain").alias("dst"), F.col("a.topic").alias("topic"))
+    return d.alias("a").join(d.alias("b"), (F.col("a.topic") == F.col("b.topic")) & (F.col("a.domain") < F.col("b.domain"))).select(F.col("a.domain").alias("src"), F.col("b.domain").alias("dst"), F.col("a.topic").alias("topic"), F.lit(2).alias("weight"))
 
 
 def expand(starts: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import injection_rules as ir
 from tamis.functions.normalize import normalized
-from tamis.functions.text import text_or_empty
+from tamis.functions.text import ascii_bounds, text_or_empty
 from tamis.operators.secrets import HINT, redact
 
 #: Characters of evidence that a finding carries.
@@ -25,7 +25,7 @@ def rank_of(severity: Column) -> Column:
 def first_matches(t: Column, rules) -> Column:
     """Array of (ord, rule, severity, evidence) of the rules that match, each with its first match."""
     def hit(i, rule):
-        name, severity, pattern = rule
+        name, severity, pattern = rule[0], rule[1], ascii_bounds(rule[2])
         found = F.regexp_extract(t, pattern, 0)
         short = F.when(F.length(found) > EVIDENCE, F.concat(F.substring(found, 1, EVIDENCE), F.lit("..."))).otherwise(found)
         return F.when(t.rlike(pattern), F.struct(F.lit(i).alias("ord"), F.lit(name).alias("rule"), F.lit(severity).alias("severity"), short.alias("evidence")))
@@ -55,7 +55,7 @@ def injected(docs: DataFrame, rules=ir.RULES, id_col: str = "doc_id", text_col:
     plain = docs.withColumn("_t", text_or_empty(text_col)).withColumn("_n", normalized(text_col)[0])
     any_of = F.lit(False)
     for _, _, pattern in rules:
-        any_of = any_of | F.col("_n").rlike(pattern) | F.col("_t").rlike(pattern)
+        any_of = any_of | F.col("_n").rlike(ascii_bounds(pattern)) | F.col("_t").rlike(ascii_bounds(pattern))
     return plain.withColumn("injected", any_of).drop("_t", "_n")
 
 
@@ -88,7 +88,7 @@ def sensitive(t: Column) -> Column:
     """Whether a text names a sensitive topic."""
     out = F.lit(False)
     for p in ir.SENSITIVE:
-        out = out | t.rlike(p)
+        out = out | t.rlike(ascii_bounds(p))
     return out
 
 
@@ -100,6 +100,7 @@ def arguments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     base = docs.select(id_col, text_or_empty(text_col).alias("t")).where(F.length("t") >= 15).withColumn("topic", sensitive(F.col("t")))
     t, out = F.col("t"), []
     for name, severity, patterns, needs_topic in ir.ARGUMENTS:
+        patterns = [ascii_bounds(p) for p in patterns]
         found = [t.rlike(p) for p in patterns]
         n = sum((f.cast("int") for f in found), F.lit(0))
         order = list(zip(found, patterns))
@@ -118,9 +119,9 @@ def arguments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def standing_directive(t: Column) -> Column:
     """Why a text must not be stored, null if it may: it sends a key file away, or fetches a script and runs it."""
-    runs = t.rlike(ir.RUN) & t.rlike(ir.SCRIPT_URL) & (t.rlike("(?i)http://") | t.rlike(ir.STANDING))
-    fetches = t.rlike(ir.STANDING) & t.rlike("(?i)https?://") & t.rlike(ir.FETCH) & t.rlike(ir.TO_SHELL)
-    return F.when(t.rlike(ir.EXPOSE) & t.rlike(ir.SECRET_FILE), "sends a key file").when(runs | fetches, "fetches and runs a script")
+    runs = t.rlike(ascii_bounds(ir.RUN)) & t.rlike(ascii_bounds(ir.SCRIPT_URL)) & (t.rlike("(?i)http://") | t.rlike(ascii_bounds(ir.STANDING)))
+    fetches = t.rlike(ascii_bounds(ir.STANDING)) & t.rlike("(?i)https?://") & t.rlike(ascii_bounds(ir.FETCH)) & t.rlike(ascii_bounds(ir.TO_SHELL))
+    return F.when(t.rlike(ascii_bounds(ir.EXPOSE)) & t.rlike(ascii_bounds(ir.SECRET_FILE)), "sends a key file").when(runs | fetches, "fetches and runs a script")
 
 
 def persistent_directives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +225,7 @@ def judge_commands(commands: DataFrame, rules=ir.COMMANDS, command_col: str = "c
     c = F.regexp_replace(F.trim(text_or_empty(command_col)), r"\\([A-Za-z0-9/.:_-])", "$1")
     c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "['\"`]", ""), r"\$\{IFS\}|\$IFS", " "), "[ \\t\\n\\r\\f]+", " ")
     rows = commands.withColumn("_c", c).withColumn("_raw", F.trim(text_or_empty(command_col)))
-    hit = lambda kind: F.coalesce(*[F.when(F.col("_c").rlike(p) | F.col("_raw").rlike(p), F.lit(r)) for r, d, p in rules if d == kind])
+    hit = lambda kind: F.coalesce(*[F.when(F.col("_c").rlike(ascii_bounds(p)) | F.col("_raw").rlike(ascii_bounds(p)), F.lit(r)) for r, d, p in rules if d == kind])
     deny, ask = hit("deny"), hit("ask")
     decision = F.when(deny.isNotNull(), "deny").when(ask.isNotNull(), "ask").otherwise("allow")
     return rows.withColumn("decision", decision).withColumn("rule", F.coalesce(deny, ask)).drop("_c", "_raw")
@@ -233,7 +234,7 @@ def judge_commands(commands: DataFrame, rules=ir.COMMANDS, command_col: str = "c
 def judge_writes(writes: DataFrame, path_col: str = "path") -> DataFrame:
     """writes with decision and rule by the path that is written."""
     p = text_or_empty(path_col)
-    hit = lambda kind: F.coalesce(*[F.when(p.rlike(x), F.lit(r)) for r, d, x in ir.PATHS if d == kind])
+    hit = lambda kind: F.coalesce(*[F.when(p.rlike(ascii_bounds(x)), F.lit(r)) for r, d, x in ir.PATHS if d == kind])
     deny, ask = hit("deny"), hit("ask")
     return writes.withColumn("decision", F.when(deny.isNotNull(), "deny").when(ask.isNotNull(), "ask").otherwise("allow")).withColumn("rule", F.coalesce(deny, ask))
 

@@ -22,10 +22,9 @@ NOISE_WORDS = (
 def topic_words(c) -> Column:
     """Distinct words of a message that may name a topic."""
     words = F.split(F.regexp_replace(F.lower(text_or_empty(c)), "[^a-z가-힣0-9 \\t\\n\\r\\f-]", " "), "[ \\t\\n\\r\\f]+")
-    stop = F.array(*map(F.lit, [*STOP_WORDS, *NOISE_WORDS]))
 
     def names(w):
-        usual = (F.length(w) > 2) & ~F.array_contains(stop, w)
+        usual = (F.length(w) > 2) & ~w.isin(*STOP_WORDS, *NOISE_WORDS)
         digits = ~w.rlike("^[0-9a-f]{6,}$") & ~w.rlike("^[0-9]+$")
         return usual & digits & ~w.startswith("-home-") & ~(w.contains("-") & w.rlike("[0-9a-f]{4,}"))
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tamis.functions.text import tokens
 
+#: Up to so many different words of the queries are broadcast; so many queries go to the tasks at a time.
+SENT_TERMS, SENT_QUERIES = 200_000, 20_000
+
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, id, tf)."""
@@ -22,14 +25,15 @@ def inverse_frequencies(posted: DataFrame, n_docs: int) -> DataFrame:
 def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text", query_col: str = "item_id", query_text_col: str = "text") -> DataFrame:
     """(query, rank, id, score): the k best documents of every query; a query's repeated words count repeatedly.
 
-    Postings meet the queries' terms by an equi join, so documents without a common term are never scored.
+    Words that no query holds are dropped before anything is shuffled.
     """
-    posted = postings(docs, id_col, text_col)
-    size = docs.select(id_col, F.size(tokens(text_col)).alias("len"))
-    whole = size.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
-    idf = inverse_frequencies(posted, whole.n)
     q = queries.select(F.col(query_col).alias("query_id"), F.explode(tokens(query_text_col)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    hits = posted.join(idf, "term").join(q, "term").join(size, id_col)
+    terms = q.select("term").distinct()
+    terms = F.broadcast(terms) if terms.count() <= SENT_TERMS else terms
+    rows = docs.select(id_col, tokens(text_col).alias("w")).select(id_col, "w", F.size("w").alias("len"))
+    whole = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+    posted = rows.select(id_col, "len", F.explode("w").alias("term")).join(terms, "term", "left_semi").groupBy("term", id_col, "len").agg(F.count("*").alias("tf"))
+    hits = posted.join(inverse_frequencies(posted, whole.n), "term").join(q, "term")
     part = F.col("qn") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(whole.mean)))
     score = hits.groupBy("query_id", id_col).agg(F.round(F.sum(part), 4).alias("score"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
@@ -63,15 +67,65 @@ def related_words(docs: DataFrame, k: int = 10, window: int = 5, text_col: str =
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score): the k nearest rows by cosine of a stated query set, which is broadcast when small."""
-    def unit(c):
-        x = F.transform(c, lambda v: v.cast("double"))
-        norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
-        return F.transform(x, lambda v: v / norm)
-
-    q = queries.select(F.col(id_col).alias("query_id"), unit(vector_col).alias("q"))
-    q = F.broadcast(q) if q.limit(20_001).count() <= 20_000 else q
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.select(id_col, unit(vector_col).alias("v")).join(q, F.col("query_id") != F.col(id_col)).select("query_id", id_col, F.round(dot, 6).alias("score"))
+    """(query_id, rank, id, score): the k nearest other rows by cosine (in double precision) of a stated query set.
+
+    The queries go to the tasks in blocks of SENT_QUERIES at most; a task multiplies its rows with a block and keeps the k
+    best of each query, so that no pair beyond those is shuffled. Null vectors and those without length are near nothing."""
+    import numpy as np
+
+    def matrix(column):
+        sizes = np.diff(column.offsets.to_numpy())
+        wide = int(sizes.max()) if len(sizes) else 0
+        x = np.zeros((len(column), wide))
+        ok = sizes == wide
+        if wide and ok.any():
+            x[ok] = column.filter(pa_array(ok)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, wide)
+        norm = np.linalg.norm(x, axis=1)
+        return x / np.where(norm > 0, norm, 1)[:, None], norm > 0
+
+    def pa_array(x):
+        import pyarrow as pa
+
+        return pa.array(x)
+
+    spark = vectors.sparkSession
+    rows = vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, vector_col)
+    asked = queries.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, vector_col)
+    blocks = max(1, -(-asked.count() // SENT_QUERIES))
+    out = None
+    for block in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == block).toArrow()
+        ids = part.column(0).to_numpy()
+        q, q_ok = matrix(part.column(1).combine_chunks()) if len(ids) else (np.zeros((0, 0)), np.zeros(0, bool))
+        sent = spark.sparkContext.broadcast((ids[q_ok], q[q_ok]))
+
+        def best(batches):
+            import pyarrow as pa
+
+            ids, q = sent.value
+            for batch in batches:
+                if not batch.num_rows or not len(ids):
+                    continue
+                own = batch.column(0).to_numpy()
+                x, ok = matrix(batch.column(1))
+                own, x = own[ok], x[ok]
+                if x.shape[1] != q.shape[1]:
+                    continue
+                found = []
+                for a in range(0, len(q), 256):
+                    scores = np.round(x @ q[a : a + 256].T, 6)
+                    for j in range(scores.shape[1]):
+                        at = np.flatnonzero(own != ids[a + j])
+                        s = scores[at, j]
+                        if len(s) > k:
+                            near = s >= np.partition(s, len(s) - k)[len(s) - k]
+                            at, s = at[near], s[near]
+                        order = np.lexsort((own[at], -s))[:k]
+                        found.append((np.full(len(order), ids[a + j]), own[at][order], s[order]))
+                columns = [np.concatenate(c) for c in zip(*found)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+
+        met = rows.mapInArrow(best, f"query_id long, `{id_col}` long, score double")
+        out = met if out is None else out.unionByName(met)
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)

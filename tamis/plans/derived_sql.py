@@ -25,6 +25,7 @@ def fill(c: str, n: str, m: str | None = None) -> str:
 
 
 INBOX = f"inbox AS (SELECT * REPLACE (coalesce(text, '') || chr(10) || {pick(derived.PHRASES, 'doc_id')} AS text) FROM documents)"
+VAULT = f"vault AS (SELECT * REPLACE (coalesce(text, '') || chr(10) || {fill(pick(derived.CREDENTIALS, 'doc_id'), 'doc_id % 10')} AS text) FROM documents)"
 COMMANDS = f"commands AS (SELECT event_id, user_id, ts, {fill(pick(derived.COMMANDS, 'event_id'), 'user_id')} AS command, {fill(pick(derived.PATHS, 'event_id'), 'user_id')} AS path, {fill(pick(derived.ADDRESSES, 'event_id'), 'user_id')} AS url FROM events)"
 _KIND = pick([k for k, _ in derived.SNIPPETS], "doc_id")
 FILES = f"""files AS (SELECT 'src/d' || (doc_id // 64) || '/' || CASE WHEN {_KIND} = 'env' THEN '.env.' || doc_id ELSE 'f' || doc_id || '.' || {_KIND} END AS path,
@@ -41,3 +42,11 @@ def normalized(c: str) -> str:
     wide, narrow = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
     c = f"translate({c}, {lit(wide)}, {lit(narrow)})"
     return f"regexp_replace(regexp_replace({c}, '[ \\t\\r\\f\\x0B]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+def words(c: str) -> str:
+    """tokens() in SQL."""
+    from tamis.functions import text as tx
+
+    stop = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+    return f"list_filter(string_split_regex(regexp_replace(lower(coalesce({c}, '')), '[^a-z가-힣0-9 \\t\\n\\r\\f-]', ' ', 'g'), '[ \\t\\n\\r\\f]+'), lambda w: length(w) > 1 AND NOT list_contains([{stop}], w))"

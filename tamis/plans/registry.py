@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tamis.functions import normalize
 from tamis.functions import text as tx
 from tamis.operators import audit, detect, secrets, sessions, store, web
+from tamis.plans import derived_sql as ds
+from tamis.sources import derived
 from tamis.sources.tables import table
 
 
@@ -33,7 +35,7 @@ def _re2(pattern: str) -> str:
     a = p.find("(?!")
     if a >= 0:
         p = p[:a] + p[p.index("[^\\s:/@", a) :]
-    return p.replace("{8,2000}", "{8,}").replace("'", "''")  # there, no bound may exceed 1000
+    return p.replace("{8,2000}", "{8,}").replace("{0,8000}?", "*?").replace("'", "''")  # there, no bound may exceed 1000
 
 
 _URI_STAND_IN = "^[^:]*:(\\$\\{?[A-Za-z_]|<|(?i:pass(?:word|wd)?|pwd|user(?:name)?|changeme|example|placeholder|secret|token|xxx+|test|redacted|dummy)@)"
@@ -68,7 +70,12 @@ kept AS (SELECT * FROM raw JOIN rules USING (ord) WHERE NOT {_placeholder("value
 found AS (SELECT *, {_mask("trim(value)")} AS masked, trim(replace(line, value, {_mask("trim(value)")})) AS shown FROM kept QUALIFY row_number() OVER (PARTITION BY doc_id, line_no, value ORDER BY ord) = 1),
 findings AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, rule, severity, masked, CASE WHEN length(shown) > 160 THEN substr(shown, 1, 157) || '...' ELSE shown END AS evidence, substr(sha256(value), 1, 16) AS fingerprint FROM found)
 """
-_ALL_VALUES = "list_concat(" * (len(secrets.RULES) - 1) + ", ".join([f"regexp_extract_all(t, '{_re2(secrets.RULES[0].pattern)}', 1)"] + [f"regexp_extract_all(t, '{_re2(r.pattern)}', {r.group}))" for r in secrets.RULES[1:]])
+_REDACT = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), lines AS (SELECT doc_id, 1 AS line_no, t AS line FROM d), rules(ord, rule, severity, generic) AS (VALUES {_RULES}), raw AS ({_BY_RULE}),
+kept AS (SELECT DISTINCT doc_id, value FROM raw JOIN rules USING (ord) WHERE NOT {_placeholder("value", False)} AND NOT (rule = 'uri-userinfo' AND regexp_matches(value, '{_URI_STAND_IN}'))),
+v AS (SELECT doc_id, list(value ORDER BY length(value) DESC, value) AS vs FROM kept GROUP BY 1)
+SELECT doc_id, CAST(coalesce(len(vs), 0) AS BIGINT) AS secrets_redacted, sha256(CASE WHEN vs IS NULL THEN t ELSE list_reduce(list_prepend(t, vs), lambda acc, v: replace(acc, v, {_mask("trim(v)")})) END) AS text_sha256 FROM d LEFT JOIN v USING (doc_id)
+"""
 
 _BM25 = f"""
 WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
@@ -78,12 +85,11 @@ q AS (SELECT item_id AS query_id, term, count(*) AS qn FROM (SELECT item_id, unn
 s AS (SELECT query_id, doc_id, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / mean))), 4) AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN d USING (doc_id), n GROUP BY 1, 2)
 SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s QUALIFY rank <= 10
 """
+_NEAR = " UNION ALL ".join(f"SELECT a.w AS word, b.w AS neighbour FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.i = a.i + {k}" for k in (-5, -4, -3, -2, -1, 1, 2, 3, 4, 5))
 _PMI = f"""
-WITH d AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {_words("text")} AS w FROM documents)),
-pair AS (SELECT w[i] AS word, w[j] AS neighbour FROM (SELECT w, i, unnest(range(greatest(1, i - 5), least(len(w), i + 5) + 1)) AS j FROM d) WHERE i <> j),
-n AS (SELECT word, neighbour, count(*) AS n FROM pair GROUP BY 1, 2), t AS (SELECT sum(n) AS total FROM n),
-f AS (SELECT w[i] AS w, count(*) AS f FROM d GROUP BY 1)
-SELECT word, neighbour, n, round(log2(n * CAST(total AS DOUBLE) / (a.f * b.f)), 6) AS pmi FROM n JOIN f a ON a.w = word JOIN f b ON b.w = neighbour, t WHERE round(log2(n * CAST(total AS DOUBLE) / (a.f * b.f)), 6) > 0
+WITH t AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS w FROM (SELECT doc_id, {_words("text")} AS w FROM documents)),
+n AS (SELECT word, neighbour, count(*) AS n FROM ({_NEAR}) GROUP BY 1, 2), s AS (SELECT sum(n) AS total FROM n), f AS (SELECT w, count(*) AS f FROM t GROUP BY 1)
+SELECT * FROM (SELECT word, neighbour, n, round(log2(n * CAST(total AS DOUBLE) / (a.f * b.f)), 6) AS pmi FROM n JOIN f a ON a.w = word JOIN f b ON b.w = neighbour, s) WHERE pmi > 0
 """
 _TOPIC_STOP = ", ".join(f"'{w}'" for w in [*tx.STOP_WORDS, *sessions.NOISE_WORDS])
 _TOPICS = f"""
@@ -94,32 +100,6 @@ SELECT conv_id, topic, n, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY
 """
 
 
-def _noise(c: str) -> str:
-    for tag in web.NOISE_TAGS:
-        c = f"regexp_replace({c}, '(?is)<{tag}.*?</{tag}>', '', 'g')"
-    return c
-
-
-def _decode(c: str) -> str:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = f"replace({c}, '{a}', '{b}')"
-    return c
-
-
-def _strip(c: str) -> str:
-    c = f"regexp_replace({c}, '(?i)<br[^>]*>|</(?:p|div|li|h[1-6]|tr|section|article|ul|ol|table|blockquote)>', chr(10), 'g')"
-    c = f"regexp_replace(regexp_replace({c}, '<[^>]*>', '', 'g'), '[ \\t]+', ' ', 'g')"
-    return f"regexp_replace(regexp_replace({c}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$', '', 'g')"
-
-
-_PAGE = f"""
-WITH c AS (SELECT page_id, {_noise("coalesce(html, '')")} AS h FROM pages),
-p AS (SELECT page_id, h, regexp_extract(h, '(?is)<article[^>]*>(.*?)</article>', 1) AS a, regexp_extract(h, '(?is)<main[^>]*>(.*?)</main>', 1) AS m, regexp_extract(h, '(?is)<body[^>]*>(.*?)</body>', 1) AS b FROM c)
-SELECT page_id, {_decode(_strip("CASE WHEN length(a) > 200 THEN a WHEN length(m) > 200 THEN m WHEN length(b) > 0 THEN b ELSE h END"))} AS text FROM p
-"""
-
-
-
 def _normalized(d):
     text, steps = normalize.normalized("text")
     return d.select("doc_id", F.sha2(text, 256).alias("sha"), F.array_join(steps, ",").alias("steps"))
@@ -164,12 +144,10 @@ QUERIES = {
     "ses_topics": _q("conversations", sessions.session_topics),
     "ses_rollup": _q("conversations", sessions.session_rollup),
     "ses_replies": _q("conversations", sessions.replies),
-    "web_titles": _q("pages", web.page_titles),
     "web_domains": _q("pages", web.page_domains),
-    "web_text": _q("pages", web.page_text),
     "web_feeds": _q("pages", web.feeds),
     "doc_chunks": _q("documents", web.chunk_paragraphs),
-    "aud_snapshot": lambda s, f: audit.snapshot_diff(table(s, f, "documents").where("doc_id % 7 <> 0"), table(s, f, "documents").where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.upper("text")).otherwise(F.col("text"))), "doc_id", "text"),
+    "aud_snapshot": lambda s, f: audit.snapshot_diff(table(s, f, "documents"), secrets.redact(table(s, f, "documents")), "doc_id", "text"),
     "aud_line_units": _q("documents", audit.line_units),
     "aud_activity_windows": _q("events", audit.activity_windows),
     "aud_exposure": _q("events", lambda e: audit.exposure_levels(e, "error", "purchase")),
@@ -178,6 +156,7 @@ QUERIES = {
 
 ORACLE = {
     "nrm_text": _nrm_sql(),
+    "sec_redact": _REDACT,
     "sec_scan": _SECRETS + "SELECT * FROM findings",
     "sec_scorecard": _SECRETS + "SELECT lang, source, rule, severity, count(*) AS findings, count(DISTINCT fingerprint) AS credentials, count(DISTINCT doc_id) AS documents FROM findings JOIN documents USING (doc_id) GROUP BY 1, 2, 3, 4",
     "sec_reuse": _SECRETS + "SELECT fingerprint, count(DISTINCT doc_id) AS documents, count(*) AS places FROM findings GROUP BY 1 HAVING count(DISTINCT doc_id) > 1",
@@ -203,11 +182,9 @@ FROM (SELECT doc_id, {_RAW} AS w, len(regexp_extract_all(coalesce(text, ''), '[A
 coalesce(substr(string_split(arg_min(coalesce(text, ''), turn) FILTER (role = 'user'), chr(10))[1], 1, 120), 'Empty session') || ' [' || count(*) || ' messages]' AS summary FROM conversations GROUP BY conv_id""",
     "ses_replies": """SELECT conv_id, turn, turn - asked AS waited, CAST(c AS BIGINT) AS request_chars FROM (SELECT conv_id, turn, role, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS asked, last_value(CASE WHEN role = 'user' THEN length(coalesce(text, '')) END IGNORE NULLS) OVER w AS c FROM conversations
 WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)) WHERE role = 'assistant' AND asked IS NOT NULL""",
-    "web_titles": f"SELECT page_id, {_decode(chr(10).join(['regexp_replace(regexp_extract(coalesce(html, ' + chr(39) * 2 + '), ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1), ' + chr(39) + '^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')']))} AS title FROM pages",
     "web_domains": "SELECT page_id, CASE WHEN coalesce(d, '') = '' THEN 'web' ELSE d END AS domain FROM (SELECT page_id, substr(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', ''), '[^a-zA-Z0-9_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS d FROM pages)",
-    "web_text": _PAGE,
     "web_feeds": "SELECT page_id, regexp_matches(substr(regexp_replace(coalesce(html, ''), '^[ \\t\\n\\r\\f]+', ''), 1, 1000), '(?is)^(?:<\\?xml.*?\\?>[ \\t\\n\\r\\f]*)?<(?:rss|feed)\\b') AS is_feed FROM pages",
-    "aud_snapshot": "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'created' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.s <> b.s THEN 'changed' ELSE 'unchanged' END AS change FROM (SELECT doc_id, sha256(coalesce(text, '')) AS s FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN (SELECT doc_id, sha256(coalesce(CASE WHEN doc_id % 5 = 0 THEN upper(text) ELSE text END, '')) AS s FROM documents WHERE doc_id % 11 <> 0) b USING (doc_id)",
+    "aud_snapshot": f"SELECT doc_id, CASE WHEN sha256(coalesce(text, '')) = text_sha256 THEN 'unchanged' ELSE 'changed' END AS change FROM documents JOIN ({_REDACT}) USING (doc_id)",
     "aud_line_units": "SELECT doc_id, unit, CAST(row_number() OVER (PARTITION BY doc_id, unit ORDER BY p) AS INT) AS nth FROM (SELECT doc_id, unnest(range(len(l))) AS p, trim(unnest(l)) AS unit FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS l FROM documents)) WHERE unit <> ''",
     "aud_activity_windows": """WITH s AS (SELECT user_id, ts - INTERVAL 2 SECOND AS a, ts + INTERVAL 600 SECOND AS b FROM events),
 m AS (SELECT *, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
@@ -216,3 +193,39 @@ SELECT user_id, min(a) AS opened, max(b) AS closed, count(*) AS n FROM i GROUP B
     "aud_exposure": "SELECT user_id, ts, event_id, event_type, ['clean', 'exposed', 'tainted'][1 + max(CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)] AS level FROM events",
     "aud_tokens": "SELECT DISTINCT doc_id, kind, lower(token) AS token FROM (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS token FROM documents UNION ALL SELECT doc_id, 'url', unnest(regexp_extract_all(text, 'https?://[^ \\t\\n\\r\\f\"''<>)]+')) FROM documents UNION ALL SELECT doc_id, 'path', unnest(regexp_extract_all(text, '~/[A-Za-z0-9._/-]+')) FROM documents)",
 }
+
+
+def _vault(f):
+    return lambda spark, folder: f(derived.vault(table(spark, folder, "documents")))
+
+
+def _in_vault(sql: str) -> str:
+    return sql.replace("WITH ", f"WITH {ds.VAULT}, ", 1).replace("FROM documents WHERE", "FROM vault WHERE").replace("AS t FROM documents)", "AS t FROM vault)")
+
+
+QUERIES |= {
+    "sec_vault_scan": _vault(secrets.scan_secrets),
+    "sec_vault_redact": _vault(lambda d: secrets.redact(d).select("doc_id", "secrets_redacted", F.sha2("text", 256).alias("text_sha256"))),
+    "sec_vault_reuse": _vault(lambda d: secrets.reused_secrets(secrets.scan_secrets(d))),
+    "sec_vault_present": _vault(lambda d: secrets.still_present(secrets.scan_secrets(d).select("doc_id", "fingerprint"), secrets.scan_secrets(d.where("doc_id % 2 = 0"))).distinct()),
+    "sec_vault_hint": _vault(lambda d: d.select("doc_id", F.col("text").rlike(secrets.HINT).alias("hint"))),
+}
+ORACLE |= {
+    "sec_vault_scan": _in_vault(_SECRETS + "SELECT * FROM findings"),
+    "sec_vault_redact": _in_vault(_REDACT),
+    "sec_vault_reuse": _in_vault(_SECRETS + "SELECT fingerprint, count(DISTINCT doc_id) AS documents, count(*) AS places FROM findings GROUP BY 1 HAVING count(DISTINCT doc_id) > 1"),
+    "sec_vault_present": _in_vault(_SECRETS + "SELECT DISTINCT doc_id, fingerprint, fingerprint IN (SELECT fingerprint FROM findings WHERE doc_id % 2 = 0) AS still_present FROM findings"),
+    "sec_vault_hint": f"WITH {ds.VAULT} SELECT doc_id, regexp_matches(text, {ds.re2(secrets.HINT)}) AS hint FROM vault",
+}
+
+
+def _merge() -> None:
+    """Queries of the other plan modules join those of this one."""
+    from tamis.plans import audits, code, injection, knowledge, learning, pages
+
+    for module in (injection, code, knowledge, pages, audits, learning):
+        QUERIES.update(module.QUERIES)
+        ORACLE.update(module.ORACLE)
+
+
+_merge()

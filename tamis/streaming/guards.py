@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamis.operators.secrets import HINT, RULES, _matches, is_placeholder
+from tamis.operators.secrets import found_values
 from tamis.functions.text import mask, text_or_empty
 
 
 def guard_stream(records: DataFrame, text_col: str = "text") -> DataFrame:
     """records with masked text, secrets_redacted and verdict; stateless, so it runs on batches and streams alike."""
-    t = text_or_empty(text_col)
-    values = F.array_distinct(F.transform(F.filter(_matches(t, RULES), lambda m: ~is_placeholder(m["value"], False)), lambda m: m["value"]))
-    found = F.when(t.rlike(HINT), values).otherwise(F.array().cast("array<string>"))
-    out = records.withColumn("_values", found)
+    out = records.withColumn("_values", found_values(text_or_empty(text_col)))
     masked = F.aggregate("_values", text_or_empty(text_col), lambda acc, v: F.replace(acc, v, mask(F.trim(v))))
     return out.withColumn("masked", masked).withColumn("secrets_redacted", F.size("_values")).withColumn("verdict", F.when(F.size("_values") > 0, "warn").otherwise("allow")).drop("_values")
 
@@ -54,3 +51,40 @@ def exposure_stream(events: DataFrame, flagged: str, external: str, key: str = "
     rank = F.when(F.col(kind) == flagged, 2).when(F.col(kind) == external, 1).otherwise(0)
     top = events.groupBy(key).agg(F.max(rank).alias("r"))
     return top.select(key, F.element_at(F.array(*map(F.lit, ("clean", "exposed", "tainted"))), F.col("r") + 1).alias("level"))
+
+
+def scratch(spark) -> str:
+    """A folder that driver and executors share: below spark.checkpoint.dir; in local mode without one, a temporary folder."""
+    import re
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tamis-stream-")
+    return f"{folder}/stream-{uuid.uuid4().hex}"
+
+
+def streamed(spark, folder: str, name: str, transform, mode: str = "append") -> DataFrame:
+    """The result of a stream over what a table holds now: read as a stream, transformed, written, read back. In complete mode
+    every batch replaces the result, so that windows which the watermark has not closed yet are there too."""
+    path = f"{folder}/{name}.parquet"
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.replace(".parquet", ".parque[t]"))
+    for field in source.schema.fields:
+        if field.dataType.typeName() == "timestamp_ntz":  # watermarks need an instant
+            source = source.withColumn(field.name, F.col(field.name).cast("timestamp"))
+    out, place = transform(source), scratch(spark)
+    writer = out.writeStream.option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{place}/rows").outputMode("append").start()
+    else:
+        query = writer.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{place}/rows")).start()
+    query.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{place}/rows")
+
+
+def folded_counts(known: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts with those of a new batch added: co-occurrence and document counts are kept up to date without a new pass."""
+    return known.unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n"))
