@@ -14,6 +14,7 @@ from tamis.operators.secrets import HINT, redact
 EVIDENCE = 120
 #: Long texts are judged in windows of so many characters, each beginning so many after the one before.
 WINDOW, STEP = 8000, 7488
+HITS = "array<struct<ord:int,rule:string,severity:string,evidence:string>>"
 VERDICTS = ["allow", "warn", "block"]
 
 
@@ -30,7 +31,7 @@ def first_matches(t: Column, rules) -> Column:
         short = F.when(F.length(found) > EVIDENCE, F.concat(F.substring(found, 1, EVIDENCE), F.lit("..."))).otherwise(found)
         return F.when(t.rlike(pattern), F.struct(F.lit(i).alias("ord"), F.lit(name).alias("rule"), F.lit(severity).alias("severity"), short.alias("evidence")))
 
-    return F.array_compact(F.array(*[hit(i, r) for i, r in enumerate(rules)]))
+    return F.array_compact(F.array(*[hit(i, r) for i, r in enumerate(rules)])).cast(HITS)
 
 
 def scan_rules(docs: DataFrame, rules=ir.RULES, least: str = "low", disabled: tuple[str, ...] = (), custom=(), most: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,7 +42,7 @@ def scan_rules(docs: DataFrame, rules=ir.RULES, least: str = "low", disabled: tu
     floor = ir.SEVERITIES.index(least)
     used = [r for r in [*rules, *custom] if r[0] not in disabled and ir.SEVERITIES.index(r[1]) >= floor]
     plain = docs.select(id_col, text_or_empty(text_col).alias("_t"), normalized(text_col)[0].alias("_n"))
-    both = plain.select(id_col, first_matches(F.col("_n"), used).alias("a"), F.when(F.col("_n") != F.col("_t"), first_matches(F.col("_t"), used)).otherwise(F.array().cast("array<struct<ord:int,rule:string,severity:string,evidence:string>>")).alias("b"))
+    both = plain.select(id_col, first_matches(F.col("_n"), used).alias("a"), F.when(F.col("_n") != F.col("_t"), first_matches(F.col("_t"), used)).otherwise(F.array().cast(HITS)).alias("b"))
     known = F.transform("a", lambda x: x["ord"])
     extra = F.filter("b", lambda x: ~F.array_contains(known, x["ord"]))
     tagged = F.concat(F.transform("a", lambda x: F.struct(x.alias("f"), F.lit(False).alias("original"))), F.transform(extra, lambda x: F.struct(x.alias("f"), F.lit(True).alias("original"))))
