@@ -28,7 +28,9 @@ SMALL_BUCKET, LEAPS = 4, (1, 2, 4)
 SEEN = 500_000
 #: Cells of a set's profile (more for large sets, so that a cell holds some PER_CELL shingles at most, MOST_CELLS in all);
 #: the sum of the smaller counts bounds the overlap from above.
-CELLS, PER_CELL, MOST_CELLS = 64, 2, 2**16
+CELLS, PER_CELL, MOST_CELLS = 64, 10, 2**14
+#: Shingles of a group of documents whose sets one task holds (8 bytes each) to verify the pairs among them.
+GROUP = 1 << 21
 #: Documents of a mixed bucket that are compared in one task with those outside the bucket's largest component; sets of more
 #: shingles are compared there by their profiles, and verified afterwards.
 BLOCK, LONG = 4096, 2048
@@ -415,13 +417,16 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 
 def _packed_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(id, tokens): the whole set in order of the hashes. A task gives equal sets of one id once."""
+    """docs(id, text, group) -> (id, tokens, group): the whole set in order of the hashes. A task gives equal sets of one id
+    once."""
 
     def run(batches):
         import pyarrow as pa
 
         seen: set = set()
         for batch in batches:
+            group = batch.column(2).to_numpy(zero_copy_only=False)
+            at = 0
             for ids, text, token, sizes, _ in _sets(batch, n):
                 digest = _fold(sizes, mix(token))
                 fresh = [i for i, key in enumerate(zip(ids.tolist(), digest.tolist())) if key not in seen and not seen.add(key)]
@@ -429,9 +434,49 @@ def _packed_sets(docs: DataFrame, n: int) -> DataFrame:
                     seen = set()
                 ends, raw = np.cumsum(sizes), token.tobytes()
                 tokens = [raw[8 * int(ends[i] - sizes[i]) : 8 * int(ends[i])] for i in fresh]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[fresh]), pa.array(tokens, pa.binary())], names=["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[fresh]), pa.array(tokens, pa.binary()), pa.array(group[at : at + len(ids)][fresh])], names=["id", "tokens", "group"])
+                at += len(ids)
 
-    return docs.mapInArrow(in_task(run), "id long, tokens binary")
+    return docs.select("id", "text", "group").mapInArrow(in_task(run), "id long, tokens binary, group long")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two whole sets, in order of the hashes, link."""
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _verified_by_group(pairs: DataFrame, rows: DataFrame, node: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, far): the pairs that link, by their whole sets, and the pairs that are left. Each set travels once, to the task of
+    the group of documents that pairs connect; groups of more than GROUP shingles in all are not gathered, but left."""
+    group = materialize(connected_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), "groups")
+    size = group.join(node.select(F.col("id").alias("g"), "n_shingles"), F.col("node") == F.col("g")).groupBy(F.col("component").alias("c")).agg(F.sum("n_shingles").alias("total")).where(F.col("total") <= GROUP)
+    small = materialize(group.join(size.select("c"), F.col("component") == F.col("c"), "left_semi").select(F.col("node").alias("used"), F.col("component").alias("group")), "groups-small")
+    dealt = pairs.join(small.withColumnRenamed("used", "a"), "a", "left")
+    known = F.broadcast(small) if small.count() <= SENT_IDS else small
+    sets = _packed_sets(rows.join(known, rows["id"] == known["used"]), words)
+    near = dealt.where("group is not null").select(F.col("a").alias("id"), F.lit(None).cast("binary").alias("tokens"), "group", "b")
+
+    def check(batches):
+        import pyarrow as pa
+
+        now, held = None, {}
+        for batch in batches:
+            u, v = [], []
+            for i, (key, id_, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 0, 3)))):
+                if key != now:
+                    now, held = key, {}
+                if b is None:  # a group's sets come before its pairs
+                    held.setdefault(id_, []).append(np.frombuffer(batch.column(1)[i].as_py(), np.uint64))
+                elif any(_linked(x, y, percent) for x in held.get(id_, ()) for y in held.get(b, ())):
+                    u.append(id_)
+                    v.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    mixed = sets.withColumn("b", F.lit(None).cast("long")).unionByName(near).select("id", "tokens", "group", "b")
+    links = mixed.repartition("group").sortWithinPartitions("group", F.asc_nulls_first("b")).mapInArrow(in_task(check), "u long, v long")
+    return links, materialize(dealt.where("group is null").select("a", "b", "bound"), "pairs-far")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -441,12 +486,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            ok = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3))]
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
@@ -458,7 +498,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _only(rows: DataFrame, used: DataFrame) -> DataFrame:
     """The rows with a used id."""
     used = materialize(used.distinct(), "used")
-    return rows.join(F.broadcast(used) if used.count() <= SENT_IDS else used, rows["id"] == used["used"], "left_semi")
+    return rows.join(F.broadcast(used) if used.count() <= SENT_IDS else used, rows["id"] == used["used"], "left_semi").withColumn("group", F.lit(0).cast("long"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
@@ -486,14 +526,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     node = materialize(node.select("s1", "s2", F.col("node").alias("id"), "n_shingles", "cells"), "nodes")
     tried = bucket.where("b is not null").select(F.col("id").alias("a"), "b").distinct()
     pairs = materialize(_may_link(tried, node, percent), "pairs")
-    sets = materialize(_packed_sets(_only(rows, _ends(pairs)), words), "sets")
-    # each document's likeliest pair first; of the others only those whose ends are not joined by then
-    links = materialize(_verified(_best(pairs), sets, percent), "links")
-    label = materialize(connected_components(links), "labels")
-    others = materialize(_apart(pairs, label), "pairs-apart")
-    if not others.isEmpty():
-        links = materialize(links.unionByName(_verified(others, sets, percent)), "links")
+    links, far = _verified_by_group(pairs, rows, node, words, percent)
+    if far.isEmpty():
+        links = materialize(links, "links")
+        label = materialize(connected_components(links), "labels")
+    else:  # each document's likeliest pair first; of the others only those whose ends are not joined by then
+        sets = _packed_sets(_only(rows, _ends(far)), words)
+        links = materialize(links.unionByName(_verified(_best(far), sets, percent)), "links")
         label = materialize(connected_components(links), "labels")
+        others = materialize(_apart(far, label), "pairs-apart")
+        if not others.isEmpty():
+            links = materialize(links.unionByName(_verified(others, _packed_sets(_only(rows, _ends(others)), words), percent)), "links")
+            label = materialize(connected_components(links), "labels")
     more = _across(rows, bucket.where("b is null"), label, node, words, percent)
     if more is not None:
         label = materialize(connected_components(links.unionByName(more)), "labels")
@@ -529,7 +573,7 @@ def _across(rows: DataFrame, large: DataFrame, label: DataFrame, node: DataFrame
     held = materialize(held.select("sig", "block", "main", (F.col("own") == F.col("block")).alias("here"), "id", "n", "component"), "mixed-rows")
     ids = held.select(F.col("id").alias("used"))
     short = materialize(_packed_sets(_only(rows, held.where(F.col("n") <= LONG).select(F.col("id").alias("used"))), words), "sets-mixed").groupBy("id").agg(F.first("tokens").alias("payload"))
-    long = _only(node.where(F.col("n_shingles") > LONG), ids).groupBy("id").agg(F.first("cells").alias("payload"))
+    long = _only(node.select("id", "n_shingles", "cells").where(F.col("n_shingles") > LONG), ids).groupBy("id").agg(F.first("cells").alias("payload"))
     payload = short.unionByName(long).withColumnRenamed("id", "p_id")
     found = materialize(links_across(held.join(payload, F.col("id") == F.col("p_id")), percent), "across")
     sure = found.where("sure").select(F.col("a").alias("u"), F.col("b").alias("v"))

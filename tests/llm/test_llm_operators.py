@@ -143,11 +143,12 @@ def test_jaccard_with_frequent_shingles_and_large_buckets(spark, monkeypatch):
             w[rng.randrange(len(w))] = rng.choice(VOCAB)
         rows.append((i, " ".join(w)))
     # pairs of frequent shingles, single ones in sets beyond the border, and mixed buckets in blocks with sets that come as profiles
-    for border, block, long in ((24, 4096, 2048), (2, 16, 2048), (2, 16, 57)):
+    for border, block, long, group in ((24, 4096, 2048, 1 << 20), (2, 16, 2048, 1 << 20), (2, 16, 57, 100)):
         monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", 5)
         monkeypatch.setattr(jaccard_join, "MOST_COMBINED", border)
         monkeypatch.setattr(jaccard_join, "BLOCK", block)
         monkeypatch.setattr(jaccard_join, "LONG", long)
+        monkeypatch.setattr(jaccard_join, "GROUP", group)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, rows)).collect()}
         assert got == _jaccard(rows, 3, 90)
 
