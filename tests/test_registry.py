@@ -6,8 +6,6 @@ from tests.oracle import connect, same
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, sf, name):
-    if name == "mem_pmi":
-        pytest.skip("large; see test_operators")
     same(spark, connect(sf), sf, QUERIES[name], ORACLE[name])
 
 
