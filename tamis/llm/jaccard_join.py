@@ -567,10 +567,19 @@ def _across(rows: DataFrame, large: DataFrame, label: DataFrame, node: DataFrame
     mixed = materialize(mixed.groupBy("key", "m").agg(F.min_by("largest", "sig").alias("largest"), F.min("sig").alias("s")).drop("key"), "mixed")
     if mixed.isEmpty():
         return None
-    held = named.drop("m", "key").join(mixed, F.col("sig") == F.col("s")).withColumn("main", F.col("component") == F.col("largest"))
-    held = held.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    held = held.withColumn("block", F.explode(F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    held = materialize(held.select("sig", "block", "main", (F.col("own") == F.col("block")).alias("here"), "id", "n", "component"), "mixed-rows")
+    held = materialize(named.drop("m", "key").join(mixed, F.col("sig") == F.col("s")).select("sig", "id", "n", "component", "m", "largest"), "mixed-buckets")
+    # documents that mixed buckets connect are compared once, together, if their sets fit into a task; else bucket by bucket
+    lead = held.groupBy(F.col("sig").alias("l")).agg(F.min("id").alias("v"))
+    group = materialize(connected_components(held.join(lead, F.col("sig") == F.col("l")).select(F.col("id").alias("u"), "v")).select("node", F.col("component").alias("group")), "mixed-groups")
+    docs = held.select("id", "n", "component").distinct().join(group, F.col("id") == F.col("node"))
+    count = docs.groupBy("group", "component").agg(F.count("*").alias("k"), F.sum("n").alias("size")).groupBy(F.col("group").alias("g")).agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.sum("size").alias("total"))
+    count = materialize(count.where(F.col("total") <= GROUP).drop("total"), "mixed-small")
+    whole = docs.join(count, F.col("group") == F.col("g")).select(F.col("group").alias("sig"), F.lit(-1).alias("block"), (F.col("component") == F.col("most")).alias("main"), F.lit(True).alias("here"), "id", "n", "component")
+    rest = held.join(group.join(count, F.col("group") == F.col("g"), "left_anti").select("node"), F.col("id") == F.col("node"), "left_semi")
+    rest = rest.withColumn("main", F.col("component") == F.col("largest")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = rest.withColumn("block", F.explode(F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    rest = rest.select("sig", "block", "main", (F.col("own") == F.col("block")).alias("here"), "id", "n", "component")
+    held = materialize(whole.unionByName(rest), "mixed-rows")
     ids = held.select(F.col("id").alias("used"))
     short = materialize(_packed_sets(_only(rows, held.where(F.col("n") <= LONG).select(F.col("id").alias("used"))), words), "sets-mixed").groupBy("id").agg(F.first("tokens").alias("payload"))
     long = _only(node.select("id", "n_shingles", "cells").where(F.col("n_shingles") > LONG), ids).groupBy("id").agg(F.first("cells").alias("payload"))
