@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+#: Ranks of op11.
+RANKS = "byte_bpe_50k.tiktoken"
 #: Scores from which a document is called toxic.
 TOXIC = 0.7
 
@@ -142,6 +144,17 @@ kept AS (SELECT doc_id, string_agg(substr(x, 2 * f + 1, 2 * (t - f)), '' ORDER B
 SELECT doc_id, CAST(strlen(x) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kx)) AS kept_sha256 FROM kept JOIN w USING (doc_id)
 """
 
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tamis.llm.byte_bpe import decode_tokens, encode_texts
+
+    vocabulary = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    decoded = decode_tokens(encode_texts(read(spark, sf_dir, "documents"), *vocabulary), *vocabulary)
+    return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_toxicity": op2_toxicity,
@@ -153,5 +166,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_byte_bpe": op11_byte_bpe,
 }
 ORACLE: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op8_substring_dedup": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
