@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamis.llm.common import chunks, flat_texts, in_task
+from tamis.llm.common import SHORT, Loads, chunks, flat_texts, in_task, mix_pair
 
 #: Pieces, longest piece and token pairs that a task remembers; a table beyond is emptied, which costs time alone.
 _CACHE_PIECES, _CACHE_BYTES, _CACHE_PAIRS = 400_000, 64, 1_000_000
@@ -211,10 +211,8 @@ class Prefixes:
 
 #: The split pattern that _Split follows: contractions, letters, digits, others, white space. Fixed value.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes of text that are encoded at once, bytes up to which a piece is told by two numbers, and slots for pairs of tokens.
-_BULK, _SHORT, _SLOTS = 4 << 20, 15, 1 << 21
-_LOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1] * 8, np.uint64)
-_HIGH = np.array([0] * 9 + [(1 << 8 * k) - 1 for k in range(1, 8)], np.uint64)
+#: Bytes of text that are encoded at once, and slots for pairs of tokens.
+_BULK, _SLOTS = 4 << 20, 1 << 21
 
 
 @functools.cache
@@ -265,26 +263,6 @@ def _split(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def _mixed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    h = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(29)
-
-
-class _Loads:
-    """Eight bytes from any place of a buffer, as a number."""
-
-    def __init__(self, data: np.ndarray):
-        padded = np.concatenate([data, np.zeros(16, np.uint8)])
-        self.view = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
-
-    def keys(self, at: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """Two numbers that tell any strings of up to _SHORT bytes apart: their bytes, and their length on top."""
-        high = self.view[at + 8] & _HIGH[size]
-        return self.view[at] & _LOW[size], high | np.uint64(1 << 56) * np.asarray(size).astype(np.uint64)
-
-
 class Bulk:
     """The prefix tables of many short pieces at once, byte by byte; see BytePairs for one piece."""
 
@@ -293,14 +271,14 @@ class Bulk:
         self.sizes = np.zeros(max(known.bytes) + 1, np.int64)
         for n, t in known.bytes.items():
             self.sizes[n] = len(t)
-        short = [(t, n) for t, n in known.ranks.items() if len(t) <= _SHORT]
+        short = [(t, n) for t, n in known.ranks.items() if len(t) <= SHORT]
         flat = np.frombuffer(b"".join(t for t, _ in short), np.uint8)
         size = np.array([len(t) for t, _ in short])
-        self.low, self.high = _Loads(flat).keys(np.cumsum(size) - size, size)
+        self.low, self.high = Loads(flat).keys(np.cumsum(size) - size, size)
         self.token = np.array([n for _, n in short], np.int64)
         self.mask = np.uint64((1 << (4 * len(short)).bit_length()) - 1)
         self.slots = np.full(int(self.mask) + 1, -1, np.int64)
-        slot, self.probes = (_mixed(self.low, self.high) & self.mask).astype(np.int64), 0
+        slot, self.probes = (mix_pair(self.low, self.high) & self.mask).astype(np.int64), 0
         left = np.arange(len(short))
         while len(left):
             free = left[self.slots[slot[left]] < 0]
@@ -313,7 +291,7 @@ class Bulk:
     def _tokens(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The token of each string, -1 for none."""
         out = np.full(len(low), -1, np.int64)
-        slot, left = (_mixed(low, high) & self.mask).astype(np.int64), np.arange(len(low))
+        slot, left = (mix_pair(low, high) & self.mask).astype(np.int64), np.arange(len(low))
         for _ in range(self.probes):
             at = self.slots[slot[left]]
             left, at = left[at >= 0], at[at >= 0]
@@ -328,20 +306,20 @@ class Bulk:
     def _follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each token may follow the one before (0: none, else its id plus one); answers are kept in slots."""
         key = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64) | np.uint64(1 << 63)
-        slot = (_mixed(key, key) & np.uint64(_SLOTS - 1)).astype(np.int64)
+        slot = (mix_pair(key, key) & np.uint64(_SLOTS - 1)).astype(np.int64)
         known = self.keys[slot] == key
         out = self.fine[slot]
         if not known.all():
             ask, back = np.unique(key[~known], return_inverse=True)
             answers = np.array([self.known._check(k) for k in (ask & np.uint64((1 << 63) - 1)).tolist()], bool)
             out[~known] = answers[back]
-            slot = (_mixed(ask, ask) & np.uint64(_SLOTS - 1)).astype(np.int64)
+            slot = (mix_pair(ask, ask) & np.uint64(_SLOTS - 1)).astype(np.int64)
             self.keys[slot] = ask
             self.fine[slot] = answers & (self.keys[slot] == ask)
             self.keys[slot[self.keys[slot] != ask]] = 0
         return out
 
-    def tables(self, loads: _Loads, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def tables(self, loads: Loads, at: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The last token of every prefix of pieces that start at `at`, of `size` bytes each (longest first)."""
         last = np.full((len(at), int(size[0]) if len(size) else 0), -1, np.int64)
         for i in range(1, last.shape[1] + 1):
@@ -359,7 +337,7 @@ class Bulk:
                 raise ValueError("the vocabulary has no token for a byte")
         return last
 
-    def encode(self, loads: _Loads, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, loads: Loads, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of pieces, one after the other, and the pieces' bounds in them."""
         order = np.argsort(-size, kind="stable")
         last, end = self.tables(loads, at[order], size[order]), size[order].copy()
@@ -389,9 +367,9 @@ class Bulk:
         starts, size = edges[:-1], np.diff(edges)
         bounds = np.searchsorted(starts, offsets)
         counts, begin, pool = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), []
-        loads, short = _Loads(data), np.flatnonzero(size <= _SHORT)
+        loads, short = Loads(data), np.flatnonzero(size <= SHORT)
         low, high = loads.keys(starts[short], size[short])
-        hashes, first, back = np.unique(_mixed(low, high), return_index=True, return_inverse=True)
+        hashes, first, back = np.unique(mix_pair(low, high), return_index=True, return_inverse=True)
         odd = (low[first][back] != low) | (high[first][back] != high)  # strings of one hash
         if odd.any():
             keys, first, back = np.unique(np.stack([low, high], 1), axis=0, return_index=True, return_inverse=True)
@@ -400,7 +378,7 @@ class Bulk:
         counts[short], begin[short] = np.diff(own)[back], own[:-1][back]
         pool.append(ids)
         total = len(ids)
-        for i in np.flatnonzero(size > _SHORT).tolist():
+        for i in np.flatnonzero(size > SHORT).tolist():
             ids = np.frombuffer(self.known.pieces[str(data[edges[i] : edges[i + 1]].data, "utf-8")], "<u4").astype(np.int64)
             counts[i], begin[i] = len(ids), total
             total += len(ids)

@@ -122,6 +122,33 @@ def join_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Bytes up to which a string is told from others by two numbers, and what to keep of them for each length.
+SHORT = 15
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1] * 8, np.uint64)
+_HIGH = np.array([0] * 9 + [(1 << 8 * k) - 1 for k in range(1, 8)], np.uint64)
+
+
+class Loads:
+    """Eight bytes from any place of a buffer, as a number."""
+
+    def __init__(self, data: np.ndarray):
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        self.view = np.ndarray((len(data) + 9,), "<u8", padded, strides=(1,))
+
+    def keys(self, at: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Two numbers that tell any strings of up to SHORT bytes apart: their bytes, and their length on top."""
+        high = self.view[at + 8] & _HIGH[size]
+        return self.view[at] & _LOW[size], high | np.uint64(1 << 56) * np.asarray(size).astype(np.uint64)
+
+
+def mix_pair(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """One well mixed number of two."""
+    h = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(29)
+
+
 def gram_hash(codes: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of k codes (len(codes) - k + 1 of them, at least none): halves are joined, and halves of those."""
     n = len(codes)

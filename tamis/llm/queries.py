@@ -155,6 +155,28 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tamis.llm.phrases import mine_phrases
+
+    return mine_phrases(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, ws, k, unnest(range(0, len(ws) - k + 1)) AS i FROM w, (VALUES (1), (2), (3)) AS ks(k)),
+f AS (SELECT lang, k, ws[i + 1:i + k] AS words, count(*) AS a FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+cut AS (SELECT lang, k, words, a, unnest(range(1, k)) AS c FROM f WHERE k > 1 AND a >= 10),
+scored AS (SELECT cut.lang, cut.k, cut.words, cut.a, c, x.a AS l, y.a AS r, CAST((CAST(1000000 AS HUGEINT) * cut.a * cut.a) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+           FROM cut JOIN f x ON x.lang = cut.lang AND x.words = cut.words[1:c] JOIN f y ON y.lang = cut.lang AND y.words = cut.words[c + 1:cut.k]),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, c) = 1),
+inner_ AS (SELECT lang, words[i + 1:i + 2] AS words, max(a) AS o FROM (SELECT lang, words, a, unnest(range(0, 2)) AS i FROM f WHERE k = 3 AND a >= 10) GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN inner_ ON inner_.lang = lowest.lang AND inner_.words = lowest.words WHERE o IS NULL OR 100 * o < 50 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank, array_to_string(words, ' ') AS phrase, a, l, r, n, score
+FROM kept JOIN t ON t.lang = kept.lang QUALIFY rank <= 2000
+"""
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_toxicity": op2_toxicity,
@@ -167,5 +189,6 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_byte_bpe": op11_byte_bpe,
+    "op13_phrases": op13_phrases,
 }
-ORACLE: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op8_substring_dedup": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
+ORACLE: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op8_substring_dedup": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op10_suffix_dedup": OP10_SQL, "op13_phrases": OP13_SQL}
