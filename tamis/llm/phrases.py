@@ -9,7 +9,10 @@ share a bit make a task count more than it must, never less, and every count is
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +50,12 @@ class Maps:
     def joined(self, k: int, cells: np.ndarray, values: np.ndarray) -> None:
         self.bits[k - 1][cells] |= values
 
+    def __getstate__(self) -> list[bytes]:
+        return [zlib.compress(b, 1) for b in self.bits]
+
+    def __setstate__(self, packed: list[bytes]) -> None:
+        self.bits = [np.frombuffer(zlib.decompress(b), np.uint64) for b in packed]
+
     def copy(self) -> Maps:
         other = Maps(len(self.bits) + 1)
         other.bits = [b.copy() for b in self.bits]
@@ -118,10 +127,9 @@ def _tagged(languages) -> tuple[np.ndarray, np.ndarray]:
     return tags[own] if len(tags) else np.zeros(0, np.uint64), own
 
 
-def _counts(rows: DataFrame, longest: int, old: Maps | None, new: Maps | None, words: bool) -> DataFrame:
-    """(lang, phrase, n): parts of the counts of phrases that the maps new choose and old do not; words: of all words too,
-    and with phrase null the number of words."""
-    sent = rows.sparkSession.sparkContext.broadcast((old, new))
+def _counts(rows: DataFrame, longest: int, sent: Broadcast, words: bool) -> DataFrame:
+    """(lang, phrase, n): parts of the counts of phrases that the second maps sent choose and the first do not; words: of
+    all words too, and with phrase null the number of words."""
 
     def run(batches):
         import pyarrow as pa
@@ -178,6 +186,7 @@ def _propose(found: DataFrame, maps: Maps) -> bool:
 
     cells = found.where(F.col("phrase").isNotNull()).select("lang", "phrase").mapInArrow(in_task(run), "k long, cell long, bits long")
     rows = cells.groupBy("k", "cell").agg(F.bit_or("bits").alias("bits")).toArrow()
+    sent.destroy()
     k, cell, bits = (rows.column(c).to_numpy() for c in ("k", "cell", "bits"))
     for own in range(1, longest):
         maps.joined(own, cell[k == own], bits[k == own].view(np.uint64))
@@ -188,13 +197,16 @@ def phrase_counts(docs: DataFrame, least: int, longest: int = 3, text_col: str =
     """(lang, phrase, n) of every phrase of up to `longest` words that occurs at least `least` times, and with phrase null
     the number of words of each language. Exact, whatever the sample holds: it decides what is counted when."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.col(text_col).alias("text"))
-    some, maps = rows.where(F.rand(17) < sample), Maps(longest)
+    some, maps, send = rows.where(F.rand(17) < sample), Maps(longest), docs.sparkSession.sparkContext.broadcast
     for k in range(1, longest):
-        before = maps.copy() if k > 1 else None
-        _propose(_summed(_counts(some, longest, None, before, words=k == 1), PROPOSED), maps)
+        sent = send((None, maps if k > 1 else None))
+        _propose(_summed(_counts(some, longest, sent, words=k == 1), PROPOSED), maps)
+        sent.destroy()
     old, found = None, []
     while True:
-        found.append(materialize(_summed(_counts(rows, longest, old, maps, words=old is None), least), "phrases"))
+        sent = send((old, maps))
+        found.append(materialize(_summed(_counts(rows, longest, sent, words=old is None), least), "phrases"))
+        sent.destroy()
         old = maps.copy()
         if not _propose(found[-1], maps):
             break
