@@ -22,8 +22,9 @@ from tamis.llm.common import SHORT, Loads, chunks, flat_texts, in_task, join_cod
 
 #: Share of the rows that proposes, and the count in it from which a phrase is proposed.
 SAMPLE, PROPOSED = 0.125, 2
-#: Bits of the map of one length of phrase, as a power of two (8 MB), and bytes of text whose phrases are counted at once.
-_BITS, _STEP = 26, 8 << 20
+#: Bits of the map of one length of phrase, as a power of two (8 MB); bytes of text whose phrases are counted at once, and
+#: bytes whose counts are added up before they leave the task.
+_BITS, _STEP, _HELD = 26, 2 << 20, 24 << 20
 #: Parts of a language that are ranked by themselves before its best are ranked together.
 _PARTS = 64
 #: Language of rows without one.
@@ -77,9 +78,9 @@ class _Grams:
             same &= ~cut[1:n]
             first[1:] &= ~same
             last[:-1] &= ~same
-        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.text = np.searchsorted(offsets, self.starts, side="right") - 1
-        piece = np.searchsorted(np.flatnonzero(kinds == 2), self.starts)
+        self.starts, self.ends = np.flatnonzero(first).astype(np.int32), (np.flatnonzero(last) + 1).astype(np.int32)
+        self.text = (np.searchsorted(offsets, self.starts, side="right") - 1).astype(np.int32)
+        piece = np.searchsorted(np.flatnonzero(kinds == 2).astype(np.int32), self.starts)
         size = self.ends - self.starts
         codes = mix_pair(*Loads(self.low).keys(self.starts, np.minimum(size, SHORT)))
         if (long := np.flatnonzero(size > SHORT)).size:
@@ -105,7 +106,7 @@ class _Grams:
         """The texts of phrases of k words that start at words `at`, as an Arrow array."""
         import pyarrow as pa
 
-        size = np.stack([self.ends[at + j] - self.starts[at + j] for j in range(k)], axis=1)
+        size = np.stack([self.ends[at + j] - self.starts[at + j] for j in range(k)], axis=1).astype(np.int64)
         stop = np.cumsum(size.sum(axis=1) + k - 1)
         out = np.full(int(stop[-1]) if len(stop) else 0, 0x20, np.uint8)
         place = np.concatenate([[0], stop[:-1]])
@@ -118,43 +119,72 @@ class _Grams:
         return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.string())
 
 
-def _tagged(languages) -> tuple[np.ndarray, np.ndarray]:
-    """The code of each row's language and, as dictionary indices, which it is."""
+def _tagged(languages):
+    """The code of each row's language, which it is, and the languages."""
     coded = languages.dictionary_encode()
     data, offsets = flat_texts(coded.dictionary)
     tags = word_hashes(data, offsets[:-1], offsets[1:]) if len(offsets) > 1 else np.zeros(0, np.uint64)
     own = coded.indices.to_numpy()
-    return tags[own] if len(tags) else np.zeros(0, np.uint64), own
+    return tags[own] if len(tags) else np.zeros(0, np.uint64), own, coded.dictionary
+
+
+def _distinct(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each code once, a place where it stands, and its number or the sum of its weights."""
+    order = np.argsort(codes)
+    codes = codes[order]
+    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(codes)), bool), codes[1:] != codes[:-1]]))
+    n = np.diff(np.append(head, len(codes))) if weights is None else np.add.reduceat(weights[order], head) if len(head) else weights
+    return codes[head], order[head], n
 
 
 def _counts(rows: DataFrame, longest: int, sent: Broadcast, words: bool) -> DataFrame:
     """(lang, phrase, n): parts of the counts of phrases that the second maps sent choose and the first do not; words: of
     all words too, and with phrase null the number of words."""
 
+    def added(held):
+        """The counts of texts that were counted apart, each phrase once."""
+        import pyarrow as pa
+
+        for k in range(1, longest + 1):
+            parts = [found[k] for _, _, found in held if k in found]
+            if not parts:
+                continue
+            codes, at, n = map(np.concatenate, zip(*parts))
+            _, chosen, sums = _distinct(codes, n)
+            bounds = np.cumsum([0, *(len(p[0]) for p in parts)])
+            for (grams, languages, _), first, last in zip(held, bounds[:-1], bounds[1:]):
+                own = np.flatnonzero((chosen >= first) & (chosen < last))
+                for c in range(0, len(own), 50_000):
+                    some = own[c : c + 50_000]
+                    words = at[chosen[some]]
+                    yield pa.RecordBatch.from_arrays([languages.take(pa.array(grams.text[words])), grams.phrases(words, k), pa.array(sums[some])], names=["lang", "phrase", "n"])
+
     def run(batches):
         import pyarrow as pa
 
         before, now = sent.value
+        held, size = [], 0
         for batch in batches:
             data, offsets = flat_texts(batch.column(1))
             for a, b in chunks(offsets, _STEP):
                 languages = batch.column(0).slice(a, b - a)
-                tags, _ = _tagged(languages)
-                grams = _Grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tags, longest)
-                for k in range(1, longest + 1):
-                    if k == 1 and words:
-                        some = np.arange(len(grams.codes[0]))
-                        texts, n = np.unique(grams.text, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([languages.take(pa.array(texts)), pa.nulls(len(texts), pa.string()), pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
-                    elif k == 1 or now is None:
-                        continue
-                    else:
-                        some = np.flatnonzero(grams.chosen(k, now) & ~grams.chosen(k, before))
-                    _, first, n = np.unique(grams.codes[k - 1][some], return_index=True, return_counts=True)
-                    at = some[first]
-                    for c in range(0, len(at), 100_000):
-                        own = at[c : c + 100_000]
-                        yield pa.RecordBatch.from_arrays([languages.take(pa.array(grams.text[own])), grams.phrases(own, k), pa.array(n[c : c + 100_000].astype(np.int64))], names=["lang", "phrase", "n"])
+                tags, which, names = _tagged(languages)
+                grams, found = _Grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tags, longest), {}
+                if words:
+                    yield pa.RecordBatch.from_arrays([names, pa.nulls(len(names), pa.string()), pa.array(np.bincount(which[grams.text], minlength=len(names)))], names=["lang", "phrase", "n"])
+                for k in range(1 if words else 2, longest + 1):
+                    if k > 1 and now is None:
+                        break
+                    some = np.flatnonzero(grams.chosen(k, now) & ~grams.chosen(k, before)) if k > 1 else np.arange(len(grams.text))
+                    codes, first, n = _distinct(grams.codes[k - 1][some])
+                    found[k] = codes, some[first].astype(np.int32), n
+                del grams.codes, grams.linked
+                held.append((grams, languages, found))
+                size += int(offsets[b] - offsets[a])
+                if size >= _HELD:
+                    yield from added(held)
+                    held, size = [], 0
+        yield from added(held)
 
     return rows.mapInArrow(in_task(run), "lang string, phrase string, n long")
 
@@ -175,7 +205,7 @@ def _propose(found: DataFrame, maps: Maps) -> bool:
         for batch in batches:
             data, offsets = flat_texts(batch.column(1))
             for a, b in chunks(offsets, _STEP):
-                tags, _ = _tagged(batch.column(0).slice(a, b - a))
+                tags, *_ = _tagged(batch.column(0).slice(a, b - a))
                 grams = _Grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tags, longest - 1)
                 words = np.bincount(grams.text, minlength=b - a)
                 first = np.cumsum(words) - words
