@@ -303,7 +303,7 @@ def mine_hard_negatives(vectors: DataFrame, anchors: Column, id_col: str = "vec_
     rows = rows.where(F.coalesce(fine, F.lit(False))).select("id", "label", "anchor", _whole(F.col("_v"), scale).alias("v"))
     rows = rows.groupBy("id").agg(F.min(F.struct("label", "v", "anchor")).alias("r")).select("id", "r.label", "r.v", "r.anchor")
     rows = materialize(rows, "integers")
-    most = rows.agg(F.count("id").alias("n"), F.max(F.greatest(F.array_max("v"), -F.array_min("v"))).alias("most"), F.max(F.size("v")).alias("width"), F.sum(F.col("anchor").cast("long")).alias("anchors")).first()
+    most = rows.agg(F.count("id").alias("n"), F.max(F.greatest(F.array_max("v").cast("double"), -F.array_min("v").cast("double"))).alias("most"), F.max(F.size("v")).alias("width"), F.sum(F.col("anchor").cast("long")).alias("anchors")).first()
     largest = most.most or 0
     exact = largest**2 * (most.width or 1) < 1 << 52
     kind = "smallint" if largest < 1 << 15 else "int" if largest < 1 << 31 else "long"
