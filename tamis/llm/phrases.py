@@ -4,7 +4,9 @@ A sample proposes the words and phrases that seem frequent. One pass over everyt
 every phrase whose parts of one word less are both proposed: the proposed phrases and their negative border. What turns out
 frequent without having been proposed may be part of frequent phrases that were not counted; another pass counts just those
 phrases, and so on until nothing new is frequent. Proposals reach the tasks as bit maps of a fixed size: two phrases that
-share a bit make a task count more than it must, never less, and every count is exact.
+share a bit make a task count more than it must, never less. The passes count 64-bit codes, which are short and of one
+length; codes that two phrases share make a phrase seem more frequent, never less, and a last pass counts the texts of the
+phrases whose codes are frequent.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from tamis.llm.common import SHORT, Loads, chunks, flat_texts, in_task, join_cod
 #: Share of the rows that proposes, and the count in it from which a phrase is proposed.
 SAMPLE, PROPOSED = 0.125, 2
 #: Bits of the map of one length of phrase, as a power of two (8 MB); bytes of text whose phrases are counted at once, and
-#: bytes whose counts are added up before they leave the task.
-_BITS, _STEP, _HELD = 26, 2 << 20, 24 << 20
+#: codes that are added up before they leave the task.
+_BITS, _STEP, _HELD = 26, 2 << 20, 3_000_000
 #: Parts of a language that are ranked by themselves before its best are ranked together.
 _PARTS = 64
 #: Language of rows without one.
@@ -39,17 +41,27 @@ _LOWER[65:91] += 32
 
 
 class Maps:
-    """For phrases of 1, 2, ... words, a bit map of those proposed so far."""
+    """For phrases of 1, 2, ... words, a bit map of those named so far."""
 
     def __init__(self, longest: int):
-        self.bits = [np.zeros(1 << (_BITS - 6), np.uint64) for _ in range(longest - 1)]
+        self.bits = [np.zeros(1 << (_BITS - 6), np.uint64) for _ in range(longest)]
 
     def has(self, k: int, codes: np.ndarray) -> np.ndarray:
         at = codes & np.uint64((1 << _BITS) - 1)
         return (self.bits[k - 1][(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-    def joined(self, k: int, cells: np.ndarray, values: np.ndarray) -> None:
-        self.bits[k - 1][cells] |= values
+    def propose(self, found: DataFrame) -> bool:
+        """Put found codes (k, code) into the maps; whether one was not in there. What reaches the driver are cells of the
+        maps, a fixed number at most, whatever is found."""
+        at = F.col("code").bitwiseAND((1 << _BITS) - 1)
+        rows = found.groupBy("k", F.shiftright(at, 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(code & 63 as int))")).alias("bits")).toArrow()
+        k, cell, bits = (rows.column(c).to_numpy() for c in ("k", "cell", "bits"))
+        fresh = False
+        for own in range(1, len(self.bits) + 1):
+            at, new = cell[k == own], bits[k == own].view(np.uint64)
+            fresh |= bool((new & ~self.bits[own - 1][at]).any())
+            self.bits[own - 1][at] |= new
+        return fresh
 
     def __getstate__(self) -> list[bytes]:
         return [zlib.compress(b, 1) for b in self.bits]
@@ -58,7 +70,7 @@ class Maps:
         self.bits = [np.frombuffer(zlib.decompress(b), np.uint64) for b in packed]
 
     def copy(self) -> Maps:
-        other = Maps(len(self.bits) + 1)
+        other = Maps(len(self.bits))
         other.bits = [b.copy() for b in self.bits]
         return other
 
@@ -137,90 +149,63 @@ def _distinct(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.
     return codes[head], order[head], n
 
 
-def _counts(rows: DataFrame, longest: int, sent: Broadcast, words: bool) -> DataFrame:
-    """(lang, phrase, n): parts of the counts of phrases that the second maps sent choose and the first do not; words: of
-    all words too, and with phrase null the number of words."""
+def _codes(rows: DataFrame, longest: int, sent: Broadcast, words: bool, least: int) -> DataFrame:
+    """(k, code) of the phrases that the second maps sent choose and the first do not, and which occur `least` times or
+    more; words: of words too."""
 
     def added(held):
-        """The counts of texts that were counted apart, each phrase once."""
         import pyarrow as pa
 
-        for k in range(1, longest + 1):
-            parts = [found[k] for _, _, found in held if k in found]
-            if not parts:
-                continue
-            codes, at, n = map(np.concatenate, zip(*parts))
-            _, chosen, sums = _distinct(codes, n)
-            bounds = np.cumsum([0, *(len(p[0]) for p in parts)])
-            for (grams, languages, _), first, last in zip(held, bounds[:-1], bounds[1:]):
-                own = np.flatnonzero((chosen >= first) & (chosen < last))
-                for c in range(0, len(own), 50_000):
-                    some = own[c : c + 50_000]
-                    words = at[chosen[some]]
-                    yield pa.RecordBatch.from_arrays([languages.take(pa.array(grams.text[words])), grams.phrases(words, k), pa.array(sums[some])], names=["lang", "phrase", "n"])
+        for k, parts in held.items():
+            codes, _, n = _distinct(*map(np.concatenate, zip(*parts)))
+            for c in range(0, len(codes), 200_000):
+                own = codes[c : c + 200_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int8)), pa.array(own), pa.array(n[c : c + 200_000])], names=["k", "code", "n"])
 
     def run(batches):
-        import pyarrow as pa
-
         before, now = sent.value
-        held, size = [], 0
+        held, size = {}, 0
         for batch in batches:
             data, offsets = flat_texts(batch.column(1))
             for a, b in chunks(offsets, _STEP):
-                languages = batch.column(0).slice(a, b - a)
-                tags, which, names = _tagged(languages)
-                grams, found = _Grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tags, longest), {}
-                if words:
-                    yield pa.RecordBatch.from_arrays([names, pa.nulls(len(names), pa.string()), pa.array(np.bincount(which[grams.text], minlength=len(names)))], names=["lang", "phrase", "n"])
+                tags, *_ = _tagged(batch.column(0).slice(a, b - a))
+                grams = _Grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tags, longest)
                 for k in range(1 if words else 2, longest + 1):
                     if k > 1 and now is None:
                         break
-                    some = np.flatnonzero(grams.chosen(k, now) & ~grams.chosen(k, before)) if k > 1 else np.arange(len(grams.text))
-                    codes, first, n = _distinct(grams.codes[k - 1][some])
-                    found[k] = codes, some[first].astype(np.int32), n
-                del grams.codes, grams.linked
-                held.append((grams, languages, found))
-                size += int(offsets[b] - offsets[a])
+                    codes, _, n = _distinct(grams.codes[k - 1][grams.chosen(k, now) & ~grams.chosen(k, before)] if k > 1 else grams.codes[0])
+                    held.setdefault(k, []).append((codes, n))
+                    size += len(codes)
                 if size >= _HELD:
                     yield from added(held)
-                    held, size = [], 0
+                    held, size = {}, 0
         yield from added(held)
 
-    return rows.mapInArrow(in_task(run), "lang string, phrase string, n long")
-
-
-def _summed(counts: DataFrame, least: int) -> DataFrame:
-    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("phrase").isNull())
+    counts = rows.mapInArrow(in_task(run), "k tinyint, code long, n long")
+    return counts.groupBy("k", "code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("k", "code")
 
 
-def _propose(found: DataFrame, maps: Maps) -> bool:
-    """Put the found phrases that the maps lack into them; whether there was any. What reaches the driver are cells of
-    the maps, a fixed number at most, whatever is found."""
-    sent, longest = found.sparkSession.sparkContext.broadcast(maps), len(maps.bits) + 1
+def _texts(rows: DataFrame, longest: int, sent: Broadcast) -> DataFrame:
+    """(lang, phrase, n): parts of the counts of the phrases in the maps sent, and with phrase null of all words."""
 
     def run(batches):
         import pyarrow as pa
 
-        known = sent.value
         for batch in batches:
             data, offsets = flat_texts(batch.column(1))
-            for a, b in chunks(offsets, _STEP):
-                tags, *_ = _tagged(batch.column(0).slice(a, b - a))
-                grams = _Grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tags, longest - 1)
-                words = np.bincount(grams.text, minlength=b - a)
-                first = np.cumsum(words) - words
-                for k in range(1, longest):
-                    codes = grams.codes[k - 1][first[words == k]]
-                    at = codes[~known.has(k, codes)] & np.uint64((1 << _BITS) - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int64()), pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["k", "cell", "bits"])
-
-    cells = found.where(F.col("phrase").isNotNull()).select("lang", "phrase").mapInArrow(in_task(run), "k long, cell long, bits long")
-    rows = cells.groupBy("k", "cell").agg(F.bit_or("bits").alias("bits")).toArrow()
-    sent.destroy()
-    k, cell, bits = (rows.column(c).to_numpy() for c in ("k", "cell", "bits"))
-    for own in range(1, longest):
-        maps.joined(own, cell[k == own], bits[k == own].view(np.uint64))
-    return len(k) > 0
+            for a, b in chunks(offsets, 2 * _STEP):
+                languages = batch.column(0).slice(a, b - a)
+                tags, which, names = _tagged(languages)
+                grams = _Grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], tags, longest)
+                yield pa.RecordBatch.from_arrays([names, pa.nulls(len(names), pa.string()), pa.array(np.bincount(which[grams.text], minlength=len(names)))], names=["lang", "phrase", "n"])
+                for k in range(1, longest + 1):
+                    some = np.flatnonzero(grams.linked[k - 1] & sent.value.has(k, grams.codes[k - 1]))
+                    _, first, n = _distinct(grams.codes[k - 1][some])
+                    for c in range(0, len(first), 50_000):
+                        at = some[first[c : c + 50_000]]
+                        yield pa.RecordBatch.from_arrays([languages.take(pa.array(grams.text[at])), grams.phrases(at, k), pa.array(n[c : c + 50_000])], names=["lang", "phrase", "n"])
+
+    return rows.mapInArrow(in_task(run), "lang string, phrase string, n long")
 
 
 def phrase_counts(docs: DataFrame, least: int, longest: int = 3, text_col: str = "text", lang_col: str = "lang", sample: float = SAMPLE) -> DataFrame:
@@ -230,19 +215,20 @@ def phrase_counts(docs: DataFrame, least: int, longest: int = 3, text_col: str =
     some, maps, send = rows.where(F.rand(17) < sample), Maps(longest), docs.sparkSession.sparkContext.broadcast
     for k in range(1, longest):
         sent = send((None, maps if k > 1 else None))
-        _propose(_summed(_counts(some, longest, sent, words=k == 1), PROPOSED), maps)
+        maps.propose(_codes(some, longest, sent, k == 1, PROPOSED).where(F.col("k") == k))
         sent.destroy()
-    old, found = None, []
+    old, frequent = None, Maps(longest)
     while True:
         sent = send((old, maps))
-        found.append(materialize(_summed(_counts(rows, longest, sent, words=old is None), least), "phrases"))
+        found = materialize(_codes(rows, longest, sent, old is None, least), "codes")
         sent.destroy()
         old = maps.copy()
-        if not _propose(found[-1], maps):
+        frequent.propose(found)
+        if not maps.propose(found.where(F.col("k") < longest)):
             break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    sent = send(frequent)
+    out = materialize(_texts(rows, longest, sent).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("phrase").isNull()), "phrases")
+    sent.destroy()
     return out
 
 
