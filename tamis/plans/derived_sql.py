@@ -25,6 +25,7 @@ def fill(c: str, n: str, m: str | None = None) -> str:
 
 
 INBOX = f"inbox AS (SELECT * REPLACE (coalesce(text, '') || chr(10) || {pick(derived.PHRASES, 'doc_id')} AS text) FROM documents)"
+NOTICES = f"notices AS (SELECT * REPLACE (coalesce(text, '') || chr(10) || {pick(derived.NOTICES, 'doc_id')} AS text) FROM documents)"
 VAULT = f"vault AS (SELECT * REPLACE (coalesce(text, '') || chr(10) || {fill(pick(derived.CREDENTIALS, 'doc_id'), 'doc_id % 10')} AS text) FROM documents)"
 COMMANDS = f"commands AS (SELECT event_id, user_id, ts, {fill(pick(derived.COMMANDS, 'event_id'), 'user_id')} AS command, {fill(pick(derived.PATHS, 'event_id'), 'user_id')} AS path, {fill(pick(derived.ADDRESSES, 'event_id'), 'user_id')} AS url FROM events)"
 _KIND = pick([k for k, _ in derived.SNIPPETS], "doc_id")
