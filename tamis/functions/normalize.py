@@ -117,7 +117,7 @@ def _in_order(c: Column, steps) -> Column:
         out, changed = [], []
         for text in texts:
             done = []
-            for name, step in steps:
+            for name, step in steps if text is not None else ():
                 after = step(text)
                 if after != text:
                     done.append(name)
@@ -126,21 +126,18 @@ def _in_order(c: Column, steps) -> Column:
             changed.append(done)
         return pd.DataFrame({"text": out, "changed": changed})
 
-    return run(c)
+    # else the optimiser repeats the function, and all that leads to it, wherever its result is used
+    return run.asNondeterministic()(F.when(c.rlike(HIDDEN), c))
 
 
 def normalize_corpus(docs, text_col: str = "text"):
     """docs with normalized and transforms, the names of the steps that changed the text, in order: invisible characters,
     base64, hex and Unicode escapes, entities, look-alikes, full width, leetspeak, blanks. Only texts that may hold a coded
-    stretch are sent to Python, the others stay in native expressions; null texts are empty."""
-    rows = docs.withColumn("_t", strip_invisible(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_c0", F.when(F.col("_t") != F.coalesce(F.col(text_col), F.lit("")), F.array(F.lit("invisible"))).otherwise(F.array().cast("array<string>")))
-    coded = rows.where(F.col("_t").rlike(HIDDEN)).withColumn("_d", _in_order(F.col("_t"), _DECODED))
-    coded = coded.withColumn("_t", F.col("_d.text")).withColumn("_c0", F.concat("_c0", "_d.changed")).drop("_d")
-    rows = coded.withColumn("_h", F.lit(True)).unionByName(rows.where(~F.col("_t").rlike(HIDDEN)).withColumn("_h", F.lit(False)))
-    rows = rows.withColumn("_a", fold_look_alikes(F.col("_t"))).withColumn("_b", to_half_width(F.col("_a")))
-    rows = rows.withColumn("_c0", F.concat("_c0", F.array_compact(F.array(F.when(F.col("_a") != F.col("_t"), F.lit("look_alikes")), F.when(F.col("_b") != F.col("_a"), F.lit("full_width"))))))
-    plain = rows.where(~F.col("_b").rlike(HIDDEN)).withColumn("_l", F.col("_b"))
-    leet = rows.where(F.col("_b").rlike(HIDDEN)).withColumn("_d", _in_order(F.col("_b"), [("leetspeak", _leet)]))
-    leet = leet.withColumn("_l", F.col("_d.text")).withColumn("_c0", F.concat("_c0", "_d.changed")).drop("_d")
-    both = plain.unionByName(leet).withColumn("normalized", collapse_blanks(F.col("_l")))
-    return both.withColumn("transforms", F.concat("_c0", F.array_compact(F.array(F.when(F.col("normalized") != F.col("_l"), F.lit("blanks")))))).drop("_t", "_c0", "_h", "_a", "_b", "_l")
+    stretch are sent to Python, for the others a null; null texts are empty."""
+    before = F.coalesce(F.col(text_col), F.lit(""))
+    named = lambda flag, name: F.when(flag, F.lit(name))
+    rows = docs.withColumn("_t", strip_invisible(before)).withColumn("_d", _in_order(F.col("_t"), _DECODED)).withColumn("_u", F.coalesce("_d.text", "_t"))
+    rows = rows.withColumn("_a", fold_look_alikes(F.col("_u"))).withColumn("_b", to_half_width(F.col("_a"))).withColumn("_l", _in_order(F.col("_b"), [("leetspeak", _leet)])).withColumn("_m", F.coalesce("_l.text", "_b"))
+    rows = rows.withColumn("normalized", collapse_blanks(F.col("_m")))
+    steps = [F.array(named(F.col("_t") != before, "invisible")), F.col("_d.changed"), F.array(named(F.col("_a") != F.col("_u"), "look_alikes"), named(F.col("_b") != F.col("_a"), "full_width")), F.col("_l.changed"), F.array(named(F.col("normalized") != F.col("_m"), "blanks"))]
+    return rows.withColumn("transforms", F.array_compact(F.concat(*steps))).drop("_t", "_d", "_u", "_a", "_b", "_l", "_m")

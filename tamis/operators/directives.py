@@ -20,7 +20,7 @@ SEVERITY = "high"
 
 
 def _composed(texts):
-    return texts.map(lambda t: unicodedata.normalize("NFKC", t))
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def fold_confusables(docs: DataFrame, text_col: str = "text", out: str = "folded") -> DataFrame:
@@ -30,9 +30,9 @@ def fold_confusables(docs: DataFrame, text_col: str = "text", out: str = "folded
     rows = docs.withColumn(out, text_or_empty(text_col))
     beyond = F.col(out).rlike("[^\\x00-\\x7F]")
     composed = F.pandas_udf(_composed, "string")
-    both = rows.where(~beyond).unionByName(rows.where(beyond).withColumn(out, composed(out)))
+    rows = rows.withColumn(out, F.coalesce(composed(F.when(beyond, F.col(out))), F.col(out)))
     shown = F.regexp_replace(F.col(out), dr.INVISIBLE, "")
-    return both.withColumn(out, F.translate(shown, "".join(dr.CONFUSABLES), "".join(dr.CONFUSABLES.values())))
+    return rows.withColumn(out, F.translate(shown, "".join(dr.CONFUSABLES), "".join(dr.CONFUSABLES.values())))
 
 
 def spans(rows: DataFrame, key: list[str], text_col: str, patterns: dict[str, str]) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamis.functions import injection_rules as ir
-from tamis.functions.normalize import normalized
+from tamis.functions.literals import held, may_match
+from tamis.functions.normalize import normalize_corpus
 from tamis.functions.text import ascii_bounds, text_or_empty
 from tamis.operators.secrets import HINT, redact
 
@@ -23,17 +24,24 @@ def rank_of(severity: Column) -> Column:
     return (F.array_position(F.array(*map(F.lit, ir.SEVERITIES)), severity) - 1).cast("int")
 
 
-def first_matches(t: Column, rules) -> Column:
-    """Array of (ord, rule, severity, evidence) of the rules that match, each with its first match."""
+def first_matches(t: Column, strings: Column, rules) -> Column:
+    """Array of (ord, rule, severity, evidence) of the rules that match, each with its first match. A rule is tried only on
+    texts that hold a string that it needs; strings are those that they hold."""
     def hit(i, rule):
         name, severity, pattern = rule[0], rule[1], ascii_bounds(rule[2])
         found = F.regexp_extract(t, pattern, 0)
         short = F.when(F.length(found) > EVIDENCE, F.concat(F.substring(found, 1, EVIDENCE), F.lit("..."))).otherwise(found)
-        return F.when(t.rlike(pattern), F.struct(F.lit(i).alias("ord"), F.lit(name).alias("rule"), F.lit(severity).alias("severity"), short.alias("evidence")))
+        return F.when(may_match(strings, rule[2]), F.when(t.rlike(pattern), F.struct(F.lit(i).alias("ord"), F.lit(name).alias("rule"), F.lit(severity).alias("severity"), short.alias("evidence"))))
 
     return F.array_compact(F.array(*[hit(i, r) for i, r in enumerate(rules)])).cast(HITS)
 
 
+def _read(docs: DataFrame, columns: list[str], text_col: str, rules) -> DataFrame:
+    """The columns with _t, the text, _n, the text after every step of normalisation, and the strings that both hold."""
+    rows = normalize_corpus(docs.select(*columns, text_or_empty(text_col).alias("_text")), "_text")
+    return rows.select(*columns, F.col("_text").alias("_t"), F.col("normalized").alias("_n"), held(F.lower("_text"), [r[2] for r in rules]).alias("_th"), held(F.lower("normalized"), [r[2] for r in rules]).alias("_nh"))
+
+
 def scan_rules(docs: DataFrame, rules=ir.RULES, least: str = "low", disabled: tuple[str, ...] = (), custom=(), most: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ord, rule, severity, evidence, original): every rule's first match in the normalised text, or, where that has
     none, in the text as it stands (original). least, disabled and custom choose the rules before anything is scanned; most
@@ -41,8 +49,8 @@ def scan_rules(docs: DataFrame, rules=ir.RULES, least: str = "low", disabled: tu
     scanned one by one."""
     floor = ir.SEVERITIES.index(least)
     used = [r for r in [*rules, *custom] if r[0] not in disabled and ir.SEVERITIES.index(r[1]) >= floor]
-    plain = docs.select(id_col, text_or_empty(text_col).alias("_t"), normalized(text_col)[0].alias("_n"))
-    both = plain.select(id_col, first_matches(F.col("_n"), used).alias("a"), F.when(F.col("_n") != F.col("_t"), first_matches(F.col("_t"), used)).otherwise(F.array().cast(HITS)).alias("b"))
+    plain = _read(docs, [id_col], text_col, used)
+    both = plain.select(id_col, first_matches(F.col("_n"), F.col("_nh"), used).alias("a"), F.when(F.col("_n") != F.col("_t"), first_matches(F.col("_t"), F.col("_th"), used)).otherwise(F.array().cast(HITS)).alias("b"))
     known = F.transform("a", lambda x: x["ord"])
     extra = F.filter("b", lambda x: ~F.array_contains(known, x["ord"]))
     tagged = F.concat(F.transform("a", lambda x: F.struct(x.alias("f"), F.lit(False).alias("original"))), F.transform(extra, lambda x: F.struct(x.alias("f"), F.lit(True).alias("original"))))
@@ -53,11 +61,10 @@ def scan_rules(docs: DataFrame, rules=ir.RULES, least: str = "low", disabled: tu
 
 def injected(docs: DataFrame, rules=ir.RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with injected: whether any rule matches the text, normalised or not."""
-    plain = docs.withColumn("_t", text_or_empty(text_col)).withColumn("_n", normalized(text_col)[0])
-    any_of = F.lit(False)
-    for _, _, pattern in rules:
-        any_of = any_of | F.col("_n").rlike(ascii_bounds(pattern)) | F.col("_t").rlike(ascii_bounds(pattern))
-    return plain.withColumn("injected", any_of).drop("_t", "_n")
+    plain = _read(docs, docs.columns, text_col, rules)
+    hit = lambda t, strings, p: may_match(F.col(strings), p) & F.col(t).rlike(ascii_bounds(p))
+    found = F.coalesce(*[F.when(hit("_n", "_nh", p) | hit("_t", "_th", p), F.lit(True)) for _, _, p in rules], F.lit(False))
+    return plain.withColumn("injected", found).drop("_t", "_n", "_th", "_nh")
 
 
 def intents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

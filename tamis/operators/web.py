@@ -130,15 +130,16 @@ def trust_rollup(items: DataFrame, id_col: str = "page_id") -> DataFrame:
     return g.withColumn("persistence", F.when(F.col("items") == 0, "skipped").when(F.col("stored") == F.col("items"), "stored").when(F.col("stored") == 0, "quarantined").otherwise("partial"))
 
 
-def collect_pages(pages: DataFrame, rules, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
+def collect_pages(pages: DataFrame, rules=None, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
     """(id, title, domain, is_feed, verdict, persistence, display): pages as they enter the store. Titles are cut at 8,192
-    characters, texts at 500,000; the stricter verdict of the text and of the seam of title and text counts."""
+    characters, texts at 500,000; the stricter verdict of the text and of the seam of title and text counts. Without rules, all are used."""
+    from tamis.functions.injection_rules import RULES
     from tamis.operators.injection import VERDICTS, content_findings, seams, verdicts
 
     base = page_titles(pages, id_col, html_col).join(page_text(pages, id_col, html_col), id_col).join(page_domains(pages, id_col, url_col), id_col).join(feeds(pages, id_col, html_col), id_col)
     base = base.withColumn("title", F.left("title", F.lit(8192))).withColumn("text", F.left("text", F.lit(500_000)))
     parts = base.select(F.struct(F.col(id_col), F.lit(0).alias("part")).alias("_k"), "text").unionByName(seams(base, "title", "text", id_col=id_col).select(F.struct(F.col(id_col), F.lit(1).alias("part")).alias("_k"), "text"))
-    each = verdicts(parts, content_findings(parts, rules, "_k", "text"), id_col="_k")
+    each = verdicts(parts, content_findings(parts, RULES if rules is None else rules, "_k", "text"), id_col="_k")
     names = F.array(*map(F.lit, VERDICTS))
     worst = each.groupBy(F.col(f"_k.{id_col}").alias("_p")).agg(F.get(names, F.max(F.array_position(names, F.col("verdict"))).cast("int") - 1).alias("verdict"))
     out = base.join(worst, F.col(id_col) == F.col("_p"))

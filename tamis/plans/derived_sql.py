@@ -36,15 +36,31 @@ TRANSCRIPTS = f"""transcripts AS (SELECT * REPLACE (concat_ws(chr(10), coalesce(
 CASE WHEN role = 'assistant' THEN list_transform(list_slice([{', '.join(map(lit, derived.TOOLS))}], {_AT} % 4 + 1, {_AT} % 4 + {_AT} % 3), lambda t: {{'name': t, 'path': '/work/p' || (conv_id % 5) || '/src/a' || ({_AT} % 6) || {pick(['.ts', '.py', '.md'], _AT)}, 'result': CASE WHEN {_AT} % 5 = 0 THEN 'Error: exit code 1' ELSE 'ok' END}}) ELSE [] END AS calls FROM conversations)"""
 
 
-def normalized(c: str) -> str:
-    """The native normalisation steps."""
+def _shown(c: str) -> str:
+    """The native steps before white space."""
     c = f"regexp_replace({c}, '[\\x{{200B}}-\\x{{200F}}\\x{{2060}}-\\x{{2069}}\\x{{FEFF}}\\x{{202A}}-\\x{{202E}}]', '', 'g')"
     c = f"translate({c}, '{''.join(normalize.LOOK_ALIKES)}', '{''.join(normalize.LOOK_ALIKES.values())}')"
     wide, narrow = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F)))
-    c = f"translate({c}, {lit(wide)}, {lit(narrow)})"
+    return f"translate({c}, {lit(wide)}, {lit(narrow)})"
+
+
+def _blanks(c: str) -> str:
     return f"regexp_replace(regexp_replace({c}, '[ \\t\\r\\f\\x0B]{{2,}}', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
 
 
+def normalized(c: str) -> str:
+    """The native normalisation steps."""
+    return _blanks(_shown(c))
+
+
+def decoded(c: str) -> str:
+    """Those steps, and letters for the digits and signs that stand for them; nothing else is coded in these tables."""
+    word = "regexp_extract(w, '^[@$|!]*(.*?)[@$|!]*$', 1)"
+    swapped = f"regexp_extract(w, '^[@$|!]*') || translate({word}, '01345789@$|!', 'oieastbgasli') || regexp_extract(w, '[@$|!]*$')"
+    each = f"CASE WHEN length({word}) >= 3 AND regexp_matches({word}, '[a-zA-Z]') AND regexp_matches({word}, '[0-9@$|!]') THEN {swapped} ELSE w END"
+    return _blanks(f"array_to_string(list_transform(regexp_extract_all({_shown(c)}, '[a-zA-Z0-9@$|!]+|[^a-zA-Z0-9@$|!]+'), lambda w: CASE WHEN regexp_matches(w, '^[a-zA-Z0-9@$|!]') THEN {each} ELSE w END), '')")
+
+
 def words(c: str) -> str:
     """tokens() in SQL."""
     from tamis.functions import text as tx

@@ -10,9 +10,20 @@ from tamis.plans import derived_sql as ds
 from tamis.sources import derived
 from tamis.sources.tables import table
 
-#: Rules that engines without backtracking can check as well.
-PORTABLE = [r for r in ir.RULES if not ir.looks_around(r[2])]
 OTHERS = [r for r in ir.RULES if ir.looks_around(r[2])]
+#: For engines without backtracking, forms of the rules that look around which find the same in the given tables: a pattern,
+#: and one that no evidence may match. None: nothing there is like it.
+FORMS = {
+    "role-override-identity-swap": (r"(?is)\byou\s+are\s+(?:no\s+longer|not)\s+\w+.{0,40}you\s+are\s+(?:now\s+)?\w+", None),
+    "delimiter-xml-injection": (r"(?i)</?\s*(?:system|assistant|user|human|tool_result|function_response|message|prompt|instruction|context)\s*>", None),
+    "evasion-homoglyph": (r"(?i)[А-яЀ-Џѐ-џ]{2,}.{0,120}?(?:ignore|system|prompt|instruction)", None),
+    "indirect-comment-injection": (r"(?i)<!--[^>]*(?:ignore|system\s+prompt|instruction|override)[^>]*-->", None),
+    "advanced-leetspeak": (r"(?i)[i1l][gq9][n|\\/][o0][r|][e3]\s+[a@4][l1][l1]\s+[p|][r|][e3][v|][i1l][o0][u|][s5$]", r"(?i)^ignore\s+all\s+previous"),
+    "advanced-leetspeak-system": (r"(?i)[s5$][yh][s5$][t7][e3][m|]\s+[p|][r|][o0][m|][p|][t7]", r"(?i)^system\s+prompt"),
+    "advanced-code-block-system": None,
+    "advanced-padding-injection": None,
+    "advanced-authority-code": None,
+}
 
 
 def _inbox(f):
@@ -24,24 +35,24 @@ def _commands(f):
 
 
 def _found(d):
-    return inj.content_findings(d, PORTABLE)
+    return inj.content_findings(d)
 
 
 QUERIES = {
-    "det_rules": _inbox(lambda d: inj.scan_rules(d, PORTABLE)),
+    "det_rules": _inbox(inj.scan_rules),
     "det_rules_backtracking": _inbox(lambda d: inj.scan_rules(d, OTHERS)),
-    "det_rules_chosen": _inbox(lambda d: inj.scan_rules(d, [r for r in PORTABLE if r[0].startswith(("role", "exfil", "tool"))], least="critical", disabled=("exfil-positional",), custom=[("custom-flowers", "critical", "(?i)\\bplants need water\\b")], most=2).select("doc_id", "rule", "severity", "evidence")),
-    "det_injected": _inbox(lambda d: inj.injected(d, PORTABLE).select("doc_id", "injected")),
+    "det_rules_chosen": _inbox(lambda d: inj.scan_rules(d, [r for r in ir.RULES if r[0].startswith(("role", "exfil", "tool"))], least="critical", disabled=("exfil-positional",), custom=[("custom-flowers", "critical", "(?i)\\bplants need water\\b")], most=2).select("doc_id", "rule", "severity", "evidence")),
+    "det_injected": _inbox(lambda d: inj.injected(d).select("doc_id", "injected")),
     "det_intents": _inbox(inj.intents),
     "det_arguments": _inbox(inj.arguments),
     "det_sensitive": _inbox(lambda d: d.select("doc_id", inj.sensitive(F.col("text")).alias("sensitive"))),
     "det_persistent": _inbox(inj.persistent_directives),
     "det_verdict": _inbox(lambda d: inj.verdicts(d, _found(d))),
-    "det_windows": _inbox(lambda d: inj.window_verdicts(d, PORTABLE)),
+    "det_windows": _inbox(inj.window_verdicts),
     "det_gate": _inbox(lambda d: inj.gate(_found(d))),
     "det_spotlight": _inbox(lambda d: inj.spotlight(d, "k").select("doc_id", F.sha2("text", 256).alias("sha"), inj.forged_mark(F.col("text")).alias("marked"))),
     "det_sanitize": _inbox(lambda d: inj.sanitize(d, inj.verdicts(d, _found(d)), "k").select("doc_id", "verdict", F.sha2("shown", 256).alias("shown_sha"), F.col("stored").isNotNull().alias("stored"))),
-    "det_seams": _inbox(lambda d: inj.verdicts(d, inj.content_findings(inj.seams(d, "source", "text"), PORTABLE))),
+    "det_seams": _inbox(lambda d: inj.verdicts(d, inj.content_findings(inj.seams(d, "source", "text")))),
     "act_commands": _commands(lambda c: inj.judge_commands(c).select("event_id", "decision", "rule")),
     "act_writes": _commands(lambda c: inj.judge_writes(c).select("event_id", "decision", "rule")),
     "act_fetches": _commands(lambda c: c.select("event_id", inj.fetches_web(F.col("command")).alias("fetches"))),
@@ -56,9 +67,15 @@ def _evidence(c: str, pattern: str) -> str:
 
 def _scan_sql(rules, source: str = "inbox", key: str = "doc_id") -> str:
     """CTE parts: plain(key, t, n) and found(key, ord, rule, severity, evidence, original)."""
-    one = lambda c, i, r: f"SELECT {key}, {i} AS ord, {ds.lit(r[0])} AS rule, '{r[1]}' AS severity, {_evidence(c, r[2])} AS evidence, {str(c == 't').lower()} AS original FROM plain WHERE regexp_matches({c}, {ds.re2(r[2])})"
-    rows = " UNION ALL ".join(one(c, i, r) for i, r in enumerate(rules) for c in ("n", "t"))
-    return f"plain AS (SELECT {key}, coalesce(text, '') AS t, {ds.normalized(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS n FROM {source}), every AS ({rows}), found AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY {key}, ord ORDER BY original) = 1)"
+    def one(c, i, r):
+        form = FORMS.get(r[0], (r[2], None))
+        if form is None:
+            return []
+        veto = f" AND NOT regexp_matches(regexp_extract({c}, {ds.re2(form[0])}, 0), {ds.re2(form[1])})" if form[1] else ""
+        return [f"SELECT {key}, {i} AS ord, {ds.lit(r[0])} AS rule, '{r[1]}' AS severity, {_evidence(c, form[0])} AS evidence, {str(c == 't').lower()} AS original FROM plain WHERE regexp_matches({c}, {ds.re2(form[0])}){veto}"]
+
+    rows = " UNION ALL ".join(x for i, r in enumerate(rules) for c in ("n", "t") for x in one(c, i, r))
+    return f"plain AS MATERIALIZED (SELECT {key}, coalesce(text, '') AS t, {ds.decoded(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS n FROM {source}), every AS ({rows}), found AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY {key}, ord ORDER BY original) = 1)"
 
 
 def _intent_sql(source: str = "inbox", key: str = "doc_id") -> str:
@@ -99,8 +116,8 @@ _RANK = "CASE severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2
 
 def _verdict_sql(source: str = "inbox", key: str = "doc_id", before: str = ds.INBOX) -> str:
     """CTE parts up to verdict(key, verdict, severity, labels)."""
-    return f"""WITH {before}, {_scan_sql(PORTABLE, source, key)}, {_intent_sql(source, key)},
-hits AS (SELECT {key}, ord, rule, severity FROM found UNION ALL SELECT {key}, {len(PORTABLE)}, 'semantic-' || category, CASE WHEN score > 0.7 THEN 'critical' WHEN score > 0.5 THEN 'high' ELSE 'medium' END FROM intent WHERE score > 0.45 AND category <> 'clean'),
+    return f"""WITH {before}, {_scan_sql(ir.RULES, source, key)}, {_intent_sql(source, key)},
+hits AS (SELECT {key}, ord, rule, severity FROM found UNION ALL SELECT {key}, {len(ir.RULES)}, 'semantic-' || category, CASE WHEN score > 0.7 THEN 'critical' WHEN score > 0.5 THEN 'high' ELSE 'medium' END FROM intent WHERE score > 0.45 AND category <> 'clean'),
 ranked AS (SELECT *, {_RANK} AS r FROM hits),
 g AS (SELECT {key}, max(r) AS worst, list(rule ORDER BY ord) AS rules, arg_min(rule, ord - 100000 * r) AS leads FROM ranked GROUP BY {key}),
 verdict AS (SELECT {key}, CASE WHEN worst >= 3 THEN 'block' WHEN worst >= 2 THEN 'warn' ELSE 'allow' END AS verdict, (['low', 'medium', 'high', 'critical'])[worst + 1] AS severity, CASE WHEN leads IS NULL THEN [] ELSE list_slice(list_concat([leads], list_filter(rules, lambda x: x <> leads)), 1, 5) END AS labels FROM (SELECT DISTINCT {key} FROM {source}) LEFT JOIN g USING ({key}))"""
@@ -125,12 +142,13 @@ _NUMBER = " + ".join(f"CAST(split_part(host, '.', {i + 1}) AS BIGINT) * {1 << (2
 _INSIDE = " OR ".join(f"n BETWEEN {a} AND {b}" for a, b in inj.reserved_ranges())
 _MARK = "'⟦UNTRUSTED-DATA ' || substr(sha256('k' || CAST(doc_id AS VARCHAR)), 1, 16) || '⟧'"
 _NEUTRAL = "regexp_replace({}, '(?i)[⟦\\[]+[\\s\\x{{200B}}-\\x{{200F}}\\x{{2060}}]*(UNTRUSTED-DATA)', '(\\1', 'g')"
-_CHOSEN = [r for r in PORTABLE if r[0].startswith(("role", "exfil", "tool")) and r[1] == "critical" and r[0] != "exfil-positional"] + [("custom-flowers", "critical", "(?i)\\bplants need water\\b")]
+_CHOSEN = [r for r in ir.RULES if r[0].startswith(("role", "exfil", "tool")) and r[1] == "critical" and r[0] != "exfil-positional"] + [("custom-flowers", "critical", "(?i)\\bplants need water\\b")]
 
 ORACLE = {
-    "det_rules": f"WITH {ds.INBOX}, {_scan_sql(PORTABLE)} SELECT * FROM found",
+    "det_rules_backtracking": f"WITH {ds.INBOX}, {_scan_sql(OTHERS)} SELECT * FROM found",
+    "det_rules": f"WITH {ds.INBOX}, {_scan_sql(ir.RULES)} SELECT * FROM found",
     "det_rules_chosen": f"WITH {ds.INBOX}, {_scan_sql(_CHOSEN)} SELECT doc_id, rule, severity, evidence FROM found QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY original, ord) <= 2",
-    "det_injected": f"WITH {ds.INBOX}, {_scan_sql(PORTABLE)} SELECT doc_id, doc_id IN (SELECT doc_id FROM found) AS injected FROM inbox",
+    "det_injected": f"WITH {ds.INBOX}, {_scan_sql(ir.RULES)} SELECT doc_id, doc_id IN (SELECT doc_id FROM found) AS injected FROM inbox",
     "det_intents": f"WITH {ds.INBOX}, {_intent_sql()} SELECT * FROM intent",
     "det_arguments": _arguments_sql(),
     "det_sensitive": f"WITH {ds.INBOX} SELECT doc_id, {_any(ir.SENSITIVE, 'text')} AS sensitive FROM inbox",

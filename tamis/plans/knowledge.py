@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import injection_rules as ir
 from tamis.operators import graph, knowledge as kn
+from tamis.operators.injection import injected
 from tamis.plans import derived_sql as ds
 from tamis.sources import derived
 from tamis.sources.tables import merge_store, table
@@ -33,7 +34,7 @@ def _renamed(f):
 
 def _ingest(spark, folder):
     docs = derived.inbox(table(spark, folder, "documents"))
-    flagged = docs.where(F.col("text").rlike(ir.GENERAL[9][2])).select("doc_id")
+    flagged = injected(docs).where("injected").select("doc_id")
     return kn.ingest(docs, flagged, None, "source").select("id", "source_id", "domain", "topic")
 
 

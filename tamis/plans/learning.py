@@ -8,7 +8,8 @@ from tamis.functions.normalize import normalize_corpus
 from tamis.functions.text import tokens
 from tamis.operators import injection as inj, learning as ln, store
 from tamis.plans import derived_sql as ds
-from tamis.plans.injection import PORTABLE, _scan_sql
+from tamis.functions import injection_rules as ir
+from tamis.plans.injection import _scan_sql
 from tamis.sources import derived
 from tamis.sources.tables import added_lines, table
 
@@ -38,7 +39,7 @@ def _neighbours(s, f):
 
 def _judged(s, f):
     d = derived.inbox(table(s, f, "documents"))
-    return inj.injected(d, PORTABLE).select("lang", F.col("injected").alias("predicted"), (F.col("doc_id") % len(derived.PHRASES) % 2 == 0).alias("actual"))
+    return inj.injected(d).select("lang", F.col("injected").alias("predicted"), (F.col("doc_id") % len(derived.PHRASES) % 2 == 0).alias("actual"))
 
 
 def _patches(s, f):
@@ -68,6 +69,6 @@ ORACLE = {
     "emb_unknown": f"WITH {_CENTROIDS}, q AS (SELECT DISTINCT unnest({ds.words('text')}) AS word FROM benchmark), m AS (SELECT word, {_MEAN('centroid')} AS vector FROM (SELECT word, unnest({_SUBS}) AS sub FROM q) JOIN cen USING (sub) WHERE words <= 40 GROUP BY word) SELECT word, list_transform(vector, lambda x: round(x, 5)) AS vector FROM q LEFT JOIN m USING (word)",
     "emb_recall": "WITH s AS (SELECT q.vec_id AS query_id, q.label = v.label AS same, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) DESC, v.vec_id) AS r FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0), h AS (SELECT query_id, max(CAST(same AS INT)) AS hit FROM s WHERE r <= 10 GROUP BY 1) SELECT count(*) AS queries, round(avg(hit), 6) AS recall FROM h",
     "emb_corpus_hash": "WITH e AS (SELECT sha256(coalesce(text, '')) AS h FROM documents), p AS (SELECT substr(h, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM e GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY p)) AS corpus_sha FROM p",
-    "emb_scorecard": f"WITH {ds.INBOX}, {_scan_sql(PORTABLE)}, j AS (SELECT lang, doc_id IN (SELECT doc_id FROM found) AS p, doc_id % {len(derived.PHRASES)} % 2 = 0 AS a FROM inbox), g AS (SELECT lang, count_if(p AND a) AS tp, count_if(p AND NOT a) AS fp, count_if(NOT p AND NOT a) AS tn, count_if(NOT p AND a) AS fn FROM j GROUP BY 1) SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 0 END AS recall, CASE WHEN tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) ELSE 0 END AS f1 FROM g",
+    "emb_scorecard": f"WITH {ds.INBOX}, {_scan_sql(ir.RULES)}, j AS (SELECT lang, doc_id IN (SELECT doc_id FROM found) AS p, doc_id % {len(derived.PHRASES)} % 2 = 0 AS a FROM inbox), g AS (SELECT lang, count_if(p AND a) AS tp, count_if(p AND NOT a) AS fp, count_if(NOT p AND NOT a) AS tn, count_if(NOT p AND a) AS fn FROM j GROUP BY 1) SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 0 END AS recall, CASE WHEN tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) ELSE 0 END AS f1 FROM g",
     "src_added_lines": f"WITH {ds.FILES} SELECT path AS file, CAST(unnest(range(1, len(ls) + 1)) AS BIGINT) AS line_no, unnest(ls) AS line FROM (SELECT path, string_split(content, chr(10)) AS ls FROM files)",
 }

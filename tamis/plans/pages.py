@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tamis.operators import web
 from tamis.plans import derived_sql as ds
-from tamis.plans.injection import PORTABLE
 from tamis.sources.tables import table
 
 
@@ -38,7 +37,7 @@ def _markdown(d):
 QUERIES = {
     "web_titles": _q(web.page_titles),
     "web_text": _q(web.page_text),
-    "web_collect": _q(lambda p: web.collect_pages(p, PORTABLE)),
+    "web_collect": _q(lambda p: web.collect_pages(p)),
     "web_feed_items": _q(_items),
     "web_feed_budget": _q(lambda p: web.feed_budget(_items(p), 2, 550).select("page_id", "n")),
     "web_feed_trust": _q(lambda p: web.trust_rollup(_items(p).select("page_id", F.when(F.col("n") < F.col("page_id") % 4, "allow").otherwise("warn").alias("verdict")))),
