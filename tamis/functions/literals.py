@@ -67,7 +67,9 @@ def required(pattern: str) -> tuple[tuple[str, ...], ...]:
 def held(lower: Column, patterns) -> Column:
     """Of the strings that the patterns need, those that a text, given in lower case, holds."""
     every = sorted({x for p in patterns for clause in required(p) for x in clause})
-    return F.filter(F.lit(every) if every else F.array().cast("array<string>"), lambda x: F.contains(lower, x))
+    strings = F.lit(every) if every else F.array().cast("array<string>")
+    # the text is an element of an array, as else its lower case would be worked out for every string
+    return F.flatten(F.transform(F.array(lower), lambda text: F.filter(strings, lambda x: F.contains(text, x))))
 
 
 def may_match(found: Column, pattern: str) -> Column:

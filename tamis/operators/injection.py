@@ -39,7 +39,7 @@ def first_matches(t: Column, strings: Column, rules) -> Column:
 def _read(docs: DataFrame, columns: list[str], text_col: str, rules) -> DataFrame:
     """The columns with _t, the text, _n, the text after every step of normalisation, and the strings that both hold."""
     rows = normalize_corpus(docs.select(*columns, text_or_empty(text_col).alias("_text")), "_text")
-    return rows.select(*columns, F.col("_text").alias("_t"), F.col("normalized").alias("_n"), held(F.lower("_text"), [r[2] for r in rules]).alias("_th"), held(F.lower("normalized"), [r[2] for r in rules]).alias("_nh"))
+    return rows.select(*columns, F.col("_text").alias("_t"), F.col("normalized").alias("_n"), F.when(F.col("normalized") != F.col("_text"), held(F.lower("_text"), [r[2] for r in rules])).alias("_th"), held(F.lower("normalized"), [r[2] for r in rules]).alias("_nh"))
 
 
 def scan_rules(docs: DataFrame, rules=ir.RULES, least: str = "low", disabled: tuple[str, ...] = (), custom=(), most: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,7 +63,7 @@ def injected(docs: DataFrame, rules=ir.RULES, id_col: str = "doc_id", text_col:
     """docs with injected: whether any rule matches the text, normalised or not."""
     plain = _read(docs, docs.columns, text_col, rules)
     hit = lambda t, strings, p: may_match(F.col(strings), p) & F.col(t).rlike(ascii_bounds(p))
-    found = F.coalesce(*[F.when(hit("_n", "_nh", p) | hit("_t", "_th", p), F.lit(True)) for _, _, p in rules], F.lit(False))
+    found = F.coalesce(*[F.when(hit("_n", "_nh", p) | F.coalesce(hit("_t", "_th", p), F.lit(False)), F.lit(True)) for _, _, p in rules], F.lit(False))
     return plain.withColumn("injected", found).drop("_t", "_n", "_th", "_nh")
 
 

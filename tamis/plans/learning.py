@@ -23,8 +23,10 @@ def _words(s, f):
     return w.withColumn("k", F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("long") % F.lit(e.count())).join(e, F.col("k") == F.col("vec_id")).select("word", "vector")
 
 
-def _rounded(rows, c):
-    return rows.withColumn(c, F.transform(c, lambda x: F.round(x, 5)))
+def _components(rows, c):
+    """A row for each component of vector c; a null vector is one row. Zeros are positive."""
+    keys = [k for k in rows.columns if k != c]
+    return rows.select(*keys, F.posexplode_outer(c).alias("pos", "value")).withColumn("value", F.round("value", 5) + F.lit(0.0))
 
 
 def _unknown(s, f):
@@ -51,8 +53,8 @@ def _patches(s, f):
 QUERIES = {
     "nrm_corpus": lambda s, f: normalize_corpus(derived.inbox(table(s, f, "documents"))).select("doc_id", F.sha2("normalized", 256).alias("sha"), "transforms"),
     "emb_word_vectors": lambda s, f: ln.train_word_vectors(table(s, f, "documents")).select("word", F.size("vector").alias("width")),
-    "emb_subwords": lambda s, f: _rounded(ln.subword_centroids(_words(s, f), WIDTH), "centroid"),
-    "emb_unknown": lambda s, f: _rounded(_unknown(s, f), "vector"),
+    "emb_subwords": lambda s, f: _components(ln.subword_centroids(_words(s, f), WIDTH), "centroid"),
+    "emb_unknown": lambda s, f: _components(_unknown(s, f), "vector"),
     "emb_recall": lambda s, f: ln.neighbour_recall(_neighbours(s, f), table(s, f, "embeddings")),
     "emb_corpus_hash": lambda s, f: ln.corpus_hash(table(s, f, "documents")),
     "emb_scorecard": lambda s, f: ln.scorecard(_judged(s, f), "lang"),
@@ -65,8 +67,8 @@ _MEAN = lambda c: "[" + ", ".join(f"avg({c}[{i + 1}])" for i in range(WIDTH)) +
 _CENTROIDS = f"{_VECTORS}, cen AS (SELECT sub, count(*) AS words, {_MEAN('vector')} AS centroid FROM (SELECT vector, unnest({_SUBS}) AS sub FROM wv) GROUP BY sub HAVING count(*) >= 5)"
 
 ORACLE = {
-    "emb_subwords": f"WITH {_CENTROIDS} SELECT sub, words, list_transform(centroid, lambda x: round(x, 5)) AS centroid FROM cen",
-    "emb_unknown": f"WITH {_CENTROIDS}, q AS (SELECT DISTINCT unnest({ds.words('text')}) AS word FROM benchmark), m AS (SELECT word, {_MEAN('centroid')} AS vector FROM (SELECT word, unnest({_SUBS}) AS sub FROM q) JOIN cen USING (sub) WHERE words <= 40 GROUP BY word) SELECT word, list_transform(vector, lambda x: round(x, 5)) AS vector FROM q LEFT JOIN m USING (word)",
+    "emb_subwords": f"WITH {_CENTROIDS} SELECT sub, words, CAST(unnest(range({WIDTH})) AS INTEGER) AS pos, round(unnest(centroid), 5) + 0.0 AS value FROM cen",
+    "emb_unknown": f"WITH {_CENTROIDS}, q AS (SELECT DISTINCT unnest({ds.words('text')}) AS word FROM benchmark), m AS (SELECT word, {_MEAN('centroid')} AS vector FROM (SELECT word, unnest({_SUBS}) AS sub FROM q) JOIN cen USING (sub) WHERE words <= 40 GROUP BY word) SELECT word, CAST(unnest(range({WIDTH})) AS INTEGER) AS pos, round(unnest(vector), 5) + 0.0 AS value FROM m UNION ALL SELECT word, NULL, NULL FROM q WHERE word NOT IN (SELECT word FROM m)",
     "emb_recall": "WITH s AS (SELECT q.vec_id AS query_id, q.label = v.label AS same, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) DESC, v.vec_id) AS r FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0), h AS (SELECT query_id, max(CAST(same AS INT)) AS hit FROM s WHERE r <= 10 GROUP BY 1) SELECT count(*) AS queries, round(avg(hit), 6) AS recall FROM h",
     "emb_corpus_hash": "WITH e AS (SELECT sha256(coalesce(text, '')) AS h FROM documents), p AS (SELECT substr(h, 1, 3) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM e GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY p)) AS corpus_sha FROM p",
     "emb_scorecard": f"WITH {ds.INBOX}, {_scan_sql(ir.RULES)}, j AS (SELECT lang, doc_id IN (SELECT doc_id FROM found) AS p, doc_id % {len(derived.PHRASES)} % 2 = 0 AS a FROM inbox), g AS (SELECT lang, count_if(p AND a) AS tp, count_if(p AND NOT a) AS fp, count_if(NOT p AND NOT a) AS tn, count_if(NOT p AND a) AS fn FROM j GROUP BY 1) SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) ELSE 0 END AS recall, CASE WHEN tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) ELSE 0 END AS f1 FROM g",
