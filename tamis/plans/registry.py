@@ -221,9 +221,9 @@ ORACLE |= {
 
 def _merge() -> None:
     """Queries of the other plan modules join those of this one."""
-    from tamis.plans import audits, code, directives, injection, knowledge, learning, pages
+    from tamis.plans import audits, code, directives, expansion, injection, knowledge, learning, pages
 
-    for module in (injection, directives, code, knowledge, pages, audits, learning):
+    for module in (injection, directives, expansion, code, knowledge, pages, audits, learning):
         QUERIES.update(module.QUERIES)
         ORACLE.update(module.ORACLE)
 
