@@ -34,8 +34,8 @@ HARD = 6000
 PIECE = 32
 #: Sentences of a text whose decisions make its score, and the size to which a decision counts.
 TOP, CLIP = 3, 3.0
-#: Words whose scores a task remembers, words and pairs of words scored at a time.
-REMEMBERED, BATCH, PAIRS = 200_000, 1024, 4096
+#: Words whose scores a task remembers, words and pairs of words scored at a time, and rows that leave a task at a time.
+REMEMBERED, BATCH, PAIRS, ROWS = 100_000, 1024, 4096, 1000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -539,6 +539,8 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float, text_col
 
         known: dict = {}
         for batch in batches:
-            yield batch.filter(pa.array(_scores(sent.value, batch.column(at).cast(pa.string()), known) < threshold))
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                yield part.filter(pa.array(_scores(sent.value, part.column(at).cast(pa.string()), known) < threshold))
 
     return docs.mapInArrow(in_task(run), docs.schema)
