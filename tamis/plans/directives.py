@@ -8,6 +8,7 @@ from tamis.operators import capabilities as cap
 from tamis.operators import directives as di
 from tamis.operators import injection as inj
 from tamis.plans import derived_sql as ds
+from tamis.plans.injection import verdict_sql
 from tamis.sources import derived
 from tamis.sources.tables import table
 
@@ -122,6 +123,7 @@ _DIRECTIVES = f"{ds.NOTICES}, n AS MATERIALIZED (SELECT doc_id, {_FOLD} AS t FRO
 ORACLE = {
     "det_directives": f"WITH RECURSIVE {_DIRECTIVES} SELECT * FROM directives",
     "det_directive_decides": f"WITH RECURSIVE {_DIRECTIVES} SELECT doc_id, min(ord) AS ord, arg_min(directive, ord) AS rule, 'high' AS severity FROM directives GROUP BY doc_id",
+    "det_directive_verdict": "WITH RECURSIVE" + verdict_sql("notices", "doc_id", _DIRECTIVES, " UNION ALL SELECT doc_id, min(ord) + 10000, arg_min(directive, ord), 'high' FROM directives GROUP BY doc_id").removeprefix("WITH") + " SELECT * FROM verdict",
     "det_capabilities": f"WITH RECURSIVE {ds.NOTICES}, {_WINDOWS} SELECT * FROM caps",
     "act_capabilities": f"WITH {ds.COMMANDS}, {_COMMAND_CAPS} SELECT * FROM caps",
     "act_decisions": f"WITH {ds.COMMANDS}, {_COMMAND_CAPS} SELECT event_id, CASE min(CASE decision WHEN 'deny' THEN 0 WHEN 'ask' THEN 1 END) WHEN 0 THEN 'deny' WHEN 1 THEN 'ask' ELSE 'allow' END AS decision, arg_min(capability, ord) AS capability FROM commands LEFT JOIN (SELECT * FROM caps QUALIFY rank() OVER (PARTITION BY event_id ORDER BY decision = 'deny' DESC) = 1) USING (event_id) GROUP BY event_id",

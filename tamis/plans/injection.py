@@ -114,10 +114,10 @@ def _arguments_sql() -> str:
 _RANK = "CASE severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END"
 
 
-def _verdict_sql(source: str = "inbox", key: str = "doc_id", before: str = ds.INBOX) -> str:
-    """CTE parts up to verdict(key, verdict, severity, labels)."""
+def verdict_sql(source: str = "inbox", key: str = "doc_id", before: str = ds.INBOX, more: str = "") -> str:
+    """CTE parts up to verdict(key, verdict, severity, labels). more: further findings, as UNION ALL SELECT ..."""
     return f"""WITH {before}, {_scan_sql(ir.RULES, source, key)}, {_intent_sql(source, key)},
-hits AS (SELECT {key}, ord, rule, severity FROM found UNION ALL SELECT {key}, {len(ir.RULES)}, 'semantic-' || category, CASE WHEN score > 0.7 THEN 'critical' WHEN score > 0.5 THEN 'high' ELSE 'medium' END FROM intent WHERE score > 0.45 AND category <> 'clean'),
+hits AS (SELECT {key}, ord, rule, severity FROM found UNION ALL SELECT {key}, {len(ir.RULES)}, 'semantic-' || category, CASE WHEN score > 0.7 THEN 'critical' WHEN score > 0.5 THEN 'high' ELSE 'medium' END FROM intent WHERE score > 0.45 AND category <> 'clean'{more}),
 ranked AS (SELECT *, {_RANK} AS r FROM hits),
 g AS (SELECT {key}, max(r) AS worst, list(rule ORDER BY ord) AS rules, arg_min(rule, ord - 100000 * r) AS leads FROM ranked GROUP BY {key}),
 verdict AS (SELECT {key}, CASE WHEN worst >= 3 THEN 'block' WHEN worst >= 2 THEN 'warn' ELSE 'allow' END AS verdict, (['low', 'medium', 'high', 'critical'])[worst + 1] AS severity, CASE WHEN leads IS NULL THEN [] ELSE list_slice(list_concat([leads], list_filter(rules, lambda x: x <> leads)), 1, 5) END AS labels FROM (SELECT DISTINCT {key} FROM {source}) LEFT JOIN g USING ({key}))"""
@@ -154,11 +154,11 @@ ORACLE = {
     "det_sensitive": f"WITH {ds.INBOX} SELECT doc_id, {_any(ir.SENSITIVE, 'text')} AS sensitive FROM inbox",
     "det_persistent": f"""WITH {ds.INBOX}, t AS (SELECT doc_id, text AS t FROM inbox), r AS (SELECT doc_id, CASE WHEN {_any([ir.EXPOSE], 't')} AND {_any([ir.SECRET_FILE], 't')} THEN 'sends a key file'
 WHEN ({_any([ir.RUN], 't')} AND {_any([ir.SCRIPT_URL], 't')} AND (regexp_matches(t, '(?i)http://') OR {_any([ir.STANDING], 't')})) OR ({_any([ir.STANDING], 't')} AND regexp_matches(t, '(?i)https?://') AND {_any([ir.FETCH], 't')} AND {_any([ir.TO_SHELL], 't')}) THEN 'fetches and runs a script' END AS reason FROM t) SELECT * FROM r WHERE reason IS NOT NULL""",
-    "det_verdict": _verdict_sql() + " SELECT * FROM verdict",
-    "det_gate": _verdict_sql() + " SELECT doc_id, count(*) AS violations, (['low', 'medium', 'high', 'critical'])[max(r) + 1] AS worst FROM ranked WHERE r >= 2 GROUP BY doc_id",
-    "det_windows": _verdict_sql("wins", "k", ds.INBOX + f", wins AS (SELECT doc_id * 100000 + s AS k, doc_id, substr(text, s * {inj.STEP} + 1, {inj.WINDOW}) AS text FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= {inj.WINDOW} THEN 1 ELSE CAST(ceil(length(text) / {inj.STEP}) AS BIGINT) END)) AS s FROM inbox))") + " SELECT k // 100000 AS doc_id, (['allow', 'warn', 'block'])[max(CASE verdict WHEN 'block' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END)] AS verdict, count(*) AS windows FROM verdict GROUP BY 1",
+    "det_verdict": verdict_sql() + " SELECT * FROM verdict",
+    "det_gate": verdict_sql() + " SELECT doc_id, count(*) AS violations, (['low', 'medium', 'high', 'critical'])[max(r) + 1] AS worst FROM ranked WHERE r >= 2 GROUP BY doc_id",
+    "det_windows": verdict_sql("wins", "k", ds.INBOX + f", wins AS (SELECT doc_id * 100000 + s AS k, doc_id, substr(text, s * {inj.STEP} + 1, {inj.WINDOW}) AS text FROM (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) <= {inj.WINDOW} THEN 1 ELSE CAST(ceil(length(text) / {inj.STEP}) AS BIGINT) END)) AS s FROM inbox))") + " SELECT k // 100000 AS doc_id, (['allow', 'warn', 'block'])[max(CASE verdict WHEN 'block' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END)] AS verdict, count(*) AS windows FROM verdict GROUP BY 1",
     "det_spotlight": f"WITH {ds.INBOX} SELECT doc_id, sha256({_MARK} || ' BEGIN' || chr(10) || {_NEUTRAL.format('text')} || chr(10) || {_MARK} || ' END') AS sha, true AS marked FROM inbox",
-    "det_seams": _verdict_sql("seam", "doc_id", ds.INBOX + ", seam AS (SELECT doc_id, right(coalesce(source, ''), 2048) || chr(10) || left(text, 2048) AS text FROM inbox)") + " SELECT * FROM verdict",
+    "det_seams": verdict_sql("seam", "doc_id", ds.INBOX + ", seam AS (SELECT doc_id, right(coalesce(source, ''), 2048) || chr(10) || left(text, 2048) AS text FROM inbox)") + " SELECT * FROM verdict",
     "act_commands": f"WITH {ds.COMMANDS}, c AS (SELECT event_id, {_COMMAND} AS c, trim(command) AS raw FROM commands) " + _judge_sql(ir.COMMANDS, "c", ["c", "raw"]),
     "act_writes": f"WITH {ds.COMMANDS}, c AS (SELECT event_id, path AS c FROM commands) " + _judge_sql(ir.PATHS, "c", ["c"]),
     "act_fetches": f"WITH {ds.COMMANDS} SELECT event_id, regexp_matches(command, '(?i)\\b(?:curl|wget|Invoke-WebRequest|iwr|Invoke-RestMethod|irm)\\b') AND regexp_matches(command, '(?i)\\bhttps?://') AS fetches FROM commands",
