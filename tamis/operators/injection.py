@@ -42,6 +42,12 @@ def _read(docs: DataFrame, columns: list[str], text_col: str, rules) -> DataFram
     return rows.select(*columns, F.col("_text").alias("_t"), F.col("normalized").alias("_n"), F.when(F.col("normalized") != F.col("_text"), held(F.lower("_text"), [r[2] for r in rules])).alias("_th"), held(F.lower("normalized"), [r[2] for r in rules]).alias("_nh"))
 
 
+def _forms() -> Column:
+    """Of a row of _read, the normalised text and, where that is another, the text as it stands."""
+    form = lambda t, strings: F.struct(F.col(t).alias("text"), F.col(strings).alias("strings"))
+    return F.array_compact(F.array(form("_n", "_nh"), F.when(F.col("_n") != F.col("_t"), form("_t", "_th"))))
+
+
 def scan_rules(docs: DataFrame, rules=ir.RULES, least: str = "low", disabled: tuple[str, ...] = (), custom=(), most: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ord, rule, severity, evidence, original): every rule's first match in the normalised text, or, where that has
     none, in the text as it stands (original). least, disabled and custom choose the rules before anything is scanned; most
@@ -50,7 +56,9 @@ def scan_rules(docs: DataFrame, rules=ir.RULES, least: str = "low", disabled: tu
     floor = ir.SEVERITIES.index(least)
     used = [r for r in [*rules, *custom] if r[0] not in disabled and ir.SEVERITIES.index(r[1]) >= floor]
     plain = _read(docs, [id_col], text_col, used)
-    both = plain.select(id_col, first_matches(F.col("_n"), F.col("_nh"), used).alias("a"), F.when(F.col("_n") != F.col("_t"), first_matches(F.col("_t"), F.col("_th"), used)).otherwise(F.array().cast(HITS)).alias("b"))
+    # a function over an array, so that the rules stand in the plan once and are not compiled
+    hits = F.transform(_forms(), lambda x: first_matches(x["text"], x["strings"], used))
+    both = plain.select(id_col, hits.alias("h")).select(id_col, F.get("h", F.lit(0)).alias("a"), F.coalesce(F.get("h", F.lit(1)), F.array().cast(HITS)).alias("b"))
     known = F.transform("a", lambda x: x["ord"])
     extra = F.filter("b", lambda x: ~F.array_contains(known, x["ord"]))
     tagged = F.concat(F.transform("a", lambda x: F.struct(x.alias("f"), F.lit(False).alias("original"))), F.transform(extra, lambda x: F.struct(x.alias("f"), F.lit(True).alias("original"))))
@@ -62,8 +70,8 @@ def scan_rules(docs: DataFrame, rules=ir.RULES, least: str = "low", disabled: tu
 def injected(docs: DataFrame, rules=ir.RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with injected: whether any rule matches the text, normalised or not."""
     plain = _read(docs, docs.columns, text_col, rules)
-    hit = lambda t, strings, p: may_match(F.col(strings), p) & F.col(t).rlike(ascii_bounds(p))
-    found = F.coalesce(*[F.when(hit("_n", "_nh", p) | F.coalesce(hit("_t", "_th", p), F.lit(False)), F.lit(True)) for _, _, p in rules], F.lit(False))
+    hit = lambda x: F.coalesce(*[F.when(may_match(x["strings"], p) & x["text"].rlike(ascii_bounds(p)), F.lit(True)) for _, _, p in rules], F.lit(False))
+    found = F.exists(_forms(), hit)
     return plain.withColumn("injected", found).drop("_t", "_n", "_th", "_nh")
 
 
