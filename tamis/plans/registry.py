@@ -129,7 +129,7 @@ QUERIES = {
     "det_entropy": _q("documents", detect.text_entropy),
     "det_entropy_windows": _q("documents", detect.entropy_windows),
     "det_repetition": _q("documents", detect.repetition),
-    "det_script_mixing": _q("documents", detect.script_mixing),
+    "det_script_mixing": lambda spark, folder: detect.script_mixing(derived.notices(table(spark, folder, "documents"))),
     "det_encoding": _q("documents", detect.encoding_signs),
     "det_token_statistics": _q("documents", detect.token_statistics),
     "det_token_repetition": _q("documents", detect.repeated_tokens),
@@ -162,7 +162,7 @@ ORACLE = {
     "sec_reuse": _SECRETS + "SELECT fingerprint, count(DISTINCT doc_id) AS documents, count(*) AS places FROM findings GROUP BY 1 HAVING count(DISTINCT doc_id) > 1",
     "det_characters": "SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1, 2",
     "det_entropy": "SELECT doc_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM (SELECT doc_id, ch, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' GROUP BY 1, 2) GROUP BY 1",
-    "det_script_mixing": "SELECT doc_id, CAST(i AS INT) AS sentence_no, 'high' AS severity FROM (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS s FROM (SELECT doc_id, string_split_regex(text, '[.!?\\n]+') AS s FROM documents)) WHERE regexp_matches(s, '[A-Za-zÀ-ɏ]') AND regexp_matches(s, '[Ѐ-ӿ]')",
+    "det_script_mixing": f"WITH {ds.NOTICES} SELECT doc_id, CAST(i AS INT) AS sentence_no, 'high' AS severity FROM (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS s FROM (SELECT doc_id, string_split_regex(text, '[.!?\\n]+') AS s FROM notices)) WHERE regexp_matches(s, '[A-Za-zÀ-ɏ]') AND regexp_matches(s, '[Ѐ-ӿ]')",
     "det_encoding": """SELECT doc_id, round(v / n, 6) AS invisible, v / n > 0.05 AS hidden, length(t) >= 20 AND b / n > 0.03 AND regexp_matches(t, '[A-Za-z0-9+/=]{40}') AS base64_like, length(t) >= 20 AND p / n > 0.05 AND x > 5 AS percent_like
 FROM (SELECT doc_id, coalesce(text, '') AS t, greatest(length(coalesce(text, '')), 1) AS n, len(regexp_extract_all(text, '[\\x{200B}-\\x{200F}\\x{2060}-\\x{2069}\\x{FEFF}\\x{202A}-\\x{202E}]')) AS v, len(regexp_extract_all(text, '[+=]')) AS b, len(regexp_extract_all(text, '%')) AS p, len(regexp_extract_all(text, '%[0-9A-Fa-f]{2}')) AS x FROM documents)""",
     "det_token_statistics": f"""SELECT doc_id, CAST(len(w) AS BIGINT) AS total_tokens, CAST(len(list_distinct(list_transform(w, lambda x: lower(x)))) AS BIGINT) AS unique_tokens, CASE WHEN len(w) > 0 THEN round(CAST(list_sum(list_transform(w, lambda x: length(x))) AS DOUBLE) / len(w), 2) ELSE 0.0 END AS mean_length,
