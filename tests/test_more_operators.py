@@ -54,3 +54,25 @@ def test_file_audits(spark):
     assert {r.path: r.language for r in fl.inventory(f).collect()}["m.py"] == "Python"
     block = "\n".join(f"line {i}" for i in range(5))
     assert fl.repeated_blocks(spark.createDataFrame([("z", "\nq\n".join([block] * 4))], "path string, content string")).count() >= 1
+
+
+def test_word_pairs_are_counted_once_for_both_sides(spark):
+    from collections import Counter
+
+    from tamis.operators import store
+
+    texts = ["alpha beta alpha alpha gamma", "beta", "", None, "delta " * 4 + "alpha beta gamma delta omega sigma", "gamma gamma"]
+    want = Counter()
+    for t in texts:
+        w = (t or "").split()
+        want.update((w[i], w[j]) for i in range(len(w)) for j in range(max(0, i - 3), min(len(w), i + 4)) if i != j)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {(r.word, r.neighbour): r.n for r in store.cooccurrence(docs, 3).collect()} == dict(want)
+    half = store._met(docs, 3, "text").collect()
+    assert all(r.a <= r.b for r in half) and sum(r.n for r in half) * 2 == sum(want.values())
+    freq = Counter(x for t in texts for x in (t or "").split())
+    import math
+
+    found = {(r.word, r.neighbour): (r.n, r.pmi) for r in store.pmi(docs, 3).collect()}
+    weighed = {p: (n, round(math.log2(n * sum(want.values()) / (freq[p[0]] * freq[p[1]])), 6)) for p, n in want.items()}
+    assert found == {p: v for p, v in weighed.items() if v[1] > 0}
