@@ -16,9 +16,12 @@ def concept_nodes(observations: DataFrame) -> DataFrame:
 
 def concept_edges(observations: DataFrame) -> DataFrame:
     """(src, dst, relation, weight): domain contains topic, topic related to tag."""
-    contains = observations.where("domain is not null and topic is not null").select(F.concat(F.lit("domain:"), "domain").alias("src"), F.concat(F.lit("topic:"), "topic").alias("dst"), F.lit("contains").alias("relation"))
-    related = observations.where("topic is not null").select(F.concat(F.lit("topic:"), "topic").alias("src"), F.explode("tags").alias("t")).select("src", F.concat(F.lit("tag:"), "t").alias("dst"), F.lit("related").alias("relation"))
-    return contains.unionByName(related).groupBy("src", "dst", "relation").agg(F.count("*").alias("weight"))
+    edge = lambda kind, c, other, name, relation: F.struct(F.concat(F.lit(f"{kind}:"), c).alias("src"), F.concat(F.lit(f"{other}:"), name).alias("dst"), F.lit(relation).alias("relation"))
+    contains = F.when(F.col("domain").isNotNull(), F.array(edge("domain", F.col("domain"), "topic", F.col("topic"), "contains"))).otherwise(F.array())
+    related = F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: edge("topic", F.col("topic"), "tag", t, "related"))
+    kinds = "array<struct<src:string,dst:string,relation:string>>"
+    rows = observations.where("topic is not null").select(F.explode(F.concat(contains.cast(kinds), related.cast(kinds))).alias("e"))
+    return rows.groupBy("e.src", "e.dst", "e.relation").agg(F.count("*").alias("weight"))
 
 
 def tunnels(observations: DataFrame) -> DataFrame:
@@ -29,12 +32,14 @@ def tunnels(observations: DataFrame) -> DataFrame:
 
 def expand(starts: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """starts(node) -> (node, hop): every node within so many undirected hops, with the first hop that meets it."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("a", "b").distinct()
+    each = F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e")
+    both = edges.select(each).select("e.a", "e.b").distinct()
     seen = starts.select("node").distinct().withColumn("hop", F.lit(0))
-    front = seen
-    for hop in range(1, hops + 1):
-        front = front.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(front)
+    for _ in range(hops):
+        # every node goes on with itself and its neighbours, so that what came before is read once
+        near = seen.join(both, F.col("node") == F.col("a"), "left")
+        stay, go = F.struct("node", "hop"), F.struct(F.col("b").alias("node"), (F.col("hop") + 1).alias("hop"))
+        seen = near.select(F.explode(F.when(F.col("a").isNull(), F.array(stay)).otherwise(F.array(stay, go))).alias("s")).groupBy("s.node").agg(F.min("s.hop").alias("hop"))
     return seen
 
 
