@@ -76,3 +76,38 @@ def test_word_pairs_are_counted_once_for_both_sides(spark):
     found = {(r.word, r.neighbour): (r.n, r.pmi) for r in store.pmi(docs, 3).collect()}
     weighed = {p: (n, round(math.log2(n * sum(want.values()) / (freq[p[0]] * freq[p[1]])), 6)) for p, n in want.items()}
     assert found == {p: v for p, v in weighed.items() if v[1] > 0}
+
+
+def test_topics_by_hand_and_each_sentence_once(spark):
+    import math
+    from collections import Counter
+
+    from tamis.operators import knowledge as kn
+
+    texts = ["Alpha beta alpha gamma. Delta beta epsilon here!", "the and of to in on at by with from. Zeta zeta alpha beta gamma", None, " \t Omega sigma omega delta\t. Omega sigma omega delta"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    spoken = kn.sentences(docs)
+    stop = set(kn.STOP_WORDS)
+    words = {(r.doc_id, r.n): [w for w in r.sentence.lower().split() if w not in stop] for r in spoken.collect()}
+    df = Counter(t for w in words.values() for t in set(w))
+    n = sum(1 for w in words.values() if w)
+    want = {}
+    for key, w in words.items():
+        v = [w.count(t) * (math.log((n + 1) / (df[t] + 1)) + 1) for t in w]
+        options = [(round(x, 6), -i, t) for i, (x, t) in enumerate(zip(v, w))] + [(round((v[i] + v[i + 1]) * 1.5, 6), -i - 1_000_000, f"{w[i]} {w[i + 1]}") for i in range(len(w) - 1) if v[i] > 1 and v[i + 1] > 1]
+        want[key] = max(options)[2] if options else "general"
+    topics = kn.topics(spoken)
+    assert {(r.doc_id, r.n): r.topic for r in topics.collect()} == want
+    # one shuffle of sentences and no window over their words
+    plan = topics._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "general" in {*want.values()}
+
+
+def test_expansion_reads_its_edges_once_a_hop(spark):
+    from tamis.operators import graph
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "a"), ("d", "a"), ("y", "z")], "src string, dst string")
+    starts = spark.createDataFrame([("a",), ("a",), ("q",)], "node string")
+    found = graph.expand(starts, edges, 2)
+    assert {(r.node, r.hop) for r in found.collect()} == {("a", 0), ("q", 0), ("b", 1), ("x", 1), ("d", 1), ("c", 2)} and found.count() == 6
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 3
