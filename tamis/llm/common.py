@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import re
 import tempfile
 import uuid
@@ -11,13 +9,10 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of text that one vectorised step holds; a longer text is a step of its own.
-CHUNK_BYTES = 1 << 20
+from tamis.functions.batches import _PLACED, CHUNK_BYTES, chunks, flat_texts, in_task, join_codes, mix, word_hashes  # noqa: F401
 
 _SEPARATORS = np.zeros(256, dtype=bool)
 _SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_PLACES = 64
-_PLACED = np.random.default_rng(20240229).integers(0, 2**64, 256 * _PLACES, dtype=np.uint64)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,54 +34,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_task(run):
-    """run, a generator over Arrow batches, that gives freed memory back to the machine when its task ends: the Python
-    workers outlive their tasks, and what they keep counts against the executor."""
-
-    def task(batches):
-        import pyarrow as pa
-
-        try:
-            yield from run(batches)
-        finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not every C library has it
-                pass
-
-    return task
-
-
-def flat_texts(column) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and n+1 offsets of an Arrow string column, without copying; null counts as empty."""
-    import pyarrow as pa
-
-    if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
-        kind = np.int64
-    else:
-        column, kind = column.cast(pa.string()), np.int32
-    if column.null_count:
-        column = column.fill_null("")
-    _, offsets, data = column.buffers()
-    if offsets is None or len(column) == 0:
-        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
-    offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
-def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
-    """(first, last) row ranges that hold about limit bytes each."""
-    first, n = 0, len(offsets) - 1
-    while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-        last = min(max(last, first + 1), n)
-        yield first, last
-        first = last
-
-
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ and, for each text, the range of its words (n+1 bounds)."""
     n = len(data)
@@ -103,25 +50,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser, so that near sums do not stay near."""
-    h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(32)
-    return h
-
-
-def join_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One code for a then b; not linear, so that no pattern of letters cancels out as in sums of powers modulo 2**64."""
-    h = a * np.uint64(0x9E3779B97F4A7C15) + b
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    return h
-
-
 #: Bytes up to which a string is told from others by two numbers, and what to keep of them for each length.
 SHORT = 15
 _LOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1] * 8, np.uint64)
@@ -170,22 +98,6 @@ def byte_codes(data: np.ndarray) -> np.ndarray:
     return _PLACED[data]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of every word: each byte at its place within the word stands for a random number; their sum and the length are
-    mixed. Numbers come from a table for the first _PLACES bytes and are mixed anew for each further stretch of as many."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = ends - starts
-    stop = np.cumsum(size)
-    place = np.arange(int(stop[-1])) - np.repeat(stop - size, size)
-    value = _PLACED[(place & (_PLACES - 1)) << 8 | data[place + np.repeat(starts, size)]]
-    if int(size.max()) > _PLACES:
-        far = np.flatnonzero(place >= _PLACES)
-        value[far] = mix(value[far] + (place[far] >> 6).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
-    return mix(sums[stop] - sums[stop - size] + size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-
-
 def sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
     """pick (np.minimum or np.maximum) over every window of w entries."""
     if len(x) < w:
