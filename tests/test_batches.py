@@ -30,3 +30,18 @@ def test_topics_go_over_batches_and_beyond_the_bound_are_joined(spark, sf, monke
     assert "RepartitionByExpression" not in kn.topics(spoken)._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(kn, "SENT_WORDS", 0)
     assert rows() == sent and any(r[3] == "general" for r in sent)
+
+
+def test_bm25_meets_terms_in_tasks_and_beyond_the_bound_joins_them(spark, sf, monkeypatch):
+    from tamis.operators import store
+
+    docs = spark.createDataFrame([(i % 7, t) for i, t in enumerate(TEXTS * 2)] + [(None, "word")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "word reads 가나 word"), (2, "the"), (3, "b-c kelvinkelvin"), (4, None)], "item_id long, text string")
+    rows = lambda d, q: sorted(map(tuple, store.bm25_search(d, q).collect()), key=repr)
+    none = asked.where("item_id = 2")
+    sent = rows(docs, asked), rows(docs.limit(0), asked), rows(docs, none)
+    assert sent[0] and not sent[1] and not sent[2]
+    plan = store.bm25_search(docs, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+    monkeypatch.setattr(store, "SENT_TERMS", -1)
+    assert (rows(docs, asked), rows(docs.limit(0), asked), rows(docs, none)) == sent
