@@ -162,3 +162,26 @@ def test_argument_patterns_stand_once_in_the_plan_and_need_their_strings(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("god\\-mode") == 2  # whether it matches, and what
     assert plan.count("dump|exfiltrate") == 1 and "ArrowEvalPython" in plan
+
+
+def test_word_vectors_are_learned_in_tasks_and_beyond_the_bound_words_are_joined(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    sea, town = ["boat", "harbour", "sail", "wave", "anchor", "tide"], ["street", "tram", "market", "bridge", "tower", "square"]
+    texts = [" ".join(rng.choices(group, k=12)) + (" rare" if i < 2 else "") for i in range(1500) for group in (sea, town)] + [None, "", "the of"]
+    d = docs(spark, texts)
+    monkeypatch.setattr(learning, "BLOCK", 5000)
+    found = learning.train_word_vectors(d, size=16, rounds=30)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "MapElements" not in plan
+    got = {r.word: r.vector for r in found.collect()}
+    assert set(got) == {*sea, *town, "rare"} and all(len(v) == 16 for v in got.values())
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    near = [cosine(got[a], got[b]) for g in (sea, town) for a in g for b in g if a < b]
+    assert min(near) > max(cosine(got[a], got[b]) for a in sea for b in town)
+    assert set(r.word for r in learning.train_word_vectors(d, size=4, least=5).collect()) == {*sea, *town}
+    assert learning.train_word_vectors(d.limit(0), size=4).count() == 0
+    monkeypatch.setattr(learning, "SENT_WORDS", 0)
+    joined = learning.train_word_vectors(d, size=16)
+    assert {r.word for r in joined.collect()} == set(got)
