@@ -45,3 +45,16 @@ def test_bm25_meets_terms_in_tasks_and_beyond_the_bound_joins_them(spark, sf, mo
     assert "MapInArrow" in plan
     monkeypatch.setattr(store, "SENT_TERMS", -1)
     assert (rows(docs, asked), rows(docs.limit(0), asked), rows(docs, none)) == sent
+
+
+def test_weighted_search_meets_words_in_tasks_and_beyond_the_bound_joins_them(spark, monkeypatch):
+    from tamis.operators import expansion as ex
+
+    rows = [(i, t, 0.5, i % 3, "2025-12-01") for i, t in enumerate([*TEXTS, "testing the 서버", "tests server", "deploying"])]
+    store = spark.createDataFrame(rows, "id long, content string, confidence double, access_count int, accessed_at string")
+    asked = spark.createDataFrame([(1, "test"), (1, "server"), (2, "reads"), (2, "word"), (3, "deploy")], "query_id long, term string")
+    found = lambda: sorted(map(tuple, ex.memory_search(store, asked, F.lit("2026-01-01")).collect()))
+    sent = found()
+    assert sent and "MapInArrow" in ex.memory_search(store, asked, F.lit("2026-01-01"))._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(ex, "SENT_WORDS", -1)
+    assert found() == sent
