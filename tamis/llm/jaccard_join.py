@@ -26,14 +26,17 @@ SENT_IDS = 200_000
 SMALL_BUCKET, LEAPS = 4, (1, 2, 4)
 #: Sets whose digests a task remembers.
 SEEN = 500_000
-#: Cells of a set's profile (more for large sets, so that a cell holds some PER_CELL shingles at most, MOST_CELLS in all);
-#: the sum of the smaller counts bounds the overlap from above.
-CELLS, PER_CELL, MOST_CELLS = 64, 10, 2**14
+#: Bits of a set's parity map: a power of two, at least LEAST_BITS and BITS_PER a shingle, MOST_BITS in all. Sets differ in as
+#: many shingles at least as their maps in bits, which bounds the overlap from above.
+LEAST_BITS, BITS_PER, MOST_BITS = 2**9, 1, 2**17
 #: Shingles of a group of documents whose sets one task holds (8 bytes each) to verify the pairs among them.
 GROUP = 1 << 21
-#: Documents of a mixed bucket that are compared in one task with those outside the bucket's largest component; sets of more
-#: shingles are compared there by their profiles, and verified afterwards.
-BLOCK, LONG = 4096, 2048
+#: Documents of a mixed bucket that one task compares with as many others, by their parity maps; of a set of more than LONG
+#: shingles each LONG count as one more document, so that the maps of a block take some 8 MB at most.
+BLOCK, LONG = 2**14, 2048
+#: Pairs of a document with one component of a mixed bucket, likeliest first, that are verified at first, and how many times as
+#: many are where there were more and the two are still apart.
+FIRST, WIDER = 4, 16
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -89,25 +92,40 @@ def _fold(sizes, values) -> np.ndarray:
     return sums[ends] - sums[ends - sizes]
 
 
-def cells_of(token: np.ndarray) -> bytes:
-    """How many shingles of a set fall into each cell, 255 standing for that many or more; cells are ranges of the hash."""
-    bits = CELLS.bit_length() - 1
-    while PER_CELL << bits < len(token) and 1 << bits < MOST_CELLS:
-        bits += 1
-    count = np.bincount((token >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return np.minimum(count, 255).astype(np.uint8).tobytes()
-
-
-def most_common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Upper bound of the overlap for rows of profiles, or 2**40 where a full cell leaves it open."""
+def parity_maps(token: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """For each set (shingles in order of the sets), which of its bits an odd number of shingles falls on, by the low bits of the
+    hash: the halves of a map, joined by exclusive or, are the set's map of half the bits."""
+    bits = np.full(len(sizes), LEAST_BITS)
+    while (short := (bits < BITS_PER * sizes) & (bits < MOST_BITS)).any():
+        bits[short] *= 2
+    out, ends = [b""] * len(sizes), np.cumsum(sizes)
+    for width in np.unique(bits).tolist():
+        at = np.flatnonzero(bits == width)
+        step = 1 + (1 << 20) // width
+        for c in range(0, len(at), step):
+            some = at[c : c + step]
+            place = np.concatenate([token[ends[i] - sizes[i] : ends[i]] for i in some]) & np.uint64(width - 1)
+            count = np.bincount(np.repeat(np.arange(len(some)) * width, sizes[some]) + place.astype(np.int64), minlength=len(some) * width)
+            maps = np.packbits((count & 1).astype(np.uint8).reshape(len(some), width), axis=1, bitorder="little")
+            for i, row in zip(some.tolist(), maps):
+                out[i] = row.tobytes()
+    return out
+
+
+def _folded(maps: np.ndarray, width: int) -> np.ndarray:
+    """Maps (one a row, as 64-bit words) brought to so many words."""
+    return maps if maps.shape[1] == width else np.bitwise_xor.reduce(maps.reshape(len(maps), -1, width), axis=1)
+
+
+def most_common(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Upper bound of the overlap of sets of n and m shingles, for rows of parity maps; x or y may be one row."""
     width = min(x.shape[1], y.shape[1])
-    full = (x == 255).any(1) | (y == 255).any(1)
-    x, y = (z.astype(np.int64).reshape(len(z), width, -1).sum(2) for z in (x, y))
-    return np.where(full, 1 << 40, np.minimum(x, y).sum(1))
+    differ = np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum(1, dtype=np.int64)
+    return np.minimum((n + m - differ) // 2, np.minimum(n, m))
 
 
 def profiles(docs: DataFrame, n: int) -> DataFrame:
-    """docs(id, text) -> (id, n_shingles, s1, s2, cells): set size, two 64-bit digests of the set, counts by cell."""
+    """docs(id, text) -> (id, n_shingles, s1, s2, parity): set size, two 64-bit digests of the set, its parity map."""
 
     def run(batches):
         import pyarrow as pa
@@ -116,16 +134,10 @@ def profiles(docs: DataFrame, n: int) -> DataFrame:
             data, offsets = flat_texts(batch.column(1))
             for a, b in chunks(offsets):
                 text, token, sizes, _ = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
-                small = sizes <= CELLS * PER_CELL
-                at = small[text]
-                cell = np.bincount(text[at] * CELLS + (token[at] >> np.uint64(65 - CELLS.bit_length())).astype(np.int64), minlength=(b - a) * CELLS)
-                cell = np.minimum(cell, 255).astype(np.uint8).reshape(b - a, CELLS)
-                ends = np.cumsum(sizes)
-                cells = [cell[i].tobytes() if small[i] else cells_of(token[ends[i] - sizes[i] : ends[i]]) for i in range(b - a)]
                 s1, s2 = _fold(sizes, mix(token)), _fold(sizes, mix(token ^ np.uint64(0xA5A5A5A55A5A5A5A)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(cells, pa.binary())], names=["id", "n_shingles", "s1", "s2", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(parity_maps(token, sizes), pa.binary())], names=["id", "n_shingles", "s1", "s2", "parity"])
 
-    return docs.mapInArrow(in_task(run), "id long, n_shingles long, s1 long, s2 long, cells binary")
+    return docs.mapInArrow(in_task(run), "id long, n_shingles long, s1 long, s2 long, parity binary")
 
 
 def frequencies(docs: DataFrame, n: int, total: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -309,80 +321,86 @@ def buckets(sigs: DataFrame, percent: int) -> DataFrame:
     return sigs.repartition("sig").sortWithinPartitions("sig").mapInArrow(in_task(run), "sig long, id long, n long, m long, key long, b long")
 
 
-def links_across(rows: DataFrame, percent: int) -> DataFrame:
-    """rows(sig, block, main, here, id, n, component, payload) of mixed buckets -> (a, b, sure).
+def links_across(rows: DataFrame, percent: int, first: int) -> DataFrame:
+    """rows(sig, g, o, left, minor, here, id, n, component, parity) of mixed buckets -> (a, b, bound, more): pairs across
+    components that the parity maps do not rule out, and the similarity in thousandths that they allow.
 
-    Every document outside the bucket's largest component (main) is compared with all of the block by whole sets; of the
-    links to one component the first is enough, so rows are at most documents times components met. Sets of more than LONG
-    shingles come as profiles: their pairs that may link are not sure.
+    The documents of group g (left) are compared with those of block o (here); two minor ones where the smaller id is left.
+    Of the pairs of a left document with one component the `first` likeliest are given; more is its id where there were others.
     """
 
-    def compare(ids, n, comp, main, here, payload):
-        kinds, comp = np.unique(comp, return_inverse=True)
-        root = np.arange(len(kinds))  # of every component, the one that links here have joined it to
-        whole = n <= LONG
-        sets = [np.frombuffer(p, np.uint64) if w else np.zeros(0, np.uint64) for p, w in zip(payload, whole)]
-        length = np.array([len(x) for x in sets])
-        token, at = np.unique(np.concatenate(sets), return_inverse=True)
-        ends = np.concatenate([[0], np.cumsum(length)])
-        mine = np.zeros(len(token), np.int64)
-        a, b, sure = [], [], []
-        for i in np.flatnonzero(~main):
-            # two documents outside the main component meet in the block that one of them is dealt to
-            fit = here & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (main | (ids != ids[i]))
-            fit &= root[comp] != root[comp[i]]
-            if not fit.any():
+    def compare(left, minor, here, ids, n, comp, parity):
+        order = np.lexsort((ids, n))
+        left, minor, here, ids, n, comp = (x[order] for x in (left, minor, here, ids, n, comp))
+        comp = np.unique(comp, return_inverse=True)[1]
+        parity = [parity[i] for i in order.tolist()]
+        width = np.array([len(p) // 8 for p in parity])
+        edges = _edges_of(width)  # maps grow with the sets
+        kinds = [(int(width[x]), x, y) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        maps = {(w, w): np.frombuffer(b"".join(parity[x:y]), np.uint64).reshape(y - x, w) for w, x, y in kinds}
+        out = []
+        for i in np.flatnonzero(left).tolist():
+            low, high = np.searchsorted(n, -(-percent * n[i] // 100)), np.searchsorted(n, 100 * n[i] // percent, side="right")
+            fit = here[low:high] & (comp[low:high] != comp[i]) & (~minor[low:high] | (ids[low:high] > ids[i]))
+            j = low + np.flatnonzero(fit)
+            if not len(j):
                 continue
-            if whole[i]:
-                mine[at[ends[i] : ends[i + 1]]] = 1
-                sums = np.concatenate([[0], np.cumsum(mine[at])])
-                both = sums[ends[1:]] - sums[ends[:-1]]
-                mine[at[ends[i] : ends[i + 1]]] = 0
-                for j in np.flatnonzero(fit & whole & (100 * both >= percent * (n + n[i] - both))):
-                    x, y = root[comp[i]], root[comp[j]]
-                    if x != y:
-                        root[root == max(x, y)] = min(x, y)
-                        a.append(ids[i]), b.append(ids[j]), sure.append(True)
-            rest = np.flatnonzero(fit & ~whole) if whole[i] else np.flatnonzero(fit)
-            own = cells_of(sets[i]) if whole[i] else payload[i]
-            for j in rest:
-                other = cells_of(sets[j]) if whole[j] else payload[j]
-                most = most_common(np.frombuffer(own, np.uint8)[None], np.frombuffer(other, np.uint8)[None])[0]
-                if (100 + percent) * most >= percent * (n[i] + n[j]):
-                    a.append(ids[i]), b.append(ids[j]), sure.append(False)
-        return a, b, sure
+            own, most = np.frombuffer(parity[i], np.uint64)[None], np.zeros(len(j), np.int64)
+            for w, x, y in kinds:
+                a, b = np.searchsorted(j, (x, y))
+                if a < b:
+                    v = min(w, own.shape[1])
+                    if (w, v) not in maps:
+                        maps[w, v] = _folded(maps[w, w], v)
+                    most[a:b] = most_common(maps[w, v][j[a:b] - x], own, n[j[a:b]], n[i])
+            ok = (100 + percent) * most >= percent * (n[j] + n[i])
+            j, most = j[ok], most[ok]
+            bound = 1000 * most // (n[j] + n[i] - most)
+            more = np.zeros(len(j), bool)
+            if len(j) > first:
+                order = np.lexsort((ids[j], -bound, comp[j]))
+                j, bound = j[order], bound[order]
+                edges = _edges_of(comp[j])
+                size = np.diff(edges)
+                keep = np.arange(len(j)) - np.repeat(edges[:-1], size) < first
+                more = np.repeat(size > first, size)[keep]
+                j, bound = j[keep], bound[keep]
+            out.append((np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i]), bound, more, np.full(len(j), ids[i])))
+        return [np.concatenate(x) for x in zip(*out)] if out else None
 
     def run(batches):
         import pyarrow as pa
 
         def settle(held):
-            parts = [np.concatenate(x) for x in zip(*(h[:5] for h in held))]
-            a, b, sure = compare(*parts, [p for h in held for p in h[5]])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+            found = compare(*(np.concatenate(x) for x in zip(*(h[:6] for h in held))), [p for h in held for p in h[6]])
+            for c in range(0, len(found[0]) if found else 0, 200_000):
+                a, b, bound, more, who = (x[c : c + 200_000] for x in found)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bound), pa.array(who, mask=~more)], names=["a", "b", "bound", "more"])
 
         held, key = [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, block = (batch.column(i).to_numpy() for i in (0, 1))
-            edges = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (block[1:] != block[:-1]), [True]]))
+            place = [batch.column(i).to_numpy() for i in range(3)]
+            edges = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in place], axis=0), [True]]))
             for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if held and key != (sig[x], block[x]):
-                    yield settle(held)
+                now = tuple(p[x] for p in place)
+                if held and key != now:
+                    yield from settle(held)
                     held = []
-                key = (sig[x], block[x])
+                key = now
                 part = batch.slice(x, y - x)
-                main, here, ids, n, comp = (part.column(i).to_numpy(zero_copy_only=False) for i in range(2, 7))
-                held.append((ids, n, comp, main, here, part.column(7).to_pylist()))
+                held.append((*(part.column(i).to_numpy(zero_copy_only=False) for i in range(3, 9)), part.column(9).to_pylist()))
         if held:
-            yield settle(held)
+            yield from settle(held)
 
-    columns = ["sig", "block", "main", "here", "id", "n", "component", "payload"]
-    return rows.select(*columns).repartition("sig", "block").sortWithinPartitions("sig", "block").mapInArrow(in_task(run), "a long, b long, sure boolean").distinct()
+    columns = ["sig", "g", "o", "left", "minor", "here", "id", "n", "component", "parity"]
+    dealt = rows.select(*columns).repartition("sig", "g", "o").sortWithinPartitions("sig", "g", "o")
+    return dealt.mapInArrow(in_task(run), "a long, b long, bound long, more long").distinct()
 
 
 def _may_link(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """(a, b, bound) of the pairs that the profiles do not rule out; bound is the similarity in thousandths that they allow."""
+    """(a, b, bound) of the pairs that the parity maps do not rule out; bound is the similarity in thousandths that they allow."""
 
     def run(batches):
         import pyarrow as pa
@@ -398,19 +416,18 @@ def _may_link(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
                 at = np.flatnonzero((width == (w, v)).all(1))
                 for c in range(0, len(at), 1 + (1 << 22) // int(w + v)):
                     j = at[c : c + 1 + (1 << 22) // int(w + v)]
-                    most[j] = most_common(*(np.frombuffer(b"".join(z[i] for i in j), np.uint8).reshape(len(j), k) for z, k in ((x, w), (y, v))))
+                    most[j] = most_common(*(np.frombuffer(b"".join(z[i] for i in j), np.uint64).reshape(len(j), k // 8) for z, k in ((x, w), (y, v))), n[j], m[j])
             ok = np.flatnonzero((100 + percent) * most >= percent * (n + m))
-            bound = np.minimum(1000, 1000 * most // np.maximum(n + m - most, 1))
-            bound[most >= 1 << 40] = 1000
+            bound = 1000 * most // np.maximum(n + m - most, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok)), batch.column(1).take(pa.array(ok)), pa.array(bound[ok])], names=["a", "b", "bound"])
 
-    x = known.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("cells").alias("x"))
-    y = known.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("cells").alias("y"))
+    x = known.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("parity").alias("x"))
+    y = known.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("parity").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(in_task(run), "a long, b long, bound long")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
-    """Of the pairs of each document the one that the profiles make likeliest."""
+    """Of the pairs of each document the one that the parity maps make likeliest."""
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "bound").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "bound"))
     top = both.groupBy("u").agg(F.max_by("v", F.struct("bound", -F.col("v"))).alias("v"))
     return top.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
@@ -512,7 +529,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Every pair of different sets that links is found (`signatures`) and verified on whole sets, unless the two are in one
     component already. In large buckets only neighbours by size are written as pairs; documents outside a bucket's largest
-    component are compared with the rest of it in place, and only what links is written.
+    component are compared with the rest of it in place by parity maps, and only what these do not rule out is written, for each
+    document and component the likeliest first, the others where the two stay apart.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50")
@@ -522,25 +540,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
     counted = frequencies(rows, words, total)
     bucket = materialize(buckets(signatures(rows, words, percent, *counted), percent), "buckets")
-    node = known.where("n_shingles > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min_by("cells", "id").alias("cells"))
-    node = materialize(node.select("s1", "s2", F.col("node").alias("id"), "n_shingles", "cells"), "nodes")
+    node = known.where("n_shingles > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("node"), F.min("n_shingles").alias("n_shingles"), F.min_by("parity", "id").alias("parity"))
+    node = materialize(node.select("s1", "s2", F.col("node").alias("id"), "n_shingles", "parity"), "nodes")
     tried = bucket.where("b is not null").select(F.col("id").alias("a"), "b").distinct()
     pairs = materialize(_may_link(tried, node, percent), "pairs")
-    links, far = _verified_by_group(pairs, rows, node, words, percent)
-    if far.isEmpty():
-        links = materialize(links, "links")
-        label = materialize(connected_components(links), "labels")
-    else:  # each document's likeliest pair first; of the others only those whose ends are not joined by then
-        sets = _packed_sets(_only(rows, _ends(far)), words)
-        links = materialize(links.unionByName(_verified(_best(far), sets, percent)), "links")
-        label = materialize(connected_components(links), "labels")
-        others = materialize(_apart(far, label), "pairs-apart")
-        if not others.isEmpty():
-            links = materialize(links.unionByName(_verified(others, _packed_sets(_only(rows, _ends(others)), words), percent)), "links")
-            label = materialize(connected_components(links), "labels")
-    more = _across(rows, bucket.where("b is null"), label, node, words, percent)
-    if more is not None:
-        label = materialize(connected_components(links.unionByName(more)), "labels")
+    links, label = _proven(pairs, None, rows, node, words, percent)
+    large, first, again = bucket.where("b is null"), FIRST, None
+    while (found := _across(large, label, node, percent, first, again)) is not None:
+        links, label = _proven(found.select("a", "b", "bound").distinct(), links, rows, node, words, percent)
+        again = _apart(found.where("more is not null"), label).select(F.col("more").alias("again")).distinct()
+        again, first = materialize(again, "again"), first * WIDER
+        if again.isEmpty():
+            break
     keys = node.select("s1", "s2", F.col("id").alias("node")).join(label.withColumnRenamed("node", "l"), F.col("node") == F.col("l"), "left").select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.coalesce("component", "node").alias("component"))
     some = F.col("n_shingles") > 0
     out = known.where(some).join(keys, (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")), "left").select("id", "n_shingles", "component")
@@ -553,32 +564,58 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
-    """(a, b) of the pairs whose ends are in different components, or in none."""
+    """The pairs (a, b, ...) whose ends are in different components, or in none."""
     x, y = label.select(F.col("node").alias("a"), F.col("component").alias("x")), label.select(F.col("node").alias("b"), F.col("component").alias("y"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).drop("x", "y")
+
+
+def _proven(pairs: DataFrame, before: DataFrame | None, rows: DataFrame, node: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, label): the links before and those of pairs(a, b, bound) by whole sets, and the components that they make."""
+    links, far = _verified_by_group(pairs, rows, node, words, percent)
+    links = links if before is None else links.unionByName(before)
+    if far.isEmpty():
+        links = materialize(links, "links")
+        return links, materialize(connected_components(links), "labels")
+    # each document's likeliest pair first; of the others only those whose ends are not joined by then
+    sets = _packed_sets(_only(rows, _ends(far)), words)
+    links = materialize(links.unionByName(_verified(_best(far), sets, percent)), "links")
+    label = materialize(connected_components(links), "labels")
+    others = materialize(_apart(far, label), "pairs-apart")
+    if not others.isEmpty():
+        links = materialize(links.unionByName(_verified(others, _packed_sets(_only(rows, _ends(others)), words), percent)), "links")
+        label = materialize(connected_components(links), "labels")
+    return links, label
 
 
-def _across(rows: DataFrame, large: DataFrame, label: DataFrame, node: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Links (u, v) across the components that large buckets still hold, None where no bucket holds several."""
+def _across(large: DataFrame, label: DataFrame, node: DataFrame, percent: int, first: int, again: DataFrame | None) -> DataFrame | None:
+    """Pairs (a, b, bound, more) across the components that large buckets still hold, as links_across gives them; None where no
+    bucket holds several. The documents of `again`, or else those outside a bucket's largest component, are compared with all."""
     named = large.join(label, large["id"] == label["node"], "left").select("sig", "id", "n", "m", "key", F.coalesce("component", "id").alias("component"))
-    count = named.groupBy("sig", "m", "key", "component").agg(F.count("*").alias("k"))
-    mixed = count.groupBy("sig", "m", "key").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
+    weight = F.sum(1 + F.floor(F.least("n", F.lit(MOST_BITS // BITS_PER)) / LONG)).alias("w")
+    count = named.groupBy("sig", "m", "key", "component").agg(F.count("*").alias("k"), weight)
+    top = F.struct("k", "component")
+    mixed = count.groupBy("sig", "m", "key").agg(F.max_by("component", top).alias("largest"), F.sum("w").alias("w"), F.max_by("w", top).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
     # buckets of the same documents are compared once
-    mixed = materialize(mixed.groupBy("key", "m").agg(F.min_by("largest", "sig").alias("largest"), F.min("sig").alias("s")).drop("key"), "mixed")
+    pick = [F.min_by(c, "sig").alias(c) for c in ("largest", "w", "main")]
+    mixed = mixed.groupBy("key", "m").agg(*pick, F.min("sig").alias("s")).drop("key", "m")
+    if again is not None:
+        mixed = mixed.join(large.join(again, F.col("id") == F.col("again")).select(F.col("sig").alias("s")).distinct(), "s", "left_semi")
+    mixed = materialize(mixed, "mixed")
     if mixed.isEmpty():
         return None
-    held = named.drop("m", "key").join(mixed, F.col("sig") == F.col("s")).withColumn("main", F.col("component") == F.col("largest"))
-    held = held.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    held = held.withColumn("block", F.explode(F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    held = materialize(held.select("sig", "block", "main", (F.col("own") == F.col("block")).alias("here"), "id", "n", "component"), "mixed-rows")
-    ids = held.select(F.col("id").alias("used"))
-    short = materialize(_packed_sets(_only(rows, held.where(F.col("n") <= LONG).select(F.col("id").alias("used"))), words), "sets-mixed").groupBy("id").agg(F.first("tokens").alias("payload"))
-    long = _only(node.select("id", "n_shingles", "cells").where(F.col("n_shingles") > LONG), ids).groupBy("id").agg(F.first("cells").alias("payload"))
-    payload = short.unionByName(long).withColumnRenamed("id", "p_id")
-    found = materialize(links_across(held.join(payload, F.col("id") == F.col("p_id")), percent), "across")
-    sure = found.where("sure").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    open_ = found.where("not sure").select("a", "b")
-    if open_.isEmpty():
-        return sure
-    sets = materialize(_packed_sets(_only(rows, _ends(open_)), words), "sets-long")
-    return sure.unionByName(_verified(open_, sets, percent))
+    held = named.drop("m", "key").join(mixed, F.col("sig") == F.col("s"))
+    if again is None:
+        held = held.withColumn("minor", F.col("component") != F.col("largest"))
+    else:
+        held = held.join(again, F.col("id") == F.col("again"), "left").withColumn("minor", F.col("again").isNotNull()).withColumn("main", F.lit(0))
+    dealt = lambda salt, parts: F.pmod(F.xxhash64("id", F.lit(salt)), parts).cast("int")
+    held = held.withColumn("blocks", F.ceil(F.col("w") / BLOCK).cast("int")).withColumn("groups", F.ceil((F.col("w") - F.col("main")) / BLOCK).cast("int"))
+    held = held.withColumn("block", dealt(0, F.col("blocks"))).withColumn("group", dealt(1, F.col("groups")))
+    every = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.struct(g.alias("g"), F.col("block").alias("o")))
+    each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.col("group").alias("g"), o.alias("o")))
+    held = held.withColumn("to", F.explode(F.when(F.col("minor"), F.array_union(every, each)).otherwise(every))).select("*", "to.g", "to.o")
+    left, here = F.col("minor") & (F.col("g") == F.col("group")), F.col("o") == F.col("block")
+    maps = _only(node, named.join(mixed, F.col("sig") == F.col("s"), "left_semi").select(F.col("id").alias("used")))
+    maps = maps.select(F.col("id").alias("p_id"), F.col("n_shingles").alias("p_n"), "parity")
+    held = held.withColumn("left", left).withColumn("here", here).join(maps, (F.col("id") == F.col("p_id")) & (F.col("n") == F.col("p_n")))
+    return materialize(links_across(held, percent, first), "across")

@@ -153,6 +153,51 @@ def test_jaccard_with_frequent_shingles_and_large_buckets(spark, monkeypatch):
         assert got == _jaccard(rows, 3, 90)
 
 
+def test_parity_maps_bound_the_overlap():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 20000).astype(np.uint64)
+    sets = [np.unique(rng.choice(pool[: 4 * n], n)) for n in (0, 1, 57, 300, 520, 1100, 5000)] + [pool[:400], pool[5:405]]
+    sizes = np.array([len(s) for s in sets])
+    maps = [np.frombuffer(m, np.uint64)[None] for m in jaccard_join.parity_maps(np.concatenate(sets), sizes)]
+    for x, p, n in zip(sets, maps, sizes):
+        assert 64 * p.shape[1] >= n
+        for y, q, m in zip(sets, maps, sizes):
+            assert jaccard_join.most_common(p, q, n, m)[0] >= len(np.intersect1d(x, y))
+        assert jaccard_join.most_common(p, p, n, n)[0] == n
+    assert jaccard_join.most_common(maps[-1], maps[-2], 400, 400)[0] < 400
+
+
+@pytest.mark.parametrize("first", [1, 4])
+def test_jaccard_of_forms_sends_maps_and_bounds_tasks(spark, monkeypatch, first):
+    rng = random.Random(3)
+    base = [f"form{i}" for i in range(100)]
+    rows = []
+    for i in range(120):  # most differ by two or more own words, too many to link, and some link with one of those
+        w = list(base)
+        if i % 2 == 0:
+            x, y = rng.randrange(5, 45), rng.randrange(50, 95)
+        w[x] = w[y] = f"own{i // 2}"
+        if i % 3:
+            w[3] = f"more{i}"
+        rows.append((i, " ".join(w)))
+    seen = []
+
+    def across(held, *rest):
+        seen.append(held.select("sig", *[c for c in ("g", "o", "block") if c in held.columns], "n", *[c for c in ("parity", "payload") if c in held.columns]).collect())
+        return found(held, *rest)
+
+    found = jaccard_join.links_across
+    monkeypatch.setattr(jaccard_join, "links_across", across)
+    monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", 5)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "FIRST", first, raising=False)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, rows)).collect()}
+    assert got == _jaccard(rows, 3, 90) and 1 < len(set(got.values())) < len(got)
+    assert seen and seen[0]
+    assert max(Counter(tuple(r)[:-2] for r in seen[0]).values()) < 64  # of 120 documents of one form, a task holds two blocks
+    assert all(len(r[-1]) < 3 * r.n for r in seen[0])  # whole sets take eight bytes a shingle
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
     d = frame(spark, [(2, "a b c d"), (2, "a b c d"), (5, "A B C D"), (7, None)]).union(frame(spark, [(3, "a b c d")]).withColumn("doc_id", F.lit(None).cast("long")))
