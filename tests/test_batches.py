@@ -58,3 +58,52 @@ def test_weighted_search_meets_words_in_tasks_and_beyond_the_bound_joins_them(sp
     assert sent and "MapInArrow" in ex.memory_search(store, asked, F.lit("2026-01-01"))._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(ex, "SENT_WORDS", -1)
     assert found() == sent
+
+
+def test_pairs_of_words_are_counted_in_tasks_and_weighed_in_blocks(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    from tamis.functions import pairs
+    from tamis.operators import store
+
+    rng = random.Random(7)
+    words = ["alpha", "beta", "gamma", "서버", "éa", *(f"w{i}" for i in range(60))]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(200)] + ["beta " * 70, "the", "", None, *TEXTS]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    met, freq = Counter(), Counter()
+    for ws in [r.w for r in docs.select(tokens("text").alias("w")).collect()]:
+        freq.update(ws)
+        for i, w in enumerate(ws):
+            met.update((w, x) for j, x in enumerate(ws[max(0, i - 5) : i + 6], max(0, i - 5)) if j != i)
+    weighed = {(a, b): (n, math.log2(n * sum(met.values()) / (freq[a] * freq[b]))) for (a, b), n in met.items()}
+
+    def check():
+        rows = store.pmi(docs)
+        assert "MapInArrow" in rows._jdf.queryExecution().optimizedPlan().toString()
+        rows = rows.collect()
+        found = {(r.word, r.neighbour): (r.n, r.pmi) for r in rows}
+        assert len(found) == len(rows) and found.keys() == {k for k, v in weighed.items() if v[1] >= 5e-7}
+        assert all(n == weighed[k][0] and abs(p - weighed[k][1]) < 1e-6 for k, (n, p) in found.items())
+
+    check()
+    monkeypatch.setattr(store, "buckets_for", lambda *_: 7)
+    check()
+    assert store.pmi(docs.limit(0)).count() == 0
+
+    # the same blocks, however many pairs a step holds, and from either way to add up counts
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    vocabulary = [r for b in pairs.words_in_task(5)(iter([batch])) for r in b.to_pylist()]
+    assert sum(r["n"] for r in vocabulary if r["word"] is None) * 2 == sum(met.values()) and {r["word"]: r["n"] for r in vocabulary if r["word"]} == freq
+    for step in (1, 7, 64, 1 << 23):
+        monkeypatch.setattr(pairs, "PAIRS", step)
+        blocks = Counter()
+        for b in pairs.pairs_in_task(5, 4)(iter([batch])):
+            for r in b.to_pylist():
+                low, high, i, j, n = pairs._pairs_of(r["data"])
+                for a, c, k in zip(low[i], high[j], n):
+                    assert r["block"] == pairs.block_of(*pairs.bucket_of(pa.array([a, c]).to_numpy(), 4).tolist(), 4)
+                    blocks[a, c] += int(k)
+        assert sum(blocks.values()) * 2 == sum(met.values()) and len(blocks) == len({tuple(sorted(k)) for k in met})
+    assert [pairs.buckets_for(p, 16) for p in (0, 5, 1 << 21, 100 << 23)] == [1, 1, 6, 14]
