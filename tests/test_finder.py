@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamis.functions import injection_rules as ir
 from tamis.functions.batches import Finder, flat_texts
+from tamis.functions.literals import needed_by
 from tamis.functions.normalize import normalize_corpus, normalized_texts
 from tamis.functions.text import ascii_bounds
 from tamis.operators import directives as di
@@ -42,7 +43,7 @@ def test_gates_hold_wherever_their_rules_match(spark):
     want = {(r.doc_id, name) for name, _, p in gated for r in both.where(F.col("text").rlike(ascii_bounds(p)) | F.col("normalized").rlike(ascii_bounds(p))).collect()}
     assert found == want and len({name for _, name in found}) >= 4
     # no pattern is left that is tried on every text
-    assert {r[0] for r in ir.RULES if r[2] not in ir.GATES and not inj.needed_by([r[2]])} == set()
+    assert {r[0] for r in ir.RULES if r[2] not in ir.GATES and not needed_by([r[2]])} == set()
 
 
 def test_strings_are_looked_for_in_tasks(spark):
